@@ -24,6 +24,33 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as files of patched blocks and read back from them."""
+    import public_tokenizers
+
+    from strandline.llm import pfor
+
+    path = common.new_dir(spark, "ids")
+    pfor.write(common.documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pfor.read(spark, path, with_ids=False)
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document.
+
+    Rows that repeat an id and a text are one document and give one row each.
+    """
+    from strandline.llm import fingerprints as fp
+
+    rows = fp.edited(common.documents(spark, sf_dir).select("doc_id", "text"))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fp.sketch(F.col("text")).alias("own"), fp.sketch(F.col("edited")).alias("other"), "next_sketch")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", fp.text_form(F.col("own")).alias("fingerprint"), fp.text_form(F.col("other")).alias("edited_fingerprint"),
+        fp.resemblance(F.col("own"), F.col("other")).alias("near_edited"), fp.resemblance(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        fp.distinct_shingles(F.col("own")).alias("distinct_shingles"),
+    )
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints}
 
 ORACLE: dict[str, str] = {}
