@@ -51,6 +51,22 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 and its slot there; shards differ by one row at most."""
+    from strandline.llm import sharding
+
+    out = sharding.sharded(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    from strandline.llm import mixing
+
+    out = mixing.mixed(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op9_mixing": op9_mixing}
 
 ORACLE: dict[str, str] = {}
