@@ -212,7 +212,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
         own = f"{base}/.{number:06d}-{uuid.uuid4().hex}"
         encoder = Encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        with store.open_output_stream(own) as sink:
+        with store.open_output_stream(own, compression=None) as sink:
             w = Writer(sink)
             for b in batches:
                 ids, texts = b.column("d").to_pylist(), b.column("t").to_pylist()
@@ -246,7 +246,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
         for b in batches:
             for file, first in zip(b.column("file").to_pylist(), b.column("first").to_pylist()):
                 store, name = fs.FileSystem.from_uri(file)
-                with store.open_input_stream(name) as f:
+                with store.open_input_stream(name, compression=None) as f:
                     reader = Reader(f.read())
                 rows, held = [], 0
                 for d, start, ids in reader.documents():

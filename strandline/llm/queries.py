@@ -69,6 +69,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, written into archives and read back from them."""
+    from strandline.llm import warc
+
+    path = common.new_dir(spark, "warc")
+    warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read(spark, path, with_payload=False).drop("uri")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     from strandline.llm import mixing
@@ -77,6 +86,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op7_packing": op7_packing, "op9_mixing": op9_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing}
 
 ORACLE: dict[str, str] = {}
