@@ -59,6 +59,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of 3-word shingles and its component at a Jaccard similarity of 0.9."""
+    from strandline.llm import setjoin
+
+    return setjoin.joined(common.documents(spark, sf_dir).select("doc_id", "text"), n=3, num=90, den=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 4096 tokens."""
     import public_tokenizers
@@ -86,6 +93,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing}
 
 ORACLE: dict[str, str] = {}
