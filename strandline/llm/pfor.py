@@ -204,19 +204,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
         from pyarrow import fs
         from pyspark import TaskContext
 
-        from strandline.llm.tokens import Encoder, chunks
+        from strandline.llm import tokens
 
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId()
         own = f"{base}/.{number:06d}-{uuid.uuid4().hex}"
-        encoder = Encoder(tokenizer_path)
+        encoder = tokens.encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
         with store.open_output_stream(own, compression=None) as sink:
             w = Writer(sink)
             for b in batches:
                 ids, texts = b.column("d").to_pylist(), b.column("t").to_pylist()
-                for at, some in chunks(texts):
+                for at, some in tokens.chunks(texts):
                     for k, x in enumerate(encoder.encode(some)):
                         w.add(ids[at + k], np.concatenate((x.astype(np.uint32), end)))
             w.close()

@@ -117,6 +117,16 @@ class Encoder:
         return found
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for ``path``: loaded once, its cache outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about ``most`` characters, with the place of the first; nulls are empty."""
     at, size, some = 0, 0, []
