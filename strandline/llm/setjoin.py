@@ -225,7 +225,7 @@ def meetings(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id"
         return (key % np.uint64(buckets)).astype(np.int64)
 
     def postings(batches):
-        hashes, groups = common.WordHashes(), Groups(num, den)
+        hashes, groups = _worker_hashes(), Groups(num, den)
 
         def flush(ids, sets):
             ids = np.array(ids, np.int64)
