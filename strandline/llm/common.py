@@ -88,6 +88,16 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_kept: list[WordHashes] = []
+
+
+def worker_hashes() -> WordHashes:
+    """The worker's word hashes, which outlive a task."""
+    if not _kept:
+        _kept.append(WordHashes())
+    return _kept[0]
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

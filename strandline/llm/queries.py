@@ -93,6 +93,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document 20-word windows that start earlier cover, and what is left."""
+    from strandline.llm import substrings
+
+    out = substrings.deduplicated(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLE: dict[str, str] = {}

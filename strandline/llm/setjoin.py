@@ -225,7 +225,7 @@ def meetings(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id"
         return (key % np.uint64(buckets)).astype(np.int64)
 
     def postings(batches):
-        hashes, groups = _worker_hashes(), Groups(num, den)
+        hashes, groups = common.worker_hashes(), Groups(num, den)
 
         def flush(ids, sets):
             ids = np.array(ids, np.int64)
@@ -306,7 +306,7 @@ def linked(docs: DataFrame, met: DataFrame, n: int, num: int, den: int, id_col:
     texts = texts.select("node", "root", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        hashes = _worker_hashes()
+        hashes = common.worker_hashes()
         part = part.sort_values("node", kind="stable").drop_duplicates("node")
         sets = [shingle_set(t.encode(), n, hashes) for t in part["t"]]
         node, i, j = part["node"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
@@ -318,15 +318,6 @@ def linked(docs: DataFrame, met: DataFrame, n: int, num: int, den: int, id_col:
     return common.stored(texts.groupBy("root", "i", "j").applyInPandas(join, "a long, b long"), "links")
 
 
-_kept: list[common.WordHashes] = []
-
-
-def _worker_hashes() -> common.WordHashes:
-    if not _kept:
-        _kept.append(common.WordHashes())
-    return _kept[0]
-
-
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles and component_id (the smallest id reachable by links) of every row.
 
