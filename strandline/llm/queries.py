@@ -66,6 +66,13 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.joined(common.documents(spark, sf_dir).select("doc_id", "text"), n=3, num=90, den=100)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product found for every twentieth vector."""
+    from strandline.llm import neighbours
+
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 4096 tokens."""
     import public_tokenizers
@@ -101,6 +108,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLE: dict[str, str] = {}
