@@ -1,16 +1,98 @@
-"""The corpus pipeline: toxicity, near duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
+again as the next one's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandline.llm import common, mixing, packing, setjoin, substrings, toxicity
+
+#: Rows of ids that are broadcast at most; beyond, texts are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Near duplicates: words of a shingle, and the least similarity in hundredths.
+WORDS, SIMILAR = 5, 80
+
+
+def _hint(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't take for toxic.  Null texts count as empty and stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.scored(docs, model, out="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near duplicates the document with the smallest id.
+
+    Texts without words, and rows without an id, stay.  Rows of one id are one document:
+    the one with the smallest text stays.
+    """
+    rows = common.stored(setjoin.joined(docs, n=WORDS, num=SIMILAR, den=100), "groups")
+    gone = common.stored(rows.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    out = docs.join(_hint(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        out = out.withColumn("_r", F.row_number().over(first)).where("_r = 1 or doc_id is null").drop("_r")
+    return out.select(*docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of windows that start earlier; documents of which no word is left go."""
+    out = substrings.deduplicated(docs)
+    out = out.where("n_removed = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    out = out.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; those that it doesn't take go."""
+    out = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    times = common.stored(out.where("_times > 0"), "times")
+    own = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    if times.where("_rows > 1").limit(1).count():
+        # Rows that repeat id and text share one entry, which holds the copies of all.
+        own = own.dropDuplicates(["doc_id", "_key"])
+    both = own.join(_hint(times), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")))
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return both.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 4096 tokens."""
+    import public_tokenizers
+
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near duplicates", keep_one_of_each_group),
+    ("substring dedup", remove_repeated_passages),
+    ("mixing", mix_to_targets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
-#: Trained models, graph search and packing have no SQL form.
+#: A trained classifier, random draws and packing have no SQL form; brute-force versions are in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.stored(docs, f"stage{k}")
     return docs

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 #: Vectors in a shard, about; edges of a node; beams while building and searching.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 12_000, 40, 72, 192, 1.2
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 12_000, 32, 48, 144, 1.2
 #: Queries in a block.
 BLOCK = 2_048
 
