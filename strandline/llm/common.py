@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; texts may be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 512
-#: Entries that a worker's word cache holds; later words are worked out each time.
+#: Entries that a worker's token cache holds; later tokens are worked out each time.
 CACHE_ENTRIES = 200_000
 
 
@@ -73,31 +73,6 @@ def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, computed once for each word of a worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_ENTRIES:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-_kept: list[WordHashes] = []
-
-
-def worker_hashes() -> WordHashes:
-    """The worker's word hashes, which outlive a task."""
-    if not _kept:
-        _kept.append(WordHashes())
-    return _kept[0]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads their bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -114,10 +89,73 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     out = h[:m] * _FACTORS[0]
     for k in range(1, n):
-        out = mixed(out) + h[k : k + m] * _FACTORS[k]
+        out += h[k : k + m] * _FACTORS[k % 64] + np.uint64(k // 64)
     return mixed(out)
 
 
+#: Bytes that are hashed at a time, and the powers that a byte's place there has.
+_STEP = 1 << 20
+_BYTES = mixed(np.arange(1001, 1257, dtype=np.uint64))
+_FOLDED = _BYTES.copy()
+_FOLDED[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = 0x9E3779B97F4A7C17
+_powers: list[np.ndarray] = []
+
+
+def _power_tables() -> list[np.ndarray]:
+    if not _powers:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(_STEP + 1, base, np.uint64)
+            x[0] = 1
+            _powers.append(np.cumprod(x, dtype=np.uint64))
+    return _powers
+
+
+def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of all texts in order, number of words of each text).
+
+    A word is a run of bytes without ASCII white space; ``fold_case`` takes A-Z as a-z.
+    A word's hash is a polynomial in its bytes' random values, modulo 2**64, so that
+    differences of running sums give the hashes of all words of a buffer at once.
+    """
+    table = _FOLDED if fold_case else _BYTES
+    counts = np.zeros(len(texts), np.int64)
+    parts = []
+    k = 0
+    while k < len(texts):
+        j, size = k, 0
+        while j < len(texts) and (j == k or size + len(texts[j]) + 1 <= _STEP):
+            size += len(texts[j]) + 1
+            j += 1
+        buffer = np.frombuffer(b" ".join(texts[k:j]) + b" ", np.uint8)
+        space = _SPACE[buffer]
+        before = np.concatenate(([True], space[:-1]))
+        starts = np.flatnonzero(~space & before)
+        ends = np.flatnonzero(space & ~before)
+        offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[k:j]])))
+        counts[k:j] = np.diff(np.searchsorted(starts, offsets))
+        out = np.zeros(len(starts), np.uint64)
+        # A single text may be longer than a step; words on a cut are summed over both sides.
+        for at in range(0, len(buffer), _STEP):
+            piece = buffer[at : at + _STEP]
+            power, inverse = _power_tables()
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[piece] * power[: len(piece)], dtype=np.uint64)))
+            lo, hi = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, at + len(piece), side="left")
+            a, b = starts[lo:hi], ends[lo:hi]
+            first, last = np.maximum(a, at) - at, np.minimum(b, at + len(piece)) - at
+            value = (total[last] - total[first]) * inverse[first]
+            # A word that began in an earlier piece goes on at a later power.
+            cut = np.flatnonzero(a < at)
+            for c in cut:
+                value[c] *= np.uint64(pow(_BASE, int(at - a[c]), 1 << 64))
+            out[lo:hi] += value
+        parts.append(mixed(out + (ends - starts).astype(np.uint64)))
+        k = j
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
     """Connected components of undirected ``edges``: (node, root), root the smallest node.
 

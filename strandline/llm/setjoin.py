@@ -43,15 +43,20 @@ BROADCAST_ROWS = 2_000_000
 _NONE = -(1 << 63)
 
 
-def shingle_set(text: bytes, n: int, hashes: common.WordHashes) -> np.ndarray:
-    """Sorted hashes of the text's distinct shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    if len(words) < n:
-        return common.mixed(common.grams(h, len(words)) ^ np.uint64(0x5EED + len(words)))
-    return np.unique(common.grams(h, n))
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Of each text, the sorted hashes of its distinct shingles."""
+    h, counts = common.word_hashes(texts, fold_case=True)
+    ends = np.cumsum(counts)
+    every = common.grams(h, n) if len(h) >= n else h[:0]
+    out = []
+    for c, e in zip(counts.tolist(), ends.tolist()):
+        if c >= n:
+            out.append(np.unique(every[e - c : e - n + 1]))
+        elif c:
+            out.append(common.mixed(common.grams(h[e - c : e], c) ^ np.uint64(0x5EED + c)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 class Groups:
@@ -225,10 +230,10 @@ def meetings(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id"
         return (key % np.uint64(buckets)).astype(np.int64)
 
     def postings(batches):
-        hashes, groups = common.worker_hashes(), Groups(num, den)
+        groups = Groups(num, den)
 
-        def flush(ids, sets):
-            ids = np.array(ids, np.int64)
+        def flush(ids, texts):
+            ids, sets = np.array(ids, np.int64), shingle_sets(texts, n)
             sizes = np.array([len(s) for s in sets], np.int64)
             yield from emit(4, bucket_of(common.mixed(ids.view(np.uint64))), ids, sizes)
             live = np.flatnonzero((sizes > 0) & (ids != _NONE))
@@ -250,17 +255,17 @@ def meetings(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id"
                 yield from emit(0, bucket_of(key), key, node)
                 yield from emit(2, bucket_of(common.mixed(edges[:, 0].view(np.uint64))), edges[:, 0].copy(), edges[:, 1].copy())
 
-        ids, sets, held = [], [], 0
+        ids, texts, held = [], [], 0
         for b in batches:
             for d, t in zip(b.column("d").to_pylist(), b.column("t").to_pylist()):
                 ids.append(d)
-                sets.append(shingle_set(t, n, hashes))
+                texts.append(t)
                 held += len(t)
                 if held >= FOLD:
-                    yield from flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield from flush(ids, texts)
+                    ids, texts, held = [], [], 0
         if ids:
-            yield from flush(ids, sets)
+            yield from flush(ids, texts)
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -306,9 +311,8 @@ def linked(docs: DataFrame, met: DataFrame, n: int, num: int, den: int, id_col:
     texts = texts.select("node", "root", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        hashes = common.worker_hashes()
         part = part.sort_values("node", kind="stable").drop_duplicates("node")
-        sets = [shingle_set(t.encode(), n, hashes) for t in part["t"]]
+        sets = shingle_sets([t.encode() for t in part["t"]], n)
         node, i, j = part["node"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
         across = None if i == j else (part["block"].to_numpy() == j).astype(np.int8)
         got = local_join(sets, num, den, across)

@@ -53,11 +53,9 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 class Fold:
     """Documents folded together: their words' hashes and their windows' keys."""
 
-    def __init__(self, texts: list[bytes], hashes: common.WordHashes, length: int, gram: int):
-        words = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in words], np.int64)
+    def __init__(self, texts: list[bytes], length: int, gram: int):
+        self.h, self.counts = common.word_hashes(texts)
         self.starts = np.concatenate(([0], np.cumsum(self.counts)[:-1])).astype(np.int64)
-        self.h = np.concatenate([hashes.of(w) for w in words]) if words else np.zeros(0, np.uint64)
         n = len(self.h)
         self.keys = self.valid = None
         if n < length:
@@ -146,9 +144,8 @@ def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col
     most = max(1, BITMAP_BYTES // buckets)
 
     def send(batches):
-        hashes = common.worker_hashes()
         for _, texts in _folds(batches):
-            key, count = np.unique(Fold(texts, hashes, length, gram).postings(length - gram + 1), return_counts=True)
+            key, count = np.unique(Fold(texts, length, gram).postings(length - gram + 1), return_counts=True)
             by = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(by, kind="stable")
             by, key, twice = by[order], key[order], (count[order] > 1).astype(np.uint8)
@@ -177,12 +174,11 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     common.small_batches(spark)
     gram = min(gram, length)
     wanted = spark.sparkContext.broadcast(repeated_keys(docs, length, gram, id_col, text_col))
-    shards = 2 * common.parts_for(spark)
+    shards = 8 * common.parts_for(spark)
 
     def send(batches):
-        hashes = common.worker_hashes()
         for ids, texts in _folds(batches):
-            fold = Fold(texts, hashes, length, gram)
+            fold = Fold(texts, length, gram)
             runs = fold.stretches(wanted.value)
             contents: dict[bytes, list[tuple[int, int]]] = {}
             words = fold.h & _MASK
