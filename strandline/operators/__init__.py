@@ -1 +1 @@
-"""See the package docstring."""
+"""Operators by area: reads, intervals, hits, variants, statistics, mappings, annotation, maps."""
