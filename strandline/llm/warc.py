@@ -8,8 +8,8 @@ content size, and of responses the payload's length and SHA-1.
 
 Of equal payloads of at least ``least`` bytes, that of the smallest page is a response
 and the others are revisits, which carry headers only; smaller payloads are all
-responses.  Null payloads are empty.  Rows that repeat a page id are one record each:
-the first of them in archive order is the response where theirs is the smallest id.
+responses.  Null payloads are empty.  Rows that repeat a page id are a record each, and
+each is a response where that id is the smallest.
 """
 
 from __future__ import annotations
@@ -158,16 +158,17 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     """
     spark = pages.sparkSession
     common.small_batches(spark)
-    n = common.parts_for(spark)
     body = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("d"), F.coalesce(uri_col, F.lit("")).alias("uri"), body.alias("body"))
     rows = rows.withColumn("key", F.unhex(F.sha2("body", 256)))
     firsts = rows.where(F.octet_length("body") >= least).groupBy("key").agg(F.min("d").alias("first"), F.count("*").alias("n"))
     # Pages that repeat another's payload; the rest need no partner.
     firsts = firsts.where("n > 1").select("key", "first")
-    later = rows.select("d", "key").join(firsts, "key").where("d > first").select(F.col("d").alias("later"), "key", "first").distinct()
-    rows = rows.join(later.withColumnRenamed("key", "k"), (F.col("d") == F.col("later")) & (F.col("key") == F.col("k")), "left")
-    rows = rows.select("d", "uri", "body", "key", "first").repartition(n, "d").sortWithinPartitions("d", "key")
+    later = rows.select("d", "key").join(firsts, "key").where("d > first").distinct()
+    # One row for each page that repeats, so that payloads are dealt by page id alone, or not at all.
+    later = later.groupBy(F.col("d").alias("later")).agg(F.map_from_entries(F.collect_list(F.struct("key", "first"))).alias("firsts"))
+    rows = rows.join(later, F.col("d") == F.col("later"), "left")
+    rows = rows.select("d", "uri", "body", F.col("firsts")[F.col("key")].alias("first")).sortWithinPartitions("d")
 
     def archive(batches):
         from pyarrow import fs
@@ -178,13 +179,9 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
         number = TaskContext.get().partitionId()
         own = f"{base}/.{number:06d}-{uuid.uuid4().hex}"
         with store.open_output_stream(own, compression=None) as sink:
-            w, last = Writer(sink), None
+            w = Writer(sink)
             for b in batches:
                 for d, uri, payload, first in zip(*(b.column(c).to_pylist() for c in ("d", "uri", "body", "first"))):
-                    # Repeated rows of one page and payload: the first is the original.
-                    if first is None and len(payload) >= least and last == (d, payload):
-                        first = d
-                    last = (d, payload)
                     w.add(_record("response" if first is None else "revisit", d, " ".join(uri.split()), payload, digest(payload), first))
             w.close()
         name = f"part-{number:06d}.warc.zst"
