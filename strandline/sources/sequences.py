@@ -51,10 +51,9 @@ def read_fastq(spark: SparkSession, path: str, offset: int = 33, solexa: bool =
     rows = spark.read.option("lineSep", "\n@").text(path)
     # A quality line that begins with @ parts a record: rows are glued until the lengths agree.
     rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    text = F.regexp_replace(F.regexp_replace("value", r"\r", ""), "^@", "")
-    rows = rows.withColumn("v", text).withColumn("l", F.split("v", "\n"))
+    rows = rows.withColumn("raw", F.regexp_replace("value", r"\r", "")).withColumn("v", F.regexp_replace("raw", "^@", "")).withColumn("l", F.split("v", "\n"))
     w = Window.partitionBy("file").orderBy("at")
-    nxt = F.lead("v").over(w)
+    nxt = F.lead("raw").over(w)
     whole = (F.size("l") >= 4) & (F.length(F.get("l", F.lit(1))) == F.length(F.get("l", F.lit(3))))
     glued = F.when(whole, F.col("v")).otherwise(F.concat("v", F.lit("\n@"), nxt))
     start = F.get("l", F.lit(2)).startswith("+")
