@@ -113,5 +113,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     links = common.stored(successors(docs, id_col, text_col), "links").withColumn("m", F.floor(F.col("n") / 3).cast("int"))
     donors = d.join(links.withColumnsRenamed({"d": "to_d", "h": "to_h"}), F.col("d").eqNullSafe(F.col("next_d")) & (F.col("h") == F.col("next_h")))
     donors = donors.select("to_d", "to_h", "m", F.expr("left(text, m)").alias("given"), sketch(F.col("text")).alias("next_sketch"))
+    if links.count() < docs.count():
+        # A repeated row gives once.
+        donors = donors.dropDuplicates(["to_d", "to_h"])
     both = d.join(donors, F.col("d").eqNullSafe(F.col("to_d")) & (F.col("h") == F.col("to_h")))
     return both.select(F.col("d").alias(id_col), "text", F.concat(F.expr("left(text, char_length(text) - m)"), "given").alias("edited"), "next_sketch")
