@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Pre-tokens that a worker keeps; of chunks, half as many.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
 
 # Letters and numbers among the characters of _PLAIN, as Unicode has them.
 _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įĲ-ſ"
@@ -79,6 +79,31 @@ class Encoder:
         found[0] = "\0" + found[0]  # no space before it
         return found
 
+    def _word(self, piece: str) -> bool:
+        """Letters after one space (or letters alone, where white space is dropped): such pieces part cleanly in a row."""
+        return piece.isalpha() if self.words else piece[:1] == " " and piece[1:].isalpha()
+
+    def _ask(self, pieces: list[str], together: int) -> None:
+        """The library's ids of pieces, so many words in one text; its word numbers part them again."""
+        for i in range(0, len(pieces), 4096 * together):
+            some = pieces[i : i + 4096 * together]
+            rows = [some[j : j + together] for j in range(0, len(some), together)]
+            joint = [(" " if self.words else "").join(r) for r in rows]
+            for row, e in zip(rows, self.tokenizer.encode_batch(joint, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=self.dtype)
+                if len(row) == 1:
+                    self.pieces[row[0]] = ids.tobytes()
+                    continue
+                number = np.array(e.word_ids)
+                cut = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+                if len(cut) != len(row):
+                    self._ask(row, 1)
+                    continue
+                data, width = ids.tobytes(), self.dtype.itemsize
+                ends = np.append(cut[1:], len(ids)) * width
+                for w, x, y in zip(row, (cut * width).tolist(), ends.tolist()):
+                    self.pieces[w] = data[x:y]
+
     def _learn(self, new: set[str]) -> None:
         cut = self.rule.findall
         if self.words:
@@ -89,11 +114,8 @@ class Encoder:
         if len(self.pieces) + len(unknown) > CACHE_ENTRIES and self.pieces:
             self.pieces = {}
             unknown = {p for ps in pieces.values() for p in ps}
-        words = list(unknown)
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.pieces[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        self._ask([p for p in unknown if not self._word(p)], 1)
+        self._ask([p for p in unknown if self._word(p)], 1000)
         get = self.pieces.__getitem__
         ids = {c: b"".join(map(get, ps)) for c, ps in pieces.items()}
         room = max(0, CACHE_ENTRIES // 2 - len(self.chunks))
