@@ -128,7 +128,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = rows.withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
 
     # Round after round: blocks of documents of one source, by hash; repeats of a key stay together.
-    blocks = F.ceil(F.col("n") / BLOCK)
+    # A block is far larger than what it leaves, or rounds would not end.
+    block = max(BLOCK, 8 * LANDING)
+    blocks = F.ceil(F.col("n") / block)
     state = rows.withColumn("b", F.pmod(F.xxhash64("h", F.lit(17)), blocks))
     shape = "d {d}, h long, source string, size long, source_size long, n long, target double, sure long, p double, b long".format(d=dict(docs.dtypes)[id_col])
     columns = ["d", "h", "source", "size", "source_size", "n", "target", "sure", "p", "b"]
@@ -152,7 +154,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         now = F.broadcast(now) if len(counts) <= 100_000 else now
         state = state.drop("n", "b").join(now, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         # Each block leaves LANDING of them, so their number falls by BLOCK / LANDING a round.
-        state = state.withColumn("b", F.pmod(F.xxhash64("h", F.lit(17)), F.ceil(F.col("n") / BLOCK)))
+        state = state.withColumn("b", F.pmod(F.xxhash64("h", F.lit(17)), F.ceil(F.col("n") / block)))
         state = common.stored(state.select(*columns).groupBy("source", "b").applyInPandas(fly, shape), "flight")
 
     # The landing: what the decided documents lack of each source's target, less the sure copies.
