@@ -2,11 +2,14 @@
 
 Documents are linked through hubs (here: equal texts).  Documents of one hub in one
 shard are interchangeable, so the state of the propagation is a table of cells (hub,
-shard, rows).  In each round every hub names the shard that holds most of it; its cells
+shard, rows).  In each round every hub names the shard that holds most of it among those
+with room, or of all where none has (ties by hash, anew in each round); its cells
 elsewhere ask to move there.  Requests are summed by (from, to, gain), a table of at
-most SHARDS * SHARDS * 64 rows, and the driver grants them by falling gain as far as the
-target shard's capacity allows; the cells then move by a join.  Documents without a
-partner are ballast: they fill what room the linked ones leave.
+most SHARDS * SHARDS * 64 rows, and the driver grants them by falling gain: opposite ones
+as swaps, others as far as the target shard's capacity allows; the cells then move by a
+join.  Hubs that are still split after ROUNDS settle whole, in proportion to the room that
+all others leave, so no request stays open.  Documents without a partner are ballast: they
+fill what room the linked ones leave.
 
 A hub of more than a quarter of a shard is cut into pieces beforehand, and its pieces
 start side by side.  At the end documents are ranked by (shard, hub) and cut into equal
@@ -28,15 +31,21 @@ PIECES = 4
 
 
 def _grants(asked: list, load: list[int], cap: int) -> list[tuple[int, int, int, float]]:
-    """(from, to, gain, share granted): best gains first, while the target has room."""
+    """(from, to, gain, share granted): best gains first, as swaps, and while the target has room."""
     room = [cap - x for x in load]
+    wanted: dict[tuple[int, int], int] = {}
+    for r in asked:
+        wanted[r["src"], r["dst"]] = wanted.get((r["src"], r["dst"]), 0) + r["rows"]
+    swaps = {(a, b): min(n, wanted.get((b, a), 0)) for (a, b), n in wanted.items()}
     out = []
     for r in sorted(asked, key=lambda r: (-r["gain"], r["src"], r["dst"])):
-        n = max(0, min(r["rows"], room[r["dst"]]))
-        if n:
-            room[r["dst"]] -= n
-            room[r["src"]] += n
-            out.append((r["src"], r["dst"], r["gain"], n / r["rows"]))
+        swapped = min(r["rows"], swaps[r["src"], r["dst"]])
+        swaps[r["src"], r["dst"]] -= swapped
+        n = max(0, min(r["rows"] - swapped, room[r["dst"]]))
+        room[r["dst"]] -= n
+        room[r["src"]] += n
+        if swapped + n:
+            out.append((r["src"], r["dst"], r["gain"], (swapped + n) / r["rows"]))
     return out
 
 
@@ -45,6 +54,31 @@ def _unit(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
+def _by_room(room: list[int], unit: Column) -> Column:
+    """A shard for each ``unit`` from 0 to 1, in proportion to ``room``."""
+    bounds, acc = [], 0
+    for x in room:
+        acc += x
+        bounds.append(acc / max(1, sum(room)))
+    out = F.lit(len(room) - 1)
+    for s in reversed(range(len(room) - 1)):
+        out = F.when(unit < bounds[s], s).otherwise(out)
+    return out
+
+
+def _loads(cells: DataFrame, shards: int) -> list[int]:
+    load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
+    return [load.get(s, 0) for s in range(shards)]
+
+
+def settled(cells: DataFrame, shards: int, cap: int) -> DataFrame:
+    """``cells`` with each hub that lies in several shards in one, where those that lie in one leave room."""
+    split = cells.groupBy("hub").agg((F.min("shard") < F.max("shard")).alias("split"))
+    cells = common.stored(cells.join(split, "hub"), "cells")
+    room = [max(0, cap - n) for n in _loads(cells.where("not split"), shards)]
+    return cells.withColumn("shard", F.when(F.col("split"), _by_room(room, _unit("hub", F.lit(17)))).otherwise(F.col("shard"))).drop("split")
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``rank``: its place, from 0, in ``order``; no partition holds more than a share of the rows."""
     spark = df.sparkSession
@@ -62,27 +96,28 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def propagate(cells: DataFrame, shards: int, cap: int, rounds: int = ROUNDS) -> DataFrame:
-    """(hub, start, shard): where each cell (hub, start shard, rows) ends up."""
+    """(hub, start, shard): where each cell (hub, start shard, rows) ends up; all cells of a hub in one shard."""
     spark = cells.sparkSession
     cells = common.stored(cells.select("hub", "start", F.col("start").alias("shard"), "rows"), "cells")
     for k in range(rounds):
         at = cells.groupBy("hub", "shard").agg(F.sum("rows").alias("n"))
-        best = at.groupBy("hub").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("top"))
-        best = best.select("hub", (-F.col("top.s")).alias("dst"), F.col("top.n").alias("top"))
+        load = _loads(cells, shards)
+        has_room = F.col("shard").isin([s for s in range(shards) if load[s] < cap])
+        best = at.groupBy("hub").agg(F.max(F.struct(has_room.alias("has_room"), "n", _unit("hub", "shard", F.lit(k)).alias("tie"), "shard")).alias("top"))
+        best = best.select("hub", F.col("top.shard").alias("dst"), F.col("top.n").alias("top"))
         wish = cells.join(best, "hub").withColumn("gain", F.least(F.lit(63), F.floor(F.log2(F.col("top").cast("double")) * 4)).cast("int"))
         moves = wish.where("shard <> dst")
         asked = moves.groupBy(F.col("shard").alias("src"), "dst", "gain").agg(F.sum("rows").alias("rows")).collect()
         if not asked:
             break
-        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("rows").alias("n")).collect()}
-        granted = _grants(asked, [load.get(s, 0) for s in range(shards)], cap)
+        granted = _grants(asked, load, cap)
         if not granted:
-            break
+            continue  # ties fall otherwise in the next round
         granted = spark.createDataFrame(granted, "src int, dst int, gain int, share double")
         moved = wish.join(F.broadcast(granted), (F.col("shard") == granted["src"]) & (wish["dst"] == granted["dst"]) & (wish["gain"] == granted["gain"]), "left")
         go = F.coalesce(_unit("hub", F.lit(k)) < F.col("share"), F.lit(False))
         cells = common.stored(moved.select("hub", "start", F.when(go, wish["dst"]).otherwise(F.col("shard")).alias("shard"), "rows"), "cells")
-    return cells.select("hub", "start", "shard")
+    return settled(cells, shards, cap).select("hub", "start", "shard")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,16 +148,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_
     linked = cells.join(cells.groupBy("hub").agg(F.sum("rows").alias("n")).where("n > 1").select("hub"), "hub", "left_semi")
     placed = propagate(linked, shards, share)
     placed = common.stored(placed, "placed")
-    load = placed.join(cells, ["hub", "start"]).groupBy("shard").agg(F.sum("rows").alias("n"))
-    load = {r["shard"]: r["n"] for r in load.collect()}
-    room = [max(0, share - load.get(s, 0)) for s in range(shards)]
-    bounds, acc = [], 0
-    for x in room:
-        acc += x
-        bounds.append(acc / max(1, sum(room)))
-    ballast = F.lit(shards - 1)
-    for s in reversed(range(shards - 1)):
-        ballast = F.when(_unit("d", F.lit(11)) < bounds[s], s).otherwise(ballast)
+    room = [max(0, share - n) for n in _loads(placed.join(cells, ["hub", "start"]), shards)]
+    ballast = _by_room(room, _unit("d", F.lit(11)))
     places = placed.select(F.col("hub").alias("node"), "start", "shard")
     rows = rows.join(places, ["node", "start"], "left").withColumn("alone", F.col("shard").isNull())
     rows = rows.withColumn("shard", F.coalesce("shard", ballast).cast("int"))

@@ -199,6 +199,24 @@ def test_sharding_hot_group(spark):
     assert sum(r["hot"] > 0 for r in got) <= 8
 
 
+@pytest.mark.parametrize("kind", ["hot third", "pairs", "hot third and pairs"])
+def test_sharding_leaves_no_group_split(spark, kind):
+    n, shards = 4800, 24
+    k = F.col("id")
+    group = {"hot third": F.when(k < 1600, "hot").when(k < 3200, F.concat(F.lit("g"), k % 200)), "pairs": F.concat(F.lit("p"), k % 2400), "hot third and pairs": F.when(k < 1600, "hot").otherwise(F.concat(F.lit("p"), k % 1600))}[kind]
+    d = spark.range(n).select((k * 7919 % n).alias("doc_id"), F.coalesce(group, k.cast("string")).alias("text"))
+    got = sharding.sharded(d, shards).join(d.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"))
+    assert {r["count"] for r in got.groupBy("shard").count().collect()} == {n // shards}
+    split = got.where("text <> 'hot'").groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1")
+    # One group a cut at most.
+    assert split.count() < shards
+
+
+def test_sharding_swaps():
+    asked = [{"src": 0, "dst": 1, "gain": 4, "rows": 6}, {"src": 1, "dst": 0, "gain": 4, "rows": 3}]
+    assert sharding._grants(asked, [10, 10], 10) == [(0, 1, 4, 0.5), (1, 0, 4, 1.0)]
+
+
 # 5
 
 
