@@ -2,7 +2,9 @@
 
 A window (``LENGTH`` consecutive words of one document) is removed where its words also
 start earlier: in a document with a smaller id, or earlier in the same one.  Windows
-are judged on the input; words that any removed window covers go.
+are judged on the input; words that any removed window covers go.  A document is an id
+with a text: different texts of one id, or without an id, are different documents, in
+the order of their texts' hashes, and each loses words for its own windows only.
 
 Shards.  A window's key is the least hash among its runs of ``GRAM`` words, so equal
 windows have equal keys, and neighbouring windows mostly share one.  A first pass finds
@@ -17,8 +19,9 @@ statistics at the threshold give each window's rows, and the earliest of their p
 decides.  A full bitmap only lets more stretches through: results stay whole.  Words
 travel as 48-bit hashes beside the key.
 
-Words are runs without ASCII white space, unchanged.  Null texts have none.  Rows of
-one id aren't earlier than each other.  Rows without an id stand before all others.
+Words are runs without ASCII white space, unchanged.  Null texts have none.  Rows that
+repeat an id and its text (or have no id and one text) are one document, thus not earlier
+than each other.  Rows without an id stand before all others.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common
@@ -119,22 +122,28 @@ def _bitmap(keys: np.ndarray, most: int) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """Order and name of a document: its id, and its text's hash."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), F.xxhash64(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))]
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("d"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    d, h = _row_key(id_col, text_col)
+    return docs.select(d.alias("d"), h.alias("h"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
 
 
 def _folds(batches, size: int = FOLD):
-    ids, texts, held = [], [], 0
+    keys, texts, held = [], [], 0
     for b in batches:
-        for d, t in zip(b.column("d").to_pylist(), b.column("t").to_pylist()):
-            ids.append(d)
+        for d, h, t in zip(b.column("d").to_pylist(), b.column("h").to_pylist(), b.column("t").to_pylist()):
+            keys.append((d, h))
             texts.append(t)
             held += len(t)
             if held >= size:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+                yield keys, texts
+                keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
 
 
 def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> Wanted:
@@ -169,7 +178,7 @@ def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col
 
 
 def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Word spans (d, lo, hi) that removed windows cover, from the shards; spans of one document may overlap."""
+    """Word spans (d, h, lo, hi) of the documents (id, text hash) that removed windows cover, from the shards; spans of one document may overlap."""
     spark = docs.sparkSession
     common.small_batches(spark)
     gram = min(gram, length)
@@ -177,14 +186,14 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     shards = 8 * common.parts_for(spark)
 
     def send(batches):
-        for ids, texts in _folds(batches):
+        for docs_, texts in _folds(batches):
             fold = Fold(texts, length, gram)
             runs = fold.stretches(wanted.value)
             contents: dict[bytes, list[tuple[int, int]]] = {}
             words = fold.h & _MASK
             for doc, at, size in runs.tolist():
                 content = words[at : at + size + length - 1].tobytes()
-                place = (ids[doc], at - int(fold.starts[doc]))
+                place = (*docs_[doc], at - int(fold.starts[doc]))
                 if (known := contents.get(content)) is None:
                     contents[content] = [place]
                 else:
@@ -212,15 +221,15 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
         six = whole("words", np.uint8).reshape(-1, 6)
         words = np.zeros((len(six), 8), np.uint8)
         words[:, :6] = six
-        d, lo, hi = spans(words.view("<u8").ravel(), whole("sizes", np.int32).astype(np.int64), whole("times", np.int32).astype(np.int64), whole("places", np.int64).reshape(-1, 2), length)
-        return pd.DataFrame({"d": d, "lo": lo, "hi": hi})
+        d, h, lo, hi = spans(words.view("<u8").ravel(), whole("sizes", np.int32).astype(np.int64), whole("times", np.int32).astype(np.int64), whole("places", np.int64).reshape(-1, 3), length)
+        return pd.DataFrame({"d": d, "h": h, "lo": lo, "hi": hi})
 
     dealt = _rows(docs, id_col, text_col).mapInArrow(send, "shard int, words binary, sizes binary, times binary, places binary")
-    return dealt.groupBy("shard").applyInPandas(search, "d long, lo int, hi int")
+    return dealt.groupBy("shard").applyInPandas(search, "d long, h long, lo int, hi int")
 
 
 def spans(words: np.ndarray, sizes: np.ndarray, times: np.ndarray, places: np.ndarray, length: int):
-    """One shard: contents (``sizes`` words each) with their places (document, first word), ``times`` each."""
+    """One shard: contents (``sizes`` words each) with their places (id, text hash, first word), ``times`` each."""
     n = len(sizes)
     start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     symbols = np.unique(words, return_inverse=True)[1].reshape(-1) + 1
@@ -230,8 +239,10 @@ def spans(words: np.ndarray, sizes: np.ndarray, times: np.ndarray, places: np.nd
     text[np.arange(len(words)) + np.repeat(np.arange(n), sizes)] = symbols
     index = FMIndex(text, length)
     # A place is a number in the order of (document, word).
-    _, document = np.unique(places[:, 0], return_inverse=True)
-    place = (document.reshape(-1).astype(np.int64) << 32) + places[:, 1]
+    by = np.lexsort((places[:, 1], places[:, 0]))
+    document = np.zeros(len(places), np.int64)
+    document[by[1:]] = np.cumsum((places[by[1:], :2] != places[by[:-1], :2]).any(1))
+    place = (document << 32) + places[:, 2]
     of = np.repeat(np.arange(n), times)
     head = np.concatenate(([0], np.cumsum(times)[:-1]))
     first = np.minimum.reduceat(place, head)
@@ -255,19 +266,20 @@ def spans(words: np.ndarray, sizes: np.ndarray, times: np.ndarray, places: np.nd
     primary = place == first[of]
     lead = np.full(n, -1, np.int64)
     where = np.flatnonzero(primary)
-    d, lo, hi = [], [], []
+    name, lo, hi = [], [], []
     rest = np.flatnonzero(~primary)
-    d.append(places[rest, 0])
-    lo.append(places[rest, 1])
-    hi.append(places[rest, 1] + sizes[of[rest]])
+    name.append(places[rest, :2])
+    lo.append(places[rest, 2])
+    hi.append(places[rest, 2] + sizes[of[rest]])
     if len(cut):
-        # Rows that repeat an id share a place; each span goes to one of them, for it names the id.
+        # Rows that repeat id and text share a place; each span goes to one of them, for it names both.
         lead[of[where]] = where
         p = lead[c[cut]]
-        d.append(places[p, 0])
-        lo.append(places[p, 1] + o[cut])
-        hi.append(places[p, 1] + o[last] + length)
-    return np.concatenate(d), np.concatenate(lo).astype(np.int32), np.concatenate(hi).astype(np.int32)
+        name.append(places[p, :2])
+        lo.append(places[p, 2] + o[cut])
+        hi.append(places[p, 2] + o[last] + length)
+    name = np.concatenate(name)
+    return name[:, 0], name[:, 1], np.concatenate(lo).astype(np.int32), np.concatenate(hi).astype(np.int32)
 
 
 def kept_words(words: list[bytes], spans_: list) -> list[bytes]:
@@ -283,9 +295,11 @@ def kept_words(words: list[bytes], spans_: list) -> list[bytes]:
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed, and kept: the words left, joined by one space."""
     spans_ = common.stored(earlier_spans(docs, length, GRAM, id_col, text_col), "spans")
-    spans_ = spans_.groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    own = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)))
-    both = own.join(spans_, F.col("_key") == F.col("_d"), "left").drop("_d", "_key")
+    # Rows that repeat id and text give the same spans.
+    spans_ = spans_.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    d, h = _row_key(id_col, text_col)
+    own = docs.withColumn("_key", d).withColumn("_hash", h)
+    both = own.join(spans_, (F.col("_key") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").drop("_d", "_h", "_key", "_hash")
     clash = {"n_words", "n_removed", "kept"} & set(docs.columns)
     both = both.drop(*clash)
     names = [c for c in both.columns if c != "_spans"]

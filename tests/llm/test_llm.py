@@ -468,6 +468,19 @@ def test_substring_dedup_repeated_ids(spark):
     assert got == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
+@pytest.mark.parametrize("key", [None, 1])
+def test_substring_dedup_different_texts_of_one_id(spark, key):
+    passage, clean, other = " ".join(WORDS[:30]), " ".join(WORDS[100:170]), " ".join(WORDS[200:230])
+    # A passage that a row repeats, and one that two rows begin with, beside rows that repeat nothing.
+    texts = [f"{passage} x {passage} y", clean, f"{other} one", f"{other} two"]
+    d = spark.createDataFrame([(key, t) for t in texts] + [(2, f"z {clean}")], "doc_id long, text string")
+    got = {r["text"]: (r["n_removed"], r["kept"]) for r in substrings.deduplicated(d).collect()}
+    assert got[texts[0]] == (30, f"{passage} x y")
+    assert got[clean] == (0, clean)
+    assert sorted(got[t] for t in texts[2:]) in ([(0, texts[2]), (30, "two")], [(0, texts[3]), (30, "one")])
+    assert got[f"z {clean}"] == (70, "z")
+
+
 def test_full_bitmap_loses_nothing(spark, docs, monkeypatch):
     monkeypatch.setattr(substrings, "BITMAP_BYTES", 1)
     got = {r["doc_id"]: r["n_removed"] for r in substrings.deduplicated(docs, 20).collect()}
