@@ -8,8 +8,9 @@ content size, and of responses the payload's length and SHA-1.
 
 Of equal payloads of at least ``least`` bytes, that of the smallest page is a response
 and the others are revisits, which carry headers only; smaller payloads are all
-responses.  Null payloads are empty.  Rows that repeat a page id are a record each, and
-each is a response where that id is the smallest.
+responses.  Null payloads and URIs are empty.  Rows that repeat a page id are a record
+each, and each is a response where that id is the smallest.  Rows without a page id are
+<urn:page:null> and read back as null; each is a response, and no revisit refers to it.
 """
 
 from __future__ import annotations
@@ -38,15 +39,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(kind: str, page: int, uri: str, payload: bytes, sha: str, first: int | None) -> bytes:
+def _urn(page: int | None) -> str:
+    return f"<urn:page:{'null' if page is None else page}>"
+
+
+def _page(urn: str | None) -> int | None:
+    name = urn.strip("<>").rpartition(":")[2] if urn else "null"
+    return None if name == "null" else int(name)
+
+
+def _record(kind: str, page: int | None, uri: str, payload: bytes, sha: str, first: int | None) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
-        f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {_EPOCH}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{sha}",
+        f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {_EPOCH}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{sha}",
         f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(first)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return _VERSION + b"\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -167,7 +177,8 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     later = rows.select("d", "key").join(firsts, "key").where("d > first").distinct()
     # One row for each page that repeats, so that payloads are dealt by page id alone, or not at all.
     later = later.groupBy(F.col("d").alias("later")).agg(F.map_from_entries(F.collect_list(F.struct("key", "first"))).alias("firsts"))
-    rows = rows.join(later, F.col("d") == F.col("later"), "left")
+    # Rows without a page id have no partner and are dealt by their content.
+    rows = rows.join(later, (F.coalesce(F.col("d"), F.xxhash64("key", "uri")) == F.col("later")) & F.col("d").isNotNull(), "left")
     rows = rows.select("d", "uri", "body", F.col("firsts")[F.col("key")].alias("first")).sortWithinPartitions("d")
 
     def archive(batches):
@@ -203,9 +214,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     def decode(batches):
         from pyarrow import fs
 
-        def page(urn: str | None) -> int | None:
-            return int(urn.strip("<>").rpartition(":")[2]) if urn else None
-
         for b in batches:
             for file, count in zip(b.column("file").to_pylist(), b.column("records").to_pylist()):
                 store, name = fs.FileSystem.from_uri(file)
@@ -216,7 +224,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                         r = parse(record)
                         h = r["headers"]
                         kept = r["payload"] if with_payload else None
-                        rows.append((page(h["warc-record-id"]), h.get("warc-target-uri"), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], page(h.get("warc-refers-to")), kept))
+                        rows.append((_page(h["warc-record-id"]), h.get("warc-target-uri"), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _page(h.get("warc-refers-to")), kept))
                         held += 200 + len(kept or b"")
                         if held > 4_000_000:
                             yield _batch(rows, with_payload)

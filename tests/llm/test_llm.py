@@ -385,6 +385,15 @@ def test_archives(spark):
     assert warc.read(spark, path).count() == 0
 
 
+def test_archives_without_page_ids(spark):
+    d = spark.createDataFrame([(None, "u", "same"), (None, None, "same"), (None, "v", None), (4, "w", "same"), (7, "x", "same")], "page_id long, url string, html string")
+    path = common.new_dir(spark, "warc")
+    warc.write(d, path)
+    got = [(r["page_id"], r["uri"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(spark, path).collect()]
+    want = [(None, "u", 4, "response", None), (None, "", 4, "response", None), (None, "v", 0, "response", None), (4, "w", 4, "response", None), (7, "x", 4, "revisit", 4)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_archive_reader_refuses():
     f = io.BytesIO()
     w = warc.Writer(f)
