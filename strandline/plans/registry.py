@@ -525,6 +525,14 @@ def allocate_names(t):
     return maps.allocate_names(c, known, "N").select("name", F.col("number").cast("long").alias("number"))
 
 
+@query("""SELECT c_name AS name, c_custkey AS number FROM customer WHERE c_custkey % 2 = 1
+UNION ALL SELECT c_name, (SELECT coalesce(max(c_custkey), 0) FROM customer WHERE c_custkey % 2 = 1) + row_number() OVER (ORDER BY c_name) FROM customer WHERE c_custkey % 2 = 0""")
+def allocate_all_names(t):
+    """All customers: the odd ones are known by their keys, the others get new numbers."""
+    c = t("customer").select(F.col("c_name").alias("name"), F.col("c_custkey").cast("long").alias("number"))
+    return maps.allocate_names(c.select("name"), c.where("number % 2 = 1"), "N").select("name", F.col("number").cast("long").alias("number"))
+
+
 @query("(SELECT DISTINCT l_partkey AS x FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') UNION ALL (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def symmetric_difference(t):
     li = t("lineitem")

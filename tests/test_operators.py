@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from strandline.functions import alignment as A
 from strandline.functions import sequence as S
 from strandline.operators import hits, intervals, maps, mappings, reads, statistics, variants
-from strandline.plans import pipelines
+from strandline.plans import pipelines, registry
 from strandline.sources import features, sequences
 
 
@@ -132,3 +132,14 @@ def test_formats(spark, tmp_path):
 
 def test_names():
     assert [maps.next_code(x) for x in ("AB09", "A9", "ZZ")] == ["AB0A", "AA", "100"]
+
+
+def test_allocate_all_names(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, f"Customer#{k * 7 % 20:03d}") for k in range(1, 20)]
+    path = str(tmp_path / "customer.parquet")
+    spark.createDataFrame(rows, "c_custkey long, c_name string").write.parquet(path)
+    got = sorted(tuple(r) for r in registry.QUERIES["allocate_all_names"](spark, str(tmp_path)).collect())
+    assert [name for name, _ in got] == sorted(name for _, name in rows)
+    sql = registry.ORACLE["allocate_all_names"]
+    assert got == sorted(duckdb.sql(f"WITH customer AS (FROM read_parquet('{path}/*.parquet')) {sql}").fetchall())
