@@ -51,7 +51,7 @@ PATTERNS = (
     (r"\bi (?:will|'ll|am going to|wanna) (?:kill|hurt|find|beat|destroy)\b", (" kill", " hurt", " find", " beat", " destroy")),
     (r"\b(?:go|should|deserve to) (?:die|kill yourself|rot)\b", (" die", " kill yourself", " rot")),
     (r"\b(?:hate|despise) (?:you|them|those|these)\b", ("hate ", "despise ")),
-    (r"\bf+[u*@#]+c*k+\w*|\bs+h+[i1!*]+t+\b|\bb[i1!*]tch\w*", ("fuck", "f*", "f@", "f#", "shit", "sh1t", "sh!t", "sh*t", "itch", "b1tch", "b!tch", "b*tch", "uck")),
+    (r"\bf+[u*@#]+c*k+\w*|\bs+h+[i1!*]+t+\b|\bb[i1!*]tch\w*", ("fu", "f*", "f@", "f#", "sh", "tch")),
     (r"[!?]{3,}", ("!!", "??", "!?", "?!")),
 )
 

@@ -89,6 +89,13 @@ def test_toxicity_without_labels(spark, docs):
     assert model.score("you are an idiot and a moron") > 0.3 > model.score("good day")
 
 
+def test_toxicity_gate_loses_no_match():
+    model = toxicity.Model(starts=[])
+    texts = ["fuk", "ffukk", "f*k", "f@ck", "f#k", "fuuckk", "shiit", "shhit", "sh11t", "ssh!t", "sh*tt", "bitch", "b1tch", "b!tches", "b*tch"]
+    at = len(model.starts) + 1 + 4
+    assert [t for t in texts if model.features(f"so {t} it")[at] == 0] == []
+
+
 # 2
 
 
