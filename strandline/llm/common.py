@@ -31,10 +31,12 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is made.
+    Only in local mode, as in tests, a temporary folder stands in for an unset one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="strandline-")
@@ -51,14 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete every table that this application has stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
@@ -69,6 +75,18 @@ def _discard_own() -> None:
         shutil.rmtree(d.removeprefix("file://"), ignore_errors=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` doesn't have."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -156,32 +174,51 @@ def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
+#: Rows of one key from which a join splits it, and into how many parts.
+HOT_ROWS, SALTS = 2_000, 64
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup`` on ``key``, where frequent keys of ``rows`` are split by ``spread``.
+
+    At most 1,000 keys, the most frequent ones, are split; their rows of ``lookup`` are repeated for each part.
+    ``rows`` should be a stored table: it is read twice.
+    """
+    top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(1000).where(F.col("_n") >= HOT_ROWS).collect()
+    if not top:
+        return rows.join(lookup, key, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(r[0], True) for r in top], f"{key} long, _hot boolean"))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    parts = F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))
+    left = rows.join(hot, key, "left").withColumn("_part", part).drop("_hot")
+    right = lookup.join(hot, key, "left").withColumn("_part", parts).drop("_hot")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: (node, root), root the smallest node.
 
-    Alternates neighbourhood-minimum and pointer steps: every round links each node
-    to the smallest node that it or its neighbours point to, so that the number of
-    rounds grows with the logarithm of the longest chain.  Every round is a written
-    table; nothing is collected but the number of edges that changed.
+    Alternates large-star and small-star steps until every node has one edge, to a
+    node without one; the number of rounds grows with the logarithm of the longest
+    chain.  Every round is a written table, and frequent nodes are split in its joins.
     Nodes without an edge to another node are left out.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     e = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         # Large star: a node's larger neighbours point to the smallest node around it.
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.where("a <> b").distinct(), "star")
+        low = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = salted_join(e, low, "b", "a", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = stored(large, "star")
+        forget(e)
         # Small star: a node and its smaller neighbours point to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "star")
-        # At the end every node has one edge, and it goes to a node without one.
-        now = small.groupBy("a").agg(F.count("*").alias("n"))
-        open_ = small.select(F.col("b").alias("a")).join(now, "a", "left_semi").limit(1).count()
-        e = small
-        if not open_ and not now.where("n > 1").limit(1).count():
+        small = salted_join(large, low, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "star")
+        forget(large)
+        up = e.groupBy("a").agg(F.count("*").alias("n"))
+        ends = e.select(F.col("b").alias("a")).distinct()
+        if not up.where("n > 1").select("a").union(ends.join(up, "a", "left_semi")).limit(1).count():
             break
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

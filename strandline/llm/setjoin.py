@@ -1,27 +1,28 @@
-"""Exact Jaccard join of word-shingle sets, and the components of its links.
-
-Distribution.  Sets fall into size groups, each at most 1/t as wide as its smallest
-size, and the shingle universe of a group into more parts than two linked sets can
-differ in.  So linked sets agree on some part outright: sets that agree on a part meet,
-and their meetings form clusters, which hold every link.  Equal sets meet once.  Every
-task folds what it has read before it sends anything, so a group of copies sends one
-posting a task and a common part one.
-
-Join.  Within a cluster the sets are joined by index lists.  Tokens are ordered by
-rarity; a set is listed under its prefix tokens.  A list is kept in blocks by position,
-so that a probe at position i skips the blocks whose position leaves too few tokens
-(skipping on the index level).  Once a set x is found highly similar to a set y that
-has its answers, x's overlap with a candidate c of y lies between |y & c| - |y - x| and
-|y & c| + |x - y|; where those bounds decide, nothing is counted (skipping on the
-answer level).  Pairs whose component is known to be the same need no answer.
-
-Clusters of more than ``BLOCK`` shingles are dealt as pairs of blocks, so no task holds
-an unbounded cluster.
+"""Exact Jaccard join of word-shingle sets by set-relation skipping, and the components of its links.
+
+A set's name is its content's 64-bit hash, so equal sets are one node from the start.
+
+1. Asking.  Every task folds documents and asks, of each distinct shingle in the fold,
+   how many sets hold it; askers and answers meet by the shingle's hash, once for each
+   fold, so that a shingle in a third of all sets is asked as often as there are folds.
+   A set of which fewer than t of its shingles occur elsewhere has no partner and ends here.
+2. Index lists.  A set's shingles are ordered by rarity; it is listed under those of its
+   prefix that others hold.
+3. Leaders.  Of each list one set leads.  Every set is compared with the leader that it
+   meets most often; verified links alone form components.  This takes one comparison
+   for each set, however large a group of near copies is.
+4. Index-level skipping.  Lists of one component are dropped.  The others are cut into
+   blocks by position, each with its least position, sizes and components; pairs of blocks are
+   skipped on those headers, before any entry is read.
+5. Answer-level skipping.  Sets x and y with computed answers for one leader L get bounds from them:
+   |x & L| + |y & L| - |L| <= |x & y| <= min(|x & L| + |y - L|, |y & L| + |x - L|).
+   Where the bounds decide, nothing is counted; the rest is counted.  One pair of two components is
+   counted at a time, since a link makes the others needless.
 
 A set: distinct n-word shingles of the text with A-Z lower-cased, words being runs
 without ASCII white space; a shorter text is one shingle; a text without words, or
-null, is empty and linked with nothing.  Rows of one id are one node; rows without an
-id have no links and no component.
+null, is empty and linked with nothing.  Rows of one id are one node of the
+components, whatever their texts; rows without an id have no links and no component.
 """
 
 from __future__ import annotations
@@ -29,18 +30,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common
 
-#: Shingles in a task's block of a cluster.
-BLOCK = 1_500_000
-#: Text bytes that a task folds before it sends.
-FOLD = 24_000_000
-#: Member ids that are broadcast at most; beyond, the texts are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-_NONE = -(1 << 63)
+#: Text bytes and documents that a task folds before it asks.
+FOLD, FOLD_ROWS = 24_000_000, 65_000
+#: Text bytes whose shingles meet in one task, about.
+MEET = 10_000_000
+#: Entries in a block of an index list, about.
+BLOCK = 128
+_MASK = np.uint64((1 << 48) - 1)
+_MESSAGE = "bucket int, fold long, kind int, a binary, b binary, c binary, e binary"
+_SINGLE, _MANY, _ROWS, _SETS, _HELD = range(5)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -59,267 +62,297 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-class Groups:
-    """Size groups and their numbers of parts for the threshold num / den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.low, self.parts, self.spare = [1], [], []
-
-    def _grow(self) -> None:
-        low = self.low[len(self.parts)]
-        high = low * self.den // self.num
-        self.low.append(high + 1)
-        differ = high * (self.den - self.num) // self.num
-        m, spare = differ + 1, 0
-        if m > 1:
-            # Two empty parts agree but say nothing: so many are spare that few sets have more.
-            for _ in range(2):
-                empty = m * (1 - 1 / m) ** low
-                spare = int(empty + 3 * empty**0.5) + 2
-                m = differ + 1 + spare
-        self.parts.append(m)
-        self.spare.append(spare)
-
-    def of(self, size: int) -> int:
-        while self.low[-1] <= size:
-            self._grow()
-        return int(np.searchsorted(self.low, size, side="right")) - 1
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """The parts of set ``s`` in its own group and the one below, as 64-bit keys."""
-        out = []
-        own = self.of(len(s))
-        for g in (own, own - 1):
-            if g < 0:
-                continue
-            m = self.parts[g]
-            part = (s % np.uint64(m)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            p = part[order]
-            first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-            total = np.add.reduceat(common.mixed(s[order]), first)
-            number = p[first].astype(np.uint64)
-            if m - len(first) > self.spare[g]:
-                missing = np.setdiff1d(np.arange(m), p[first]).astype(np.uint64)
-                number, total = np.concatenate((number, missing)), np.concatenate((total, np.zeros(len(missing), np.uint64)))
-            tag = np.uint64(g * 0x9E3779B97F4A7C15 % (1 << 64))
-            out.append(common.mixed(total ^ common.mixed(number * np.uint64(0xD6E8FEB86659FD93) + tag)))
-        return np.concatenate(out)
-
-
-def _fold(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, least node of each, edges): a star from every other node of a key to its least."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    least = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else node
-    other = node != least
-    edges = np.stack((node[other], least[other]), 1)
-    return key[head], node[head], np.unique(edges, axis=0) if len(edges) else edges
-
-
-def local_join(sets: list[np.ndarray], num: int, den: int, across: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of ``sets``; with ``across`` (0/1), only pairs between the two sides."""
-    n = len(sets)
-    if n < 2:
-        return []
-    sizes = np.array([len(s) for s in sets])
-    if n == 2:
-        i = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if i and den * i >= num * (sizes.sum() - i) else []
-    tokens, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, count))] = np.arange(len(tokens))
-    ends = np.cumsum(sizes)
-    ordered = [np.sort(rank[inverse[e - k : e]]) for e, k in zip(ends, sizes)]
-    # Rows of a list: (position, set), by position; only tokens of two sets or more.
-    shared = np.sort(count)
-    lists: dict[int, list] = {}
-    root = np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    flat = np.arange(n)  # each set's component, kept flat for whole-array tests
-    answers: dict[int, dict[int, int]] = {}
-    links = []
-    for x in np.lexsort((np.arange(n), sizes)):
-        x = int(x)
-        tok, size = ordered[x], int(sizes[x])
-        prefix = size - -(-size * num // den) + 1
-        found, places = [], []
-        for i in range(prefix):
-            t = int(tok[i])
-            if shared[t] < 2:
-                continue
-            here = lists.get(t)
-            if here is None:
-                continue
-            for at, block in here:
-                # Blocks by position: one at ``at`` leaves at most so many more common tokens.
-                arr = np.asarray(block)
-                need_least = num * (size + int(sizes[arr].min())) / (num + den)
-                if 1 + min(size - i - 1, int(sizes[arr].max()) - at - 1) >= need_least - 1e-9:
-                    found.append(arr)
-        if found:
-            c = np.unique(np.concatenate(found))
-            c = c[(sizes[c] * den >= size * num) & (flat[c] != flat[x])]
-            if across is not None:
-                c = c[across[c] != across[x]]
-            mine: dict[int, int] = {}
-            known: tuple[dict[int, int], int, int] | None = None
-            while len(c):
-                y = int(c[0])
-                both = size + int(sizes[y])
-                need = -(-num * both // (num + den))
-                hit = None
-                if known and y in known[0]:
-                    if known[0][y] - known[1] >= need:
-                        hit = True
-                    elif known[0][y] + known[2] < need:
-                        hit = False
-                if hit is None:
-                    i = len(np.intersect1d(tok, ordered[y], assume_unique=True))
-                    mine[y] = i
-                    hit = i >= need
-                    if hit and known is None and (size - i) + (int(sizes[y]) - i) <= 0.05 * both:
-                        known = (answers.get(y, {}), int(sizes[y]) - i, size - i)
-                if hit:
-                    links.append((y, x))
-                    a, b = int(flat[x]), int(flat[y])
-                    flat[flat == max(a, b)] = min(a, b)
-                    c = c[flat[c] != flat[x]]
-                else:
-                    c = c[1:]
-            answers[x] = mine
-        for i in range(prefix):
-            t = int(tok[i])
-            if shared[t] >= 2:
-                here = lists.setdefault(t, [])
-                if here and here[-1][0] == i and len(here[-1][1]) < 256:
-                    here[-1][1].append(x)
-                else:
-                    here.append((i, [x]))
-    return links
-
-
-def meetings(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored rows (a, b, kind): 0 meetings of sets, 1 equal sets (a > b), 2 ids with their set sizes."""
+def _six(x: np.ndarray) -> bytes:
+    """48-bit values as six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(parts) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
+
+
+def _message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "fold", "kind", "a", "b", "c", "e"])
+
+
+def _asks(fold: int, ids: list, hashes: list, texts: list[bytes], n: int, buckets: int) -> list[tuple]:
+    """A fold's messages: its rows and sets for itself, its distinct shingles for their buckets."""
+    sets = shingle_sets(texts, n)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    named = np.array([d is not None for d in ids])
+    d = np.array([x or 0 for x in ids], np.int64)
+    content = np.array([common.mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    # Empty sets are told apart by id, so that they equal nothing.
+    content = common.mixed(np.where(sizes > 0, content, common.mixed(d.view(np.uint64) ^ np.uint64(0xE3B7))) ^ (sizes.astype(np.uint64) << np.uint64(40)))
+    home = fold % buckets
+    out = [(home, fold, _ROWS, d.tobytes() + named.astype(np.int64).tobytes(), np.array(hashes, np.int64).tobytes(), sizes.tobytes(), content.tobytes())]
+    live = np.flatnonzero((sizes > 0) & named)
+    if not len(live):
+        return out
+    _, one = np.unique(content[live], return_index=True)
+    live = live[np.sort(one)]
+    token = np.concatenate([sets[k] for k in live]) & _MASK
+    owner = np.repeat(np.arange(len(live)), sizes[live])
+    distinct, first, inverse, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+    many = count > 1
+    # What several sets of the fold hold is asked once; who holds it stays with the fold.
+    held = many[inverse.reshape(-1)]
+    place = np.cumsum(many) - 1
+    out.append((home, fold, _SETS, content[live].tobytes(), sizes[live].tobytes(), np.bincount(owner[held], minlength=len(live)).astype(np.int64).tobytes(), None))
+    out.append((home, fold, _HELD, place[inverse.reshape(-1)[held]].astype(np.int32).tobytes(), None, None, None))
+    bucket = (common.mixed(distinct) % np.uint64(buckets)).astype(np.int32)
+    for kind, pick, value in ((_SINGLE, ~many, owner[first].astype(np.uint16)), (_MANY, many, count.astype(np.uint32))):
+        at = np.flatnonzero(pick)
+        at = at[np.argsort(bucket[at], kind="stable")]
+        cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
+        for k in range(buckets):
+            if cuts[k] < cuts[k + 1]:
+                some = at[cuts[k] : cuts[k + 1]]
+                out.append((k, fold, kind, _six(distinct[some]), value[some].tobytes(), None, None))
+    return out
+
+
+def _answers(part: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: each ask is answered with those of its shingles that more than one set holds, and how many do."""
+    asked = part["kind"] <= _MANY
+    own, out = part[~asked], []
+    rows = part[asked]
+    if len(rows):
+        tokens = [_from_six([a]) for a in rows["a"]]
+        weight = [np.ones(len(t), np.int64) if kind == _SINGLE else np.frombuffer(b, np.uint32).astype(np.int64) for t, kind, b in zip(tokens, rows["kind"], rows["b"])]
+        distinct, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+        total = np.bincount(inverse.reshape(-1), weights=np.concatenate(weight), minlength=len(distinct)).astype(np.int64)[inverse.reshape(-1)]
+        at = 0
+        for t, fold, kind, b in zip(tokens, rows["fold"], rows["kind"], rows["b"]):
+            f = total[at : at + len(t)]
+            at += len(t)
+            more = f > 1
+            if more.any():
+                out.append((fold, kind, _six(t[more]), np.frombuffer(b, np.uint16)[more].tobytes() if kind == _SINGLE else None, f[more].astype(np.uint32).tobytes(), None))
+    answered = pd.DataFrame(out, columns=["fold", "kind", "a", "b", "c", "e"])
+    return pd.concat([own[["fold", "kind", "a", "b", "c", "e"]], answered], ignore_index=True)
+
+
+def _assembled(num: int, den: int):
+    """One fold: its rows, and its sets of which enough shingles are shared, those in order of rarity."""
+
+    def assemble(part: pd.DataFrame) -> pd.DataFrame:
+        by = {k: g for k, g in part.groupby("kind")}
+        r = by[_ROWS].iloc[0]
+        d = np.frombuffer(r["a"], np.int64)
+        rows = pd.DataFrame({"d": d[: len(d) // 2], "named": d[len(d) // 2 :] == 1, "h": np.frombuffer(r["b"], np.int64), "size": np.frombuffer(r["c"], np.int64), "content": np.frombuffer(r["e"], np.int64)})
+        rows["kind"], rows["tokens"] = 0, None
+        names = ["kind", "d", "named", "h", "content", "size", "tokens"]
+        if _SETS not in by:
+            return rows[names]
+        s = by[_SETS].iloc[0]
+        content, size, holds = np.frombuffer(s["a"], np.int64), np.frombuffer(s["b"], np.int64), np.frombuffer(s["c"], np.int64)
+        held = np.frombuffer(by[_HELD].iloc[0]["a"], np.int32)
+        token, owner, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if _MANY in by:
+            t, f = _from_six(by[_MANY]["a"]), np.frombuffer(b"".join(by[_MANY]["c"]), np.uint32).astype(np.int64)
+            order = np.argsort(t)
+            token.append(t[order][held])
+            often.append(f[order][held])
+            owner.append(np.repeat(np.arange(len(content)), holds))
+        if _SINGLE in by:
+            token.append(_from_six(by[_SINGLE]["a"]))
+            owner.append(np.frombuffer(b"".join(by[_SINGLE]["b"]), np.uint16).astype(np.int64))
+            often.append(np.frombuffer(b"".join(by[_SINGLE]["c"]), np.uint32).astype(np.int64))
+        token, owner, often = np.concatenate(token), np.concatenate(owner), np.concatenate(often)
+        shared = np.bincount(owner, minlength=len(content))
+        alive = shared * den >= size * num
+        pick = alive[owner]
+        token, owner, often = token[pick].astype(np.int64), owner[pick], often[pick]
+        order = np.lexsort((token, often, owner))
+        token = token[order]
+        ends = np.cumsum(np.where(alive, shared, 0))
+        k = np.flatnonzero(alive)
+        some = pd.DataFrame({"kind": 1, "d": 0, "named": True, "h": 0, "content": content[k], "size": size[k], "tokens": [token[ends[i] - shared[i] : ends[i]] for i in k]})
+        return pd.concat([rows[names], some[names]], ignore_index=True) if len(some) else rows[names]
+
+    return assemble
+
+
+def folded(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stored (rows, sets): every row's id (d, if named), text hash h, content and size; every possible partner's size and shared shingles.
+
+    ``docs`` must give the same rows when a task is repeated, as files and stored tables do.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
-    buckets = 2 * common.parts_for(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("d"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
-
-    def emit(kind: int, by: np.ndarray, x: np.ndarray, y: np.ndarray):
-        if not len(x):
-            return
-        order = np.argsort(by, kind="stable")
-        by, x, y = by[order], x[order], y[order]
-        cuts = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
-        ends = np.append(cuts[1:], len(by))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(by[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int32)), pa.array([x[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()), pa.array([y[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())],
-            names=["bucket", "kind", "x", "y"],
-        )
-
-    def bucket_of(key: np.ndarray) -> np.ndarray:
-        return (key % np.uint64(buckets)).astype(np.int64)
-
-    def postings(batches):
-        groups = Groups(num, den)
-
-        def flush(ids, texts):
-            ids, sets = np.array(ids, np.int64), shingle_sets(texts, n)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            yield from emit(4, bucket_of(common.mixed(ids.view(np.uint64))), ids, sizes)
-            live = np.flatnonzero((sizes > 0) & (ids != _NONE))
-            sums = np.array([common.mixed(s).sum(dtype=np.uint64) for s in map(sets.__getitem__, live)], np.uint64)
-            sums = common.mixed(sums ^ (sizes[live].astype(np.uint64) << np.uint64(40)))
-            key, node, edges = _fold(sums, ids[live])
-            yield from emit(1, bucket_of(key), key, node)
-            yield from emit(3, bucket_of(common.mixed(edges[:, 0].view(np.uint64))), edges[:, 0].copy(), edges[:, 1].copy())
-            # One set of each content goes on.
-            _, one = np.unique(sums, return_index=True)
-            lead = dict(zip(key.tolist(), node.tolist()))
-            keys, nodes = [], []
-            for k in one:
-                ks = groups.keys(sets[live[k]])
-                keys.append(ks)
-                nodes.append(np.full(len(ks), lead[int(sums[k])], np.int64))
-            if keys:
-                key, node, edges = _fold(np.concatenate(keys), np.concatenate(nodes))
-                yield from emit(0, bucket_of(key), key, node)
-                yield from emit(2, bucket_of(common.mixed(edges[:, 0].view(np.uint64))), edges[:, 0].copy(), edges[:, 1].copy())
-
-        ids, texts, held = [], [], 0
+    body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(body).alias("h"), body.alias("t"))
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = max(common.parts_for(spark), -(-total // MEET))
+
+    def ask(batches):
+        from pyspark import TaskContext
+
+        fold = TaskContext.get().partitionId() << 32
+        ids, hashes, kept, held = [], [], [], 0
         for b in batches:
-            for d, t in zip(b.column("d").to_pylist(), b.column("t").to_pylist()):
+            for d, h, t in zip(*(b.column(c).to_pylist() for c in ("d", "h", "t"))):
                 ids.append(d)
-                texts.append(t)
+                hashes.append(h)
+                kept.append(t)
                 held += len(t)
-                if held >= FOLD:
-                    yield from flush(ids, texts)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield from flush(ids, texts)
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, says in ((0, 0), (1, 1)):
-            rows = part[part["kind"] == kind]
-            if len(rows):
-                key = np.concatenate([np.frombuffer(v, np.uint64) for v in rows["x"]])
-                node = np.concatenate([np.frombuffer(v, np.int64) for v in rows["y"]])
-                out.append((_fold(key, node)[2], says))
-        for kind, says in ((2, 0), (3, 1), (4, 2)):
-            rows = part[part["kind"] == kind]
-            if len(rows):
-                x = np.concatenate([np.frombuffer(v, np.int64) for v in rows["x"]])
-                out.append((np.stack((x, np.concatenate([np.frombuffer(v, np.int64) for v in rows["y"]])), 1), says))
-        if not out:
-            return pd.DataFrame({"a": [], "b": [], "kind": []}).astype({"a": "int64", "b": "int64", "kind": "int32"})
-        both = np.concatenate([x for x, _ in out])
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "kind": np.concatenate([np.full(len(x), k, np.int32) for x, k in out])})
-
-    dealt = rows.mapInArrow(postings, "bucket int, kind int, x binary, y binary")
-    return common.stored(dealt.groupBy("bucket").applyInPandas(meet, "a long, b long, kind int"), "meetings")
-
-
-def linked(docs: DataFrame, met: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified links (a, b) that span the components of the sets that met."""
-    spark = docs.sparkSession
-    same = met.where("kind = 1")
-    clusters = common.components(met.where("kind < 2"))
-    # Of equal sets the least id stands for all.
-    members = clusters.join(same.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-    sizes = met.where("kind = 2").groupBy(F.col("a").alias("node")).agg(F.max("b").alias("size"))
-    members = common.stored(members.join(sizes, "node"), "members")
-    blocks = members.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks")).where("n > 1")
-    members = common.stored(members.join(blocks.drop("n"), "root").select("node", "root", "blocks"), "members")
-    count = members.count()
-    if not count:
-        return members.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    # The ids alone are broadcast, up to a fixed number of them.
-    members = F.broadcast(members) if count <= BROADCAST_ROWS else members
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(members, "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    texts = texts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("node", "root", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node", kind="stable").drop_duplicates("node")
-        sets = shingle_sets([t.encode() for t in part["t"]], n)
-        node, i, j = part["node"].to_numpy(), part["i"].iloc[0], part["j"].iloc[0]
-        across = None if i == j else (part["block"].to_numpy() == j).astype(np.int8)
-        got = local_join(sets, num, den, across)
-        a, b = np.array([x for x, _ in got], np.int64), np.array([y for _, y in got], np.int64)
-        return pd.DataFrame({"a": node[a] if len(got) else a, "b": node[b] if len(got) else b})
-
-    return common.stored(texts.groupBy("root", "i", "j").applyInPandas(join, "a long, b long"), "links")
+                if held >= FOLD or len(kept) >= FOLD_ROWS:
+                    yield _message(_asks(fold, ids, hashes, kept, n, buckets))
+                    fold += 1
+                    ids, hashes, kept, held = [], [], [], 0
+        if kept:
+            yield _message(_asks(fold, ids, hashes, kept, n, buckets))
+
+    answered = texts.mapInArrow(ask, _MESSAGE).groupBy("bucket").applyInPandas(_answers, _MESSAGE.removeprefix("bucket int, "))
+    every = answered.groupBy("fold").applyInPandas(_assembled(num, den), "kind int, d long, named boolean, h long, content long, size long, tokens array<long>")
+    every = common.stored(every, "folded")
+    rows = every.where("kind = 0").select(F.when(F.col("named"), F.col("d")).alias("d"), "h", "content", "size")
+    # A set that several folds hold is the same in each.
+    sets = every.where("kind = 1").groupBy(F.col("content").alias("node")).agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    return rows, common.stored(sets, "sets")
+
+
+def _need(num: int, den: int, both: Column) -> Column:
+    """The least overlap of two linked sets with ``both`` members together."""
+    return F.floor((both * num + (num + den - 1)) / (num + den)).cast("long")
+
+
+def _near(num: int, den: int, a: Column, b: Column) -> Column:
+    return F.least(a, b) * den >= F.greatest(a, b) * num
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored ``pairs`` (x, y) with sizes sx, sy, the counted overlap i and whether they are ``linked``."""
+    one = sets.select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("tokens").alias("tx"))
+    two = sets.select(F.col("node").alias("y"), F.col("size").alias("sy"), F.col("tokens").alias("ty"))
+    met = common.salted_join(common.salted_join(pairs, two, "y", "x"), one, "x", "y")
+    met = met.select("x", "y", "sx", "sy", F.size(F.array_intersect("tx", "ty")).cast("long").alias("i"))
+    return common.stored(met.withColumn("linked", F.col("i") >= _need(num, den, F.col("sx") + F.col("sy"))), "verified")
+
+
+def entries_of(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored index entries (token, node, size, pos): the shared shingles of each set's prefix."""
+    held = F.size("tokens").cast("long")
+    least = F.floor((F.col("size") * num + den - 1) / den).cast("long")
+    prefix = F.slice("tokens", 1, (held - least + 1).cast("int"))
+    out = sets.select("node", "size", (F.col("size") - held).alias("own"), F.posexplode(prefix).alias("k", "token"))
+    return common.stored(out.select("token", "node", "size", (F.col("own") + F.col("k")).alias("pos")), "entries")
+
+
+def leading(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored pairs (x, y): every listed set and the leader that it meets most often."""
+    lead = entries.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("o"), "node", "size")).alias("lead")).where("n > 1")
+    lead = lead.select("token", F.col("lead.node").alias("y"), F.col("lead.size").alias("sy"))
+    met = common.salted_join(entries, lead, "token", "node").where((F.col("node") != F.col("y")) & _near(num, den, F.col("size"), F.col("sy")))
+    often = met.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("n"))
+    best = often.groupBy("x").agg(F.max(F.struct("n", F.xxhash64("y").alias("o"), "y")).alias("best"))
+    return common.stored(best.select("x", F.col("best.y").alias("y")), "leading")
+
+
+def blocks_of(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Stored blocks of the lists that hold more than one component, with headers for skipping."""
+    e = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    e = common.stored(e, "placed")
+    open_ = e.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "n")
+    e = common.salted_join(e, open_, "token", "node")
+    band = F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log2(F.col("pos") + 1.0)).cast("int"))
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    cut = e.groupBy("token", band.alias("band"), salt.alias("salt")).agg(
+        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("node", "size", "pos", "comp")).alias("held"),
+    )
+    return common.stored(cut.withColumn("block", F.struct("band", "salt")), "blocks")
+
+
+def block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of blocks of a list that their headers can't rule out."""
+    a, b = (blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "pos", "low", "high", "c0", "c1", "held"))) for s in "ab")
+    met = a.join(b, "token").where("block_a <= block_b")
+    one = (F.col("c0_a") == F.col("c1_a")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0_a") == F.col("c0_b"))
+    far = (F.col("high_a") * den < F.col("low_b") * num) | (F.col("high_b") * den < F.col("low_a") * num)
+    left = F.least(F.col("high_a") - F.col("pos_a"), F.col("high_b") - F.col("pos_b"))
+    return met.where(~one & ~far & (left >= _need(num, den, F.col("low_a") + F.col("low_b"))))
+
+
+def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored pairs (x, y, sx, sy, cx, cy) of sets of different components, x < y, whose positions leave enough."""
+
+    def meets(p: Column, q: Column) -> Column:
+        enough = F.least(p["size"] - p["pos"], q["size"] - q["pos"]) >= _need(num, den, p["size"] + q["size"])
+        return (p["comp"] != q["comp"]) & _near(num, den, p["size"], q["size"]) & enough
+
+    def pair(p: Column, q: Column) -> Column:
+        first = p["node"] < q["node"]
+        return F.struct(*(F.when(first, a[c]).otherwise(b[c]).alias(n) for n, a, b, c in (("x", p, q, "node"), ("y", q, p, "node"), ("sx", p, q, "size"), ("sy", q, p, "size"), ("cx", p, q, "comp"), ("cy", q, p, "comp"))))
+
+    got = block_pairs(blocks, num, den).select(F.explode("held_a").alias("p"), "held_b")
+    got = got.select("p", F.explode("held_b").alias("q")).where(meets(F.col("p"), F.col("q")))
+    return common.stored(got.select(pair(F.col("p"), F.col("q")).alias("v")).select("v.*").distinct(), "candidates")
+
+
+def derived(cand: DataFrame, answers: DataFrame, num: int, den: int) -> DataFrame:
+    """``cand`` with ``says``: true or false where answers for a common leader decide, else null."""
+    x = answers.select("x", F.col("y").alias("lx"), F.col("sy").alias("sl"), F.col("i").alias("ix"))
+    y = answers.select(F.col("x").alias("y"), F.col("y").alias("ly"), F.col("i").alias("iy"))
+    # A leader's answer for itself is its size.
+    both = cand.join(x, "x", "left").join(y, "y", "left")
+    need = _need(num, den, F.col("sx") + F.col("sy"))
+    low = F.col("ix") + F.col("iy") - F.col("sl")
+    high = F.least(F.col("ix") + F.col("sy") - F.col("iy"), F.col("iy") + F.col("sx") - F.col("ix"))
+    says = F.when(F.col("lx") == F.col("ly"), F.when(low >= need, True).when(high < need, False))
+    says = F.when((F.col("lx") == F.col("y")), F.col("ix") >= need).when((F.col("ly") == F.col("x")), F.col("iy") >= need).otherwise(says)
+    return both.select("x", "y", "sx", "sy", "cx", "cy", says.alias("says"))
+
+
+def reached(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root): the sets that links reach, root the smallest of their component."""
+    entries = entries_of(sets, num, den)
+    answers = verified(leading(entries, num, den), sets, num, den)
+    links = answers.where("linked").select("x", "y")
+    comps = common.components(links, "x", "y")
+    cand = candidates(blocks_of(entries, comps), num, den)
+    if not cand.limit(1).count():
+        return comps
+    open_ = common.stored(derived(cand, answers, num, den), "derived")
+    found, open_, pick = open_.where("says").select("x", "y"), open_.where("says is null").select("x", "y", "cx", "cy"), 1
+    while True:
+        if found.limit(1).count():
+            links = common.stored(links.union(found), "links")
+            comps = common.components(links, "x", "y")
+        at = comps.select(F.col("node").alias("cx"), F.col("root").alias("rx"))
+        to = comps.select(F.col("node").alias("cy"), F.col("root").alias("ry"))
+        now = open_.join(at, "cx", "left").join(to, "cy", "left").withColumn("cx", F.coalesce("rx", "cx")).withColumn("cy", F.coalesce("ry", "cy"))
+        now = common.stored(now.where("cx <> cy").select("x", "y", F.least("cx", "cy").alias("cx"), F.greatest("cx", "cy").alias("cy")), "open")
+        if not now.limit(1).count():
+            return comps
+        # Of the pairs of two components one is counted, then more: what a link joins needs no other.
+        one = now.groupBy("cx", "cy", F.pmod(F.xxhash64("x", "y"), F.lit(pick))).agg(F.min(F.struct("x", "y")).alias("v")).select("v.*")
+        counted = verified(common.stored(one, "picked"), sets, num, den)
+        found = counted.where("linked").select("x", "y")
+        open_ = now.join(counted.select("x", "y"), ["x", "y"], "left_anti")
+        pick *= 16
+
+
+def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", merge_ids: bool = False) -> DataFrame:
+    """Stored (d, h, content, size, root) of every row: its set and the least set that links reach, null for rows without an id.
+
+    With ``merge_ids`` the different texts of one id are linked as well.
+    """
+    rows, sets = folded(docs, n, num, den, id_col, text_col)
+    comps = reached(sets, num, den)
+    if merge_ids:
+        named = rows.where("d is not null")
+        several = named.groupBy("d").agg(F.min("content").alias("b"), F.max("content").alias("m")).where("b <> m").select("d", "b")
+        several = common.stored(several, "several")
+        if several.limit(1).count():
+            again = common.salted_join(named.select("d", F.col("content").alias("a")), several, "d", "a").select("a", "b")
+            comps = common.components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(again))
+    out = common.salted_join(rows, comps.select(F.col("node").alias("content"), "root"), "content", "h", "left")
+    return common.stored(out.withColumn("root", F.when(F.col("d").isNotNull(), F.coalesce("root", "content"))), "grouped")
 
 
 def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,10 +360,7 @@ def joined(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: s
 
     Two sets are linked when den * |intersection| >= num * |union|.
     """
-    met = meetings(docs, n, num, den, id_col, text_col)
-    links = linked(docs, met, n, num, den, id_col, text_col)
-    roots = common.components(met.where("kind = 1").select("a", "b").union(links))
-    rows = met.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
-    out = rows.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
-    d = [F.when(F.col(c) != _NONE, F.col(c)).alias(a) for c, a in (("node", id_col), ("component_id", "component_id"))]
-    return out.select(d[0], "n_shingles", d[1])
+    rows = grouped(docs, n, num, den, id_col, text_col, merge_ids=True)
+    least = rows.where("d is not null").groupBy("root").agg(F.min("d").alias("component_id"))
+    out = common.salted_join(rows, least, "root", "h", "left")
+    return out.select(F.col("d").alias(id_col), F.col("size").alias("n_shingles"), "component_id")

@@ -254,46 +254,83 @@ def test_set_join(spark, docs, n, num):
     assert got == components(corpus(), n, num, 100)
 
 
-def test_set_join_groups_and_blocks(spark, none, monkeypatch):
+def near_copies():
     rng = random.Random(5)
-    base = rng.choices(WORDS, k=60)
     rows = []
-    for k in range(90):
-        w = list(base)
-        for _ in range(rng.randrange(3)):
-            w[rng.randrange(60)] = rng.choice(WORDS)
-        rows.append((k, " ".join(w)))
-    d = spark.createDataFrame(rows + [(None, "a b c d"), (None, None)], "doc_id long, text string")
-    want = components(rows, 3, 90, 100)
-    monkeypatch.setattr(setjoin, "BLOCK", 900)  # many pairs of blocks
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.joined(d, 3, 90, 100).collect()}
-    assert got.pop(None)[1] is None
-    assert got == want
+    for base in (rng.choices(WORDS, k=60), rng.choices(WORDS, k=64)):
+        for _ in range(45):
+            w = list(base)
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(60)] = rng.choice(WORDS)
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_set_join_groups_and_blocks(spark, none, monkeypatch):
+    rows = near_copies()
+    d = spark.createDataFrame(rows + [(None, "a b c d"), (None, None), (None, rows[0][1])], "doc_id long, text string")
+    monkeypatch.setattr(setjoin, "BLOCK", 4)  # many blocks of a list
+    monkeypatch.setattr(setjoin, "MEET", 2_000)
+    monkeypatch.setattr(setjoin, "FOLD", 3_000)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    for num in (90, 80):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.joined(d, 3, num, 100).collect()}
+        assert got.pop(None)[1] is None
+        assert got == components(rows, 3, num, 100)
     assert setjoin.joined(none, 3, 90, 100).count() == 0
 
 
-def test_local_join_skips_right():
-    rng = np.random.default_rng(7)
-    for _ in range(30):
-        sets = []
-        for _ in range(40):
-            s = rng.integers(0, 60, rng.integers(1, 40))
-            if sets and rng.random() < 0.6:
-                s = np.concatenate((sets[rng.integers(len(sets))][rng.integers(0, 3) :], s[:1]))
-            sets.append(np.unique(s).astype(np.uint64))
-        got = setjoin.local_join(sets, 80, 100)
-        root = list(range(40))
-
-        def comps(pairs):
-            root[:] = range(40)
-            for a, b in pairs:
-                x, y = root[a], root[b]
-                root[:] = [min(x, y) if r in (x, y) else r for r in root]
-            return list(root)
-
-        every = [(a, b) for a in range(40) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
-        assert set(map(frozenset, got)) <= set(map(frozenset, every))
-        assert comps(got) == comps(every)
+def test_set_join_skips_blocks_and_derives_answers(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK", 4)
+    d = spark.createDataFrame(near_copies(), "doc_id long, text string")
+    _, sets = setjoin.folded(d, 3, 80, 100)
+    entries = setjoin.entries_of(sets, 80, 100)
+    answers = setjoin.verified(setjoin.leading(entries, 80, 100), sets, 80, 100)
+    alone = common.components(answers.where("false").select("x", "y"), "x", "y")
+    blocks = setjoin.blocks_of(entries, alone)
+    every = blocks.groupBy("token").count().selectExpr("sum(count * (count + 1) / 2)").first()[0]
+    assert 0 < setjoin.block_pairs(blocks, 80, 100).count() < every
+    cand = setjoin.candidates(blocks, 80, 100)
+    says = setjoin.derived(cand, answers, 80, 100)
+    tokens_ = {r["node"]: set(r["tokens"]) for r in sets.collect()}
+    counts = Counter()
+    for r in says.collect():
+        i = len(tokens_[r["x"]] & tokens_[r["y"]])
+        counts[r["says"]] += 1
+        assert r["says"] in (None, 180 * i >= 80 * (r["sx"] + r["sy"]))
+    assert counts[True] and counts[False]
+    # No link is skipped.
+    found = {(r["x"], r["y"]) for r in cand.collect()}
+    sizes = {r["node"]: r["size"] for r in sets.collect()}
+    for x in sizes:
+        for y in sizes:
+            if x < y and 180 * len(tokens_[x] & tokens_[y]) >= 80 * (sizes[x] + sizes[y]):
+                assert (x, y) in found
+
+
+def test_set_join_with_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(rng.choices(WORDS, k=30)) for _ in range(3))
+    rows = [(1, a), (2, b), (1, b), (3, a), (4, c), (4, None), (5, ""), (None, c), (None, b), (6, c + " end")]
+    for parts in (1, 3, 7):
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in setjoin.joined(d, 3, 90, 100).collect()), key=str)
+        want = [(1, 28, 1), (2, 28, 1), (1, 28, 1), (3, 28, 1), (4, 28, 4), (4, 0, 4), (5, 0, 5), (0, 28, None), (0, 28, None), (6, 29, 4)]
+        assert got == sorted(want, key=str)
+
+
+def test_components(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(k, 300) for k in range(200, 230)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(90)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+    for _ in range(60):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    for hot in (2000, 3):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: r for x, r in root.items() if any(a != b and x in (a, b) for a, b in edges)}
 
 
 # 6
