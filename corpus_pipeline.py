@@ -6,7 +6,7 @@ again as the next one's docs.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import common, mixing, packing, setjoin, substrings, toxicity
@@ -30,17 +30,23 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near duplicates the document with the smallest id.
+    """Of every component of near duplicates one document: that of the smallest id, then the smallest text hash.
 
-    Texts without words, and rows without an id, stay.  Rows of one id are one document:
-    the one with the smallest text stays.
+    Texts without words, and rows without an id, stay, each as it is.  Different texts of one id
+    are different documents; of rows that repeat id and text one stays.
     """
-    rows = common.stored(setjoin.joined(docs, n=WORDS, num=SIMILAR, den=100), "groups")
-    gone = common.stored(rows.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    out = docs.join(_hint(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        out = out.withColumn("_r", F.row_number().over(first)).where("_r = 1 or doc_id is null").drop("_r")
+    rows = setjoin.grouped(docs, n=WORDS, num=SIMILAR, den=100)
+    rows = rows.where("d is not null and size > 0")
+    first = rows.groupBy("root").agg(F.min(F.struct("d", "h")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
+    met = common.salted_join(rows, first, "root", "d")
+    gone = common.stored(met.where(F.struct("d", "h") != F.col("first")).select("d", "h").distinct(), "gone")
+    names = common.fresh(docs, "d", "h")
+    gone = gone.toDF(*names)
+    h = F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    out = docs.join(_hint(gone), (F.col("doc_id") == F.col(names[0])) & (h == F.col(names[1])), "left_anti")
+    if rows.groupBy("d", "h").count().where("count > 1").limit(1).count():
+        again = out.where("doc_id is not null and text is not null").dropDuplicates(["doc_id", "text"])
+        out = again.unionByName(out.where("doc_id is null or text is null"))
     return out.select(*docs.columns)
 
 
