@@ -174,6 +174,15 @@ def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
 
 
+#: Rows of ids that are broadcast at most (16 MB of numbers).
+BROADCAST_ROWS = 1_000_000
+
+
+def hinted(ids: DataFrame) -> DataFrame:
+    """``ids``, narrow rows, to be broadcast if they are counted to be few enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 #: Rows of one key from which a join splits it, and into how many parts.
 HOT_ROWS, SALTS = 2_000, 64
 

@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 #: Text bytes and documents that a task folds before it asks.
-FOLD, FOLD_ROWS = 24_000_000, 65_000
+FOLD, FOLD_ROWS = 8_000_000, 65_000
 #: Text bytes whose shingles meet in one task, about.
-MEET = 10_000_000
+MEET = 8_000_000
 #: Entries in a block of an index list, about.
 BLOCK = 128
 _MASK = np.uint64((1 << 48) - 1)
@@ -228,6 +228,9 @@ def _near(num: int, den: int, a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Stored ``pairs`` (x, y) with sizes sx, sy, the counted overlap i and whether they are ``linked``."""
+    # Only the sets that are asked for are dealt.
+    asked = common.hinted(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+    sets = sets.join(asked, "node", "left_semi")
     one = sets.select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("tokens").alias("tx"))
     two = sets.select(F.col("node").alias("y"), F.col("size").alias("sy"), F.col("tokens").alias("ty"))
     met = common.salted_join(common.salted_join(pairs, two, "y", "x"), one, "x", "y")
@@ -334,7 +337,7 @@ def reached(sets: DataFrame, num: int, den: int) -> DataFrame:
         counted = verified(common.stored(one, "picked"), sets, num, den)
         found = counted.where("linked").select("x", "y")
         open_ = now.join(counted.select("x", "y"), ["x", "y"], "left_anti")
-        pick *= 16
+        pick *= 64
 
 
 def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", merge_ids: bool = False) -> DataFrame:
