@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; texts may be long, so far fewer than Spark's 10,000.
@@ -48,16 +49,31 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: the lineage ends there."""
+def stored(df: DataFrame, name: str, total: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it: the lineage ends there.
+
+    What the writing counted is kept: ``_rows``, and ``_total``, the sum of the column ``total``.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    figures = [F.count(F.lit(1)).alias("n"), (F.sum(total) if total else F.lit(0)).alias("s")]
+    seen = Observation()
+    df.observe(seen, *figures[: 1 + bool(total)]).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    try:
+        got = seen.get
+    except Py4JJavaError:  # a plan that turns out empty has nothing to observe
+        got = out.agg(*figures[: 1 + bool(total)]).first().asDict()
+    out._stored_at, out._rows, out._total = path, got["n"], got.get("s") or 0
     return out
 
 
+def at_most(df: DataFrame, n: int) -> bool:
+    """Whether ``df`` has no more than ``n`` rows; what a stored table's writing counted serves."""
+    rows = getattr(df, "_rows", None)
+    return (df.limit(n + 1).count() if rows is None else rows) <= n
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in tables:
@@ -180,7 +196,7 @@ BROADCAST_ROWS = 1_000_000
 
 def hinted(ids: DataFrame) -> DataFrame:
     """``ids``, narrow rows, to be broadcast if they are counted to be few enough."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if at_most(ids, BROADCAST_ROWS) else ids
 
 
 #: Rows of one key from which a join splits it, and into how many parts.
@@ -193,6 +209,8 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how:
     At most 1,000 keys, the most frequent ones, are split; their rows of ``lookup`` are repeated for each part.
     ``rows`` should be a stored table: it is read twice.
     """
+    if getattr(rows, "_rows", HOT_ROWS) < HOT_ROWS:
+        return rows.join(lookup, key, how)
     top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(1000).where(F.col("_n") >= HOT_ROWS).collect()
     if not top:
         return rows.join(lookup, key, how)
@@ -204,11 +222,13 @@ def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how:
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """Connected components of undirected ``edges``: (node, root), root the smallest node.
 
-    Alternates large-star and small-star steps until every node has one edge, to a
-    node without one; the number of rounds grows with the logarithm of the longest
+    With ``rounds`` the steps end early: then nodes of one root are connected, but a component may have several roots.
+
+    Alternates large-star and small-star steps until neither changes an edge; then every
+    node has one edge, to a node without one.  The number of rounds grows with the logarithm of the longest
     chain.  Every round is a written table, and frequent nodes are split in its joins.
     Nodes without an edge to another node are left out.
     """
@@ -217,17 +237,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # Large star: a node's larger neighbours point to the smallest node around it.
         low = e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        large = salted_join(e, low, "b", "a", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
-        large = stored(large, "star")
+        met = salted_join(e, low, "b", "a", "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().cast("int").alias("moved"))
+        met = stored(met.groupBy("a", "b").agg(F.max("moved").alias("moved")), "star", "moved")
         forget(e)
         # Small star: a node and its smaller neighbours point to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(large, low, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "star")
-        forget(large)
-        up = e.groupBy("a").agg(F.count("*").alias("n"))
-        ends = e.select(F.col("b").alias("a")).distinct()
-        if not up.where("n > 1").select("a").union(ends.join(up, "a", "left_semi")).limit(1).count():
+        low = met.groupBy("a").agg(F.min("b").alias("m"))
+        small = salted_join(met, low, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(1).alias("moved"))
+        small = small.union(low.select("a", F.col("m").alias("b"), F.lit(0)))
+        e = stored(small.groupBy("a", "b").agg(F.max("moved").alias("moved")), "star", "moved")
+        forget(met)
+        if not met._total and not e._total:
             break
+        if rounds is not None and (rounds := rounds - 1) <= 0:
+            return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

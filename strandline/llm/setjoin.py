@@ -8,16 +8,15 @@ A set's name is its content's 64-bit hash, so equal sets are one node from the s
    A set of which fewer than t of its shingles occur elsewhere has no partner and ends here.
 2. Index lists.  A set's shingles are ordered by rarity; it is listed under those of its
    prefix that others hold.
-3. Leaders.  Of each list one set leads.  Every set is compared with the leader that it
-   meets most often; verified links alone form components.  This takes one comparison
-   for each set, however large a group of near copies is.
+3. Leaders.  Of each list a set of its largest component so far leads.  Every set of another component
+   is compared with the leader that it meets most often; verified links alone form components.  A turn
+   takes a few comparisons for each set, however large a group of near copies is; turns go on while they pay.
 4. Index-level skipping.  Lists of one component are dropped.  The others are cut into
    blocks by position, each with its least position, sizes and components; pairs of blocks are
    skipped on those headers, before any entry is read.
 5. Answer-level skipping.  Sets x and y with computed answers for one leader L get bounds from them:
    |x & L| + |y & L| - |L| <= |x & y| <= min(|x & L| + |y - L|, |y & L| + |x - L|).
-   Where the bounds decide, nothing is counted; the rest is counted.  One pair of two components is
-   counted at a time, since a link makes the others needless.
+   Where the bounds decide, nothing is counted; the rest is counted.
 
 A set: distinct n-word shingles of the text with A-Z lower-cased, words being runs
 without ASCII white space; a shorter text is one shingle; a text without words, or
@@ -41,6 +40,8 @@ FOLD, FOLD_ROWS = 8_000_000, 65_000
 MEET = 8_000_000
 #: Entries in a block of an index list, about.
 BLOCK = 128
+#: Comparing with leaders goes on while one in so many comparisons finds a link.
+PAYS = 10
 _MASK = np.uint64((1 << 48) - 1)
 _MESSAGE = "bucket int, fold long, kind int, a binary, b binary, c binary, e binary"
 _SINGLE, _MANY, _ROWS, _SETS, _HELD = range(5)
@@ -229,7 +230,8 @@ def _near(num: int, den: int, a: Column, b: Column) -> Column:
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Stored ``pairs`` (x, y) with sizes sx, sy, the counted overlap i and whether they are ``linked``."""
     # Only the sets that are asked for are dealt.
-    asked = common.hinted(pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct())
+    asked = pairs.select(F.col("x").alias("node")).union(pairs.select(F.col("y").alias("node"))).distinct()
+    asked = F.broadcast(asked) if common.at_most(pairs, common.BROADCAST_ROWS // 2) else asked
     sets = sets.join(asked, "node", "left_semi")
     one = sets.select(F.col("node").alias("x"), F.col("size").alias("sx"), F.col("tokens").alias("tx"))
     two = sets.select(F.col("node").alias("y"), F.col("size").alias("sy"), F.col("tokens").alias("ty"))
@@ -247,20 +249,37 @@ def entries_of(sets: DataFrame, num: int, den: int) -> DataFrame:
     return common.stored(out.select("token", "node", "size", (F.col("own") + F.col("k")).alias("pos")), "entries")
 
 
-def leading(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Stored pairs (x, y): every listed set and the leader that it meets most often."""
-    lead = entries.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("o"), "node", "size")).alias("lead")).where("n > 1")
-    lead = lead.select("token", F.col("lead.node").alias("y"), F.col("lead.size").alias("sy"))
-    met = common.salted_join(entries, lead, "token", "node").where((F.col("node") != F.col("y")) & _near(num, den, F.col("size"), F.col("sy")))
+def placed(entries: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``entries`` with the component of each set."""
+    if comps is None:
+        return entries.withColumn("comp", F.col("node"))
+    return entries.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+
+def leading(entries: DataFrame, comps: DataFrame | None, tried: DataFrame | None, num: int, den: int, turn: int = 0) -> DataFrame:
+    """Stored pairs (x, y): sets and the leaders that they meet most often, sets of other components; 2 to the ``turn`` leaders for each.
+
+    A list's leader is of its largest component: the set where the list's shingle comes first, for few rare
+    shingles before it mean a set in the middle of its like; later turns blur that order.  Pairs in ``tried`` are left out.
+    """
+    e = placed(entries, comps)
+    o = F.col("pos") + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 + 8 * turn))
+    lead = e.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct(o.alias("o"), "node", "size")).alias("lead"))
+    lead = lead.groupBy("token").agg(F.max(F.struct("n", "comp", "lead")).alias("v"), F.count("*").alias("comps")).where("comps > 1")
+    lead = lead.select("token", F.col("v.comp").alias("cy"), F.col("v.lead.node").alias("y"), F.col("v.lead.size").alias("sy"))
+    met = common.salted_join(common.stored(e, "placed"), lead, "token", "node").where((F.col("comp") != F.col("cy")) & _near(num, den, F.col("size"), F.col("sy")))
     often = met.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("n"))
-    best = often.groupBy("x").agg(F.max(F.struct("n", F.xxhash64("y").alias("o"), "y")).alias("best"))
-    return common.stored(best.select("x", F.col("best.y").alias("y")), "leading")
+    if tried is not None:
+        often = often.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    # A set has no more leaders than shingles in its prefix.
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.xxhash64("y").alias("o"), "y"))), 1, 1 << turn)
+    best = often.groupBy("x").agg(best.alias("best")).select("x", F.explode("best").alias("v"))
+    return common.stored(best.select("x", F.col("v.y").alias("y")), "leading")
 
 
 def blocks_of(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """Stored blocks of the lists that hold more than one component, with headers for skipping."""
-    e = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    e = common.stored(e, "placed")
+    e = common.stored(placed(entries, comps), "placed")
     open_ = e.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "n")
     e = common.salted_join(e, open_, "token", "node")
     band = F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log2(F.col("pos") + 1.0)).cast("int"))
@@ -298,46 +317,48 @@ def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def derived(cand: DataFrame, answers: DataFrame, num: int, den: int) -> DataFrame:
-    """``cand`` with ``says``: true or false where answers for a common leader decide, else null."""
-    x = answers.select("x", F.col("y").alias("lx"), F.col("sy").alias("sl"), F.col("i").alias("ix"))
-    y = answers.select(F.col("x").alias("y"), F.col("y").alias("ly"), F.col("i").alias("iy"))
-    # A leader's answer for itself is its size.
-    both = cand.join(x, "x", "left").join(y, "y", "left")
+    """``cand`` with ``says``: true or false where answers decide, else null.
+
+    Answers (x, y, sx, sy, i) for a common leader y bound a pair's overlap; a pair that has its own answer follows it.
+    """
+    one = answers.groupBy("x").agg(F.max(F.struct("i", "y", "sy")).alias("v"))
+    x = one.select("x", F.col("v.y").alias("lx"), F.col("v.sy").alias("sl"), F.col("v.i").alias("ix"))
+    y = one.select(F.col("x").alias("y"), F.col("v.y").alias("ly"), F.col("v.i").alias("iy"))
+    own = answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("linked").alias("own")).distinct()
+    both = cand.join(x, "x", "left").join(y, "y", "left").join(own, ["x", "y"], "left")
     need = _need(num, den, F.col("sx") + F.col("sy"))
     low = F.col("ix") + F.col("iy") - F.col("sl")
     high = F.least(F.col("ix") + F.col("sy") - F.col("iy"), F.col("iy") + F.col("sx") - F.col("ix"))
-    says = F.when(F.col("lx") == F.col("ly"), F.when(low >= need, True).when(high < need, False))
-    says = F.when((F.col("lx") == F.col("y")), F.col("ix") >= need).when((F.col("ly") == F.col("x")), F.col("iy") >= need).otherwise(says)
+    says = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("lx") == F.col("ly"), F.when(low >= need, True).when(high < need, False))
     return both.select("x", "y", "sx", "sy", "cx", "cy", says.alias("says"))
 
 
 def reached(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root): the sets that links reach, root the smallest of their component."""
     entries = entries_of(sets, num, den)
-    answers = verified(leading(entries, num, den), sets, num, den)
+    answers, comps, turn = None, None, 0
+    while True:
+        # As long as comparing with leaders pays.
+        pairs = leading(entries, comps, answers, num, den, turn)
+        if common.at_most(pairs, 0) and answers is not None:
+            break
+        now = verified(pairs, sets, num, den)
+        answers = now if answers is None else answers.unionByName(now)
+        links = answers.where("linked").select("x", "y")
+        found, turn = now.where("linked").count(), turn + 1
+        if PAYS * found < pairs._rows or not found:
+            break
+        comps = common.components(links, "x", "y", rounds=1)
+    answers = common.stored(answers, "answers")
     links = answers.where("linked").select("x", "y")
     comps = common.components(links, "x", "y")
     cand = candidates(blocks_of(entries, comps), num, den)
-    if not cand.limit(1).count():
+    if common.at_most(cand, 0):
         return comps
     open_ = common.stored(derived(cand, answers, num, den), "derived")
-    found, open_, pick = open_.where("says").select("x", "y"), open_.where("says is null").select("x", "y", "cx", "cy"), 1
-    while True:
-        if found.limit(1).count():
-            links = common.stored(links.union(found), "links")
-            comps = common.components(links, "x", "y")
-        at = comps.select(F.col("node").alias("cx"), F.col("root").alias("rx"))
-        to = comps.select(F.col("node").alias("cy"), F.col("root").alias("ry"))
-        now = open_.join(at, "cx", "left").join(to, "cy", "left").withColumn("cx", F.coalesce("rx", "cx")).withColumn("cy", F.coalesce("ry", "cy"))
-        now = common.stored(now.where("cx <> cy").select("x", "y", F.least("cx", "cy").alias("cx"), F.greatest("cx", "cy").alias("cy")), "open")
-        if not now.limit(1).count():
-            return comps
-        # Of the pairs of two components one is counted, then more: what a link joins needs no other.
-        one = now.groupBy("cx", "cy", F.pmod(F.xxhash64("x", "y"), F.lit(pick))).agg(F.min(F.struct("x", "y")).alias("v")).select("v.*")
-        counted = verified(common.stored(one, "picked"), sets, num, den)
-        found = counted.where("linked").select("x", "y")
-        open_ = now.join(counted.select("x", "y"), ["x", "y"], "left_anti")
-        pick *= 64
+    counted = verified(common.stored(open_.where("says is null").select("x", "y"), "open"), sets, num, den)
+    found = common.stored(open_.where("says").select("x", "y").union(counted.where("linked").select("x", "y")), "found")
+    return comps if common.at_most(found, 0) else common.components(links.union(found), "x", "y")
 
 
 def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", merge_ids: bool = False) -> DataFrame:
@@ -351,7 +372,7 @@ def grouped(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
         named = rows.where("d is not null")
         several = named.groupBy("d").agg(F.min("content").alias("b"), F.max("content").alias("m")).where("b <> m").select("d", "b")
         several = common.stored(several, "several")
-        if several.limit(1).count():
+        if not common.at_most(several, 0):
             again = common.salted_join(named.select("d", F.col("content").alias("a")), several, "d", "a").select("a", "b")
             comps = common.components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(again))
     out = common.salted_join(rows, comps.select(F.col("node").alias("content"), "root"), "content", "h", "left")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import common, fingerprints, mixing, neighbours, packing, pfor, setjoin, sharding, substrings, tokens, toxicity, warc
+from strandline.llm import common, fingerprints, fmindex, mixing, neighbours, packing, pfor, setjoin, sharding, substrings, tokens, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, rank int"
@@ -59,9 +59,22 @@ def test_label_model_finds_the_good_voters():
     y = (rng.random(3000) < 0.2).astype(int)
     votes = np.stack([np.where(rng.random(3000) < a, y, rng.random(3000) < 0.1) for a in (0.9, 0.9, 0.5, 0.0)], 1).astype(float)
     votes = np.concatenate((votes, votes[:, :1]), 1)  # a voter that repeats another
-    q, says = toxicity.label_model(votes, np.full(3000, -1))
+    # The rates that tell the classes apart come from 200 rows.
+    given = y[:200]
+    fire1, fire0 = (given @ votes[:200] + 0.5) / (given.sum() + 1), ((1 - given) @ votes[:200] + 0.5) / ((1 - given).sum() + 1)
+    q, says = toxicity.label_model(votes, fire1, fire0, 0.2)
     assert ((q > 0.5) == y).mean() > 0.95
     assert says["share"][0] < 0.6 and says["share"][0] < says["share"][1] and says["share"][3] > 0.9
+    assert abs(says["fires_on_toxic"][0] - 0.9) < 0.05
+
+
+def test_label_model_takes_no_row_s_label():
+    texts = ["plain words here " * 5] * 60 + ["idiot zuraka words moron " * 3] * 20
+    wrong = [0] * 60 + [1] * 19 + [0]
+    model = toxicity.fit_texts(texts, wrong, ["idiot zuraka moron"] * 20)
+    # The mislabelled row scores like its like: its own label isn't its class.
+    assert model.score(texts[-1]) == model.score(texts[-2]) > 0.5 > model.score(texts[0])
+    assert model.accuracies["agreement"] == 79 / 80
 
 
 def test_toxicity_held_out(spark):
@@ -285,7 +298,7 @@ def test_set_join_skips_blocks_and_derives_answers(spark, monkeypatch):
     d = spark.createDataFrame(near_copies(), "doc_id long, text string")
     _, sets = setjoin.folded(d, 3, 80, 100)
     entries = setjoin.entries_of(sets, 80, 100)
-    answers = setjoin.verified(setjoin.leading(entries, 80, 100), sets, 80, 100)
+    answers = setjoin.verified(setjoin.leading(entries, None, None, 80, 100), sets, 80, 100)
     alone = common.components(answers.where("false").select("x", "y"), "x", "y")
     blocks = setjoin.blocks_of(entries, alone)
     every = blocks.groupBy("token").count().selectExpr("sum(count * (count + 1) / 2)").first()[0]
@@ -362,6 +375,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(d.where("vec_id in (40, 60)"), F.lit(True), k=20).count() == 2
 
 
+def test_neighbours_on_several_cells(spark):
+    rng = np.random.default_rng(18)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 1200)] + 0.4 * rng.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[600:900] = x[600] + 1e-3 * rng.normal(size=(300, 16))  # a cell that is dealt to several shards
+    d = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    s, hits = x @ x.T, 0
+    got = defaultdict(set)
+    for r in neighbours.nearest(d, F.col("id") % 20 == 0, k=10, shard=100, probes=5).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in range(0, 1200, 20):
+        hits += len(got[q] & set(sorted((k for k in range(1200) if k != q), key=lambda k: (-s[q, k], k))[:10]))
+    assert hits / (10 * len(got)) > 0.95
+
+
 # 7
 
 
@@ -380,6 +409,44 @@ def test_packing_plans():
         assert bins <= max(bound, sum(m for m, _ in packing.best_fit(Counter(map(int, lengths)), 64))) and bins <= slack * bound + 1
 
 
+def fewest(items, capacity):
+    """The optimum by exhaustive search."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for room in set(bins):
+            if room + items[i] <= capacity:
+                j = bins.index(room)
+                put(i + 1, [*bins[:j], room + items[i], *bins[j + 1 :]])
+        put(i + 1, [*bins, items[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_is_optimal_on_small_cases_and_beats_best_fit():
+    rng = random.Random(1)
+    for _ in range(120):
+        capacity = rng.choice([20, 40, 100])
+        items = [rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 6, capacity // 2) for _ in range(rng.randint(1, 11))]
+        says = {}
+        plan = packing.solve(Counter(items), capacity, report=says)
+        assert sum((Counter(b) for m, b in plan for _ in range(m)), Counter()) == Counter(items)
+        assert sum(m for m, _ in plan) == fewest(items, capacity) and says["optimal"]
+    better = 0
+    for _ in range(20):
+        says = {}
+        packing.solve(Counter(rng.randint(180, 480) for _ in range(60)), 1000, report=says)
+        assert says["bins"] <= says["best_fit"] and says["completed"]
+        better += says["bins"] < says["best_fit"]
+    assert better >= 15
+
+
 def test_packing(spark, docs, none):
     tok = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs.unionByName(docs.where("doc_id = 3")), tok, capacity=256, with_ids=True).collect()
@@ -489,6 +556,47 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert mixing.mixed(none).count() == 0
 
 
+# The index of operator 10 on texts that aren't in it
+
+
+def test_matching_statistics_of_foreign_texts():
+    rng = np.random.default_rng(11)
+    for depth in (3, 5, 8):
+        for _ in range(6):
+            text = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 30)), 0) for _ in range(5)])
+            index = fmindex.FMIndex(text, depth)
+            held = {tuple(text[i : i + n]) for n in range(1, depth + 1) for i in range(len(text) - n + 1)}
+            queries = [rng.integers(1, 6, rng.integers(1, 40)) for _ in range(7)]  # 4 and 5 aren't indexed
+            flat, lengths = np.concatenate(queries), np.array([len(q) for q in queries])
+            starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            seen = 0
+            for number, offset, have, lo, hi in index.steps(flat, starts, lengths):
+                for k, o, n, a, b in zip(number, offset, have, lo, hi):
+                    q = tuple(queries[k][o:].tolist())
+                    longest = max((m for m in range(min(depth, len(q)) + 1) if m == 0 or q[:m] in held), default=0)
+                    assert n == longest
+                    if n:
+                        at = sorted(index.suffixes[a:b].tolist())
+                        assert at == [i for i in range(len(text)) if tuple(text[i : i + n]) == q[:n]]
+                    seen += 1
+            assert seen == lengths.sum()
+
+
+def test_substrings_with_hot_keys_and_clashing_columns(spark, monkeypatch):
+    rng = random.Random(6)
+    licence = " ".join(rng.choices(WORDS, k=24))
+    own = lambda k: " ".join(f"o{k}x{j}" for j in range(30))
+    rows = [(k, f"{own(k)} {licence} {own(k + 100)}", 1, 2, "x", "y") for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _d int, _h int, _spans string, kept string").repartition(5)
+    want = sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in substrings.deduplicated(d).collect())
+    assert all(n == (24 if k else 0) for k, n, _ in want)
+    monkeypatch.setattr(substrings, "HOT_PLACES", 10)
+    out = substrings.deduplicated(d, out=("a", "b", "c"))
+    assert out.columns == [*d.columns, "a", "b", "c"]
+    assert sorted((r["doc_id"], r["b"], r["c"]) for r in out.collect()) == want
+    assert {(r["_d"], r["_h"], r["_spans"], r["kept"]) for r in out.collect()} == {(1, 2, "x", "y")}
+
+
 # 10
 
 

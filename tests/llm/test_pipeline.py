@@ -72,6 +72,19 @@ def test_repeated_rows(spark, tables):
     assert 0 < out <= 80
 
 
+def test_different_texts_of_one_id_and_clashing_columns(spark, tables):
+    rng = random.Random(9)
+    a, b = (" ".join(f"v{rng.randrange(900)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a, "en", "s", 1, 7, 8, "x"), (1, b, "en", "s", 1, 7, 8, "x"), (2, a + " end", "en", "s", 1, 7, 8, "x"), (None, a, "en", "s", 1, 7, 8, "x"), (None, a, "en", "s", 1, 7, 8, "x"), (3, None, None, None, None, 7, 8, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, d int, n_words int, _key string")
+    two = P.keep_one_of_each_group(spark, d, tables)
+    assert two.columns == d.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in two.collect()) == sorted([(1, a), (1, b), (0, a), (0, a), (3, "")])
+    for stage in (P.reject_toxic, P.remove_repeated_passages, P.mix_to_targets):
+        out = stage(spark, d, tables)
+        assert out.columns == d.columns and {(r["d"], r["n_words"], r["_key"]) for r in out.collect()} <= {(7, 8, "x")}
+
+
 def test_run(spark, tables):
     out = P.run(spark, tables)
     assert {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 100
