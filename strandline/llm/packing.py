@@ -1,14 +1,16 @@
 """Best-fit packing of documents into sequences by bin completion.
 
 Pieces are packed by their lengths alone, so the whole problem is the number of pieces
-of each length: a table of at most ``capacity`` rows, whatever the corpus.  Bin
-completion takes the largest length left and enumerates the undominated fillings of
-the room beside it: an exact single fit beats any exact pair, that any exact triple,
-and otherwise the least waste wins, larger pieces first; a dominated filling (one that
-a larger piece could replace) isn't tried.  A chosen filling is used as often as the
-counts allow.  Best-fit decreasing gives the first incumbent; branches whose waste so
-far, by the bound on bins, can't beat the incumbent are pruned, and a search stops at
-the bound or after a fixed number of nodes.
+of each length: a table of at most ``capacity`` rows, whatever the corpus.
+
+The search takes the largest length left and enumerates the undominated fillings of the
+room beside it, least waste first: a filling is dominated if a piece that is left would
+still fit, or would fit in the place of one or several of its pieces.  A filling is used as often as
+the counts allow, later less often.  Best-fit decreasing gives the first incumbent; its
+and later incumbents' numbers of bins bound the waste that a branch may have, and the
+Martello-Toth bound on what is left cuts branches off.  The search ends at the lower
+bound, when it is exhausted (then the plan is optimal), or after ``nodes`` fillings; it always completes
+one plan, which is preferred to best fit's if it needs no more bins.
 
 Pieces then meet the plan by their rank within their length.  Ranks are counted in
 blocks by hash, so one very frequent length isn't one task.
@@ -19,8 +21,10 @@ each.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 CAPACITY = 4096
-#: Search nodes after which the best solution so far stands.
-NODES = 200
+#: Fillings that the search tries, beyond the one plan that it always completes.
+NODES = 5_000
 #: Pieces in a block of ranks, about.
 RANKS = 20_000
 
@@ -64,111 +68,178 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
     return out
 
 
-def _fillings(left: np.ndarray, first: int, capacity: int, most: int = 3) -> list[tuple[int, ...]]:
-    """Undominated fillings beside ``first``, best first: fewest and largest pieces, least waste."""
-    room = capacity - first
-    if not room:
-        return [()]
-    there = np.flatnonzero(left[: room + 1])
-    if not len(there):
-        return [()]
-    ones = int(there[-1])
-    if ones == room:
-        return [(room,)]
-    found = [(room - ones, 1, (ones,))]
+def least_bins(left: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's bound: pieces that can't share a bin, and what of the others can't go beside them."""
+    size = np.arange(capacity + 1)
+    n, s = np.cumsum(left), np.cumsum(left * size)
+    half = capacity // 2
+    a = np.arange(1, half + 1)
+    alone = n[-1] - n[capacity - a]
+    beside = n[capacity - a] - n[half]
+    spare = beside * capacity - (s[capacity - a] - s[half])
+    small = s[half] - s[a - 1]
+    bound = alone + beside + np.maximum(0, -((spare - small) // capacity))
+    return int(max(bound.max(initial=0), -(-int(s[-1]) // capacity), n[-1] - n[half]))
+
+
+def _spread(bits: int, width: int) -> int:
+    """Each bit, and the ``width`` bits above it."""
+    done = 1
+    while done <= width:
+        step = min(done, width + 1 - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: Counter, left: np.ndarray, waste: int, room: int) -> bool:
+    """Whether a piece that is left fits into the waste, or into the place of some pieces of the filling."""
+    there = left[: room + 1] > 0
+    for x, n in filling.items():
+        there[x] = left[x] > n
+    there[0] = False
+    free = int.from_bytes(np.packbits(there, bitorder="little").tobytes(), "little")
+    if free & ((1 << (waste + 1)) - 1):
+        return True
+    one, some, several = 0, 0, 0  # single pieces; sums of one or more, of two or more
+    for x, n in filling.items():
+        one |= 1 << x
+        for _ in range(n):
+            several |= (several << x) | (some << x)
+            some |= (some << x) | (1 << x)
+    larger = _spread(one << 1, waste - 1) if waste else 0
+    return bool(free & (larger | _spread(several, waste)))
+
+
+def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[Counter]:
+    """The undominated fillings of ``room``, least waste first, then larger pieces first; the empty one if no piece fits."""
     has = left[: room + 1] > 0
-    # Pairs a >= b: for each a the largest b that fits.
-    down = np.maximum.accumulate(np.where(has, np.arange(room + 1), 0))
-    a = there[::-1]
-    b = np.minimum(down[np.minimum(room - a, a)], a)
-    same = (a == b) & (left[a] < 2)
-    b = np.where(same, down[np.maximum(a - 1, 0)] * (down[np.maximum(a - 1, 0)] <= room - a), b)
-    waste = room - a - b
-    for k in np.argsort(waste, kind="stable")[:most]:
-        if b[k]:
-            found.append((int(waste[k]), 2, (int(a[k]), int(b[k]))))
-    if waste.min(initial=room) > 0:
-        # Triples, by the pairs beside each of the largest pieces.
-        for x in a[:64]:
-            x = int(x)
-            left[x] -= 1
-            r = room - x
-            y = np.flatnonzero(left[: r + 1])[::-1]
-            y = y[y <= x]
-            if len(y):
-                d = np.maximum.accumulate(np.where(left[: r + 1] > 0, np.arange(r + 1), 0))
-                z = np.minimum(d[np.minimum(r - y, y)], y)
-                z = np.where((z == y) & (left[y] < 2), 0, z)
-                k = int(np.argmin(r - y - z))
-                if z[k]:
-                    found.append((int(r - y[k] - z[k]), 3, (x, int(y[k]), int(z[k]))))
-            left[x] += 1
-            if found[-1][0] == 0:
-                break
-    found.sort(key=lambda f: (f[0], f[1], tuple(-x for x in f[2])))
-    return [f[2] for f in found[:most]]
-
-
-def _complete(left: np.ndarray, bin_: list[int], capacity: int) -> list[int]:
-    """Small pieces into what room a filling of three left, largest first."""
-    room = capacity - sum(bin_)
-    used = Counter(bin_)
-    while room:
-        fit = [int(x) for x in np.flatnonzero(left[: room + 1])[::-1][:8] if left[x] > used[x]]
-        if not fit:
-            break
-        bin_.append(fit[0])
-        used[fit[0]] += 1
-        room -= fit[0]
-    return bin_
+    has[0] = False
+    size = np.flatnonzero(has)
+    if not len(size):
+        if room <= most_waste:
+            yield Counter()
+        return
+    if has[room]:
+        yield Counter({room: 1})  # which dominates all others
+        return
+    # Pairs without waste need no table of sums.
+    a = size[2 * size >= room][::-1]
+    a = a[has[room - a] & ((2 * a != room) | (left[a] > 1))]
+    for x in a.tolist():
+        yield Counter([x, room - x])
+    # Sums that the lengths up to each can reach: they name the possible wastes and guide the way down.
+    sizes, reach, sums = size.tolist(), [], 1
+    full = (1 << (room + 1)) - 1
+    for x in sizes:
+        copies, step = min(int(left[x]), room // x), 1
+        while copies:
+            step = min(step, copies)
+            sums |= (sums << (x * step)) & full
+            copies -= step
+            step *= 2
+        reach.append(sums)
+
+    def down(j: int, rest: int, taken: list[tuple[int, int]]) -> Iterator[Counter]:
+        for k in range(j, -1, -1):
+            if not reach[k] >> rest & 1:
+                return
+            x = sizes[k]
+            for n in range(min(int(left[x]), rest // x), 0, -1):
+                r = rest - n * x
+                if r == 0:
+                    yield Counter(dict([*taken, (x, n)]))
+                elif k and reach[k - 1] >> r & 1:
+                    yield from down(k - 1, r, [*taken, (x, n)])
+
+    for waste in range(min(room - 1, most_waste) + 1):
+        if sums >> (room - waste) & 1:
+            for f in down(len(sizes) - 1, room - waste, []):
+                if (waste or f.total() > 2) and not dominated(f, left, waste, room):
+                    yield f
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
-    """(bins, lengths in each) that hold all pieces, in as few bins as the search finds."""
+def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, report: dict | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """(bins, lengths in each) that hold all pieces, in as few bins as the search finds; ``report`` gets its figures."""
     counts = {k: n for k, n in counts.items() if n}
-    total = sum(k * n for k, n in counts.items())
-    big = sum(n for k, n in counts.items() if 2 * k > capacity)
-    bound = max(-(-total // capacity), big)
-    incumbent = best_fit(counts, capacity)
-    best = sum(m for m, _ in incumbent)
     left = np.zeros(capacity + 1, np.int64)
     for k, n in counts.items():
         left[k] = n
-    # Depth first, with the branch points kept: (counts, plan so far, bins so far, other fillings).
-    stack: list = [(left, [], 0, None)]
-    seen = 0
-    while stack and best > bound and seen < nodes:
-        left, plan, bins, bin_ = stack.pop()
-        left, plan = left.copy(), list(plan)
-        seen += 1
-        while True:
-            if bin_ is None:
-                there = np.flatnonzero(left)
-                if not len(there):
-                    break
-                rest = int((left[there] * there).sum())
-                if bins + max(-(-rest // capacity), int(left[capacity // 2 + 1 :].sum())) >= best:
-                    bins = best
+    incumbent = best_fit(counts, capacity)
+    best = first_fit = sum(m for m, _ in incumbent)
+    bound = least_bins(left, capacity)
+    total = int((left * np.arange(capacity + 1)).sum())
+    # The first way down is unbounded, so that one plan of the search's own is completed; a tie goes to it.
+    limit, completed, seen = 1 << 60, False, set()
+    plan: list[tuple[int, tuple[int, ...]]] = []
+    bins = waste = tried = 0
+    optimal = not counts
+
+    def choices() -> Iterator[tuple[int, Counter, int]]:
+        """(pieces' multiplicity, whole bin, its waste): every filling as often as it goes, then all less often."""
+        x = int(np.flatnonzero(left)[-1])
+        less, more = 0, True
+        while more:
+            more = False
+            left[x] -= 1
+            # Every bin's waste counts: a plan of fewer than ``limit`` bins has so much to spare.
+            spare = (limit - 1) * capacity - total - waste
+            gen = fillings(left, capacity - x, spare)
+            left[x] += 1
+            while True:
+                left[x] -= 1
+                f = next(gen, None)
+                left[x] += 1
+                if f is None:
                     break
-                first = int(there[-1])
-                left[first] -= 1
-                options = _fillings(left, first, capacity)
-                left[first] += 1
-                # Alternatives are worth a branch only near the end, where few pieces are left.
-                if len(options) > 1 and left.sum() < 400 and len(stack) < nodes:
-                    for other in options[1:]:
-                        stack.append((left.copy(), list(plan), bins, [first, *other]))
-                bin_ = [first, *options[0]]
-            bin_ = _complete(left, list(bin_), capacity)
-            need = Counter(bin_)
-            m = int(min(left[x] // n for x, n in need.items()))
-            for x, n in need.items():
-                left[x] -= m * n
-            plan.append((m, tuple(bin_)))
-            bins += m
-            bin_ = None
-        if bins < best and not left.any():
-            best, incumbent = bins, plan
+                whole = f + Counter([x])
+                m = int(min(left[k] // n for k, n in whole.items())) - less
+                if m > 0:
+                    more = True
+                    yield m, whole, capacity - sum(k * n for k, n in whole.items())
+            less += 1
+
+    stack = [choices()] if counts else []
+    done: list[tuple[int, Counter, int]] = []
+    while stack:
+        got = next(stack[-1], None)
+        if got is None:
+            stack.pop()
+            if done:
+                m, whole, w = done.pop()
+                for k, n in whole.items():
+                    left[k] += m * n
+                bins, waste = bins - m, waste - m * w
+            optimal = not stack
+            continue
+        m, whole, w = got
+        tried += 1
+        for k, n in whole.items():
+            left[k] -= m * n
+        bins, waste = bins + m, waste + m * w
+        done.append(got)
+        open_ = left.any()
+        if not open_ and bins < limit:
+            if bins < best or (bins == best and not completed):
+                best = bins
+                incumbent = [(n, tuple(sorted(c.elements(), reverse=True))) for n, c, _ in done]
+            limit, completed = best, True
+        state = hashlib.blake2b(left.tobytes() + bins.to_bytes(8, "little"), digest_size=16).digest()
+        if open_ and state not in seen and bins + least_bins(left, capacity) < limit and waste <= (limit - 1) * capacity - total:
+            seen.add(state)
+            stack.append(choices())
+        else:
+            m, whole, w = done.pop()
+            for k, n in whole.items():
+                left[k] += m * n
+            bins, waste = bins - m, waste - m * w
+        if best == bound and completed:
+            optimal = True
+            break
+        if tried >= nodes and completed:
+            break
+    if report is not None:
+        report.update(bins=best, best_fit=first_fit, bound=bound, tried=tried, completed=completed, optimal=optimal)
     return incumbent
 
 
