@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    model = toxicity.fit(docs, labels)
+    model = toxicity.fit(docs.where(~F.col("held_out")), labels)
     out = toxicity.scored(docs, model).select("doc_id", "held_out", "score")
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 

@@ -2,16 +2,19 @@
 
 Voters: a fixed lexicon of insults, fixed patterns, and mined lexicons (word
 beginnings that occur in far more toxic than other labelled texts).  A generative
-label model gives every voter its own rate of firing on either class, fitted by EM;
-the given label is one more voter.  Correlations between voters, within a class, are
-estimated from the same posteriors, and each voter's evidence is divided by how much
-of it other voters repeat.  A linear classifier is then trained on the posterior
-labels and scores whole texts in one pass.
-
-The fit uses a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` rows and
-``SAMPLE_BYTES`` bytes of text, those with the smallest hashes of their ids.  Only
-text enters a score.  Null texts count as empty; repeated label rows of one id count
-once (toxic if any says so); with no labelled rows at all the fixed voters decide.
+label model gives every voter its own rate of firing on either class and estimates, from the
+same posteriors, which voters fire together within a class; a voter's evidence is
+divided by how much of it others repeat.  The model is fitted by EM to the votes on
+labelled and unlabelled texts alike: no row's class is given to it.  The labelled rows
+tell which class is which (they give the rates that EM begins with and that weigh as a prior of
+``ANCHOR`` texts), and how far posteriors and labels agree.  A linear classifier is then trained on
+the posterior labels and scores whole texts in one pass.
+
+The fit uses bounded samples: at most ``SAMPLE_ROWS`` labelled rows and
+``SAMPLE_BYTES`` bytes of their text, and ``MORE_ROWS`` and ``MORE_BYTES`` of unlabelled ones, those with
+the smallest hashes of their ids.  Only text enters a score.  Null texts count as empty; repeated
+label rows of one id count once (toxic if any says so); with no labelled rows at all, or one class only, the
+fixed voters decide.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from strandline.llm import common
 
 #: Labelled rows, and bytes of their texts, that a fit uses at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 48_000_000
+#: Unlabelled rows, and bytes of their texts, that a fit uses at most; texts that the given rates weigh as.
+MORE_ROWS, MORE_BYTES, ANCHOR = 3_000, 16_000_000, 200.0
+#: Correlation within a class from which voters share their evidence.
+TOGETHER = 0.7
 #: Mined word beginnings that become voters at most, and their lengths in letters.
 MINED, LENGTHS = 160, (3, 4, 5, 6, 7)
 #: From this score on a document counts as toxic.
@@ -173,41 +180,34 @@ def _mine(texts: list[str], toxic: np.ndarray) -> list[str]:
     return kept
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 from 0/1 votes (texts x voters) and given labels (1, 0, or -1 for none).
+def label_model(votes: np.ndarray, fire1: np.ndarray, fire0: np.ndarray, prior: float, anchor: float = ANCHOR, rounds: int = 50) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 from 0/1 votes (texts x voters); ``fire1``, ``fire0`` and ``prior`` say which class is which.
 
     Every voter fires at its own rate on either class.  Voters that fire together
     within a class, beyond chance, share their evidence: a voter's log odds are
-    divided by one plus the sum of its positive within-class correlations.
+    divided by one plus the sum of its positive within-class correlations.  The given rates
+    are where EM begins, and count as ``anchor`` texts.
     """
-    n, m = votes.shape
-    known = given >= 0
-    prior = float(given[known].mean()) if known.any() else 0.1
-    q = np.where(known, np.where(given == 1, 0.97, 0.03), np.clip(prior + 0.5 * (votes.max(1, initial=0) > 0), 0.02, 0.9))
-    share = np.ones(m)
-    for _ in range(rounds):
-        w1, w0 = q.sum(), (1 - q).sum()
-        fire1 = (q @ votes + 0.5) / (w1 + 1)
-        fire0 = ((1 - q) @ votes + 0.5) / (w0 + 1)
+    first1, first0, first = np.clip(fire1, 1e-4, 1 - 1e-4), np.clip(fire0, 1e-4, 1 - 1e-4), float(np.clip(prior, 1e-3, 0.999))
+    fire1, fire0, prior, share = first1, first0, first, np.ones(votes.shape[1])
+    q = np.full(len(votes), first)
+    for step in range(rounds):
+        logit = math.log(prior / (1 - prior)) + votes @ (share * np.log(fire1 / fire0)) + (1 - votes) @ (share * np.log((1 - fire1) / (1 - fire0)))
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        moved, q = np.abs(new - q).max(initial=0), new
         resid1, resid0 = votes - fire1, votes - fire0
         cov = (resid1 * q[:, None]).T @ resid1 + (resid0 * (1 - q)[:, None]).T @ resid0
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         rho = np.clip(cov / np.outer(sd, sd), 0, 1)
         np.fill_diagonal(rho, 0)
-        share = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
-        prior = np.clip(q.mean(), 1e-3, 0.999)
-        logit = math.log(prior / (1 - prior)) + votes @ (share * np.log(fire1 / fire0)) + (1 - votes) @ (share * np.log((1 - fire1) / (1 - fire0)))
-        # The given label is a voter too; its rate of error is estimated like the others'.
-        if known.any():
-            right1 = (q[known] @ (given[known] == 1) + 9) / (q[known].sum() + 10)
-            right0 = ((1 - q[known]) @ (given[known] == 0) + 9) / ((1 - q[known]).sum() + 10)
-            logit += np.where(given == 1, math.log(right1 / (1 - right0)), 0) + np.where(given == 0, math.log((1 - right1) / right0), 0)
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - q).max() < 1e-4:
-            q = new
+        share = 1 / (1 + np.where(rho > TOGETHER, rho, 0).sum(1))
+        w1, w0 = anchor * first, anchor * (1 - first)
+        fire1 = np.clip((q @ votes + w1 * first1) / (q.sum() + w1), 1e-4, 1 - 1e-4)
+        fire0 = np.clip(((1 - q) @ votes + w0 * first0) / ((1 - q).sum() + w0), 1e-4, 1 - 1e-4)
+        prior = float(np.clip((q.sum() + w1) / (len(q) + anchor), 1e-3, 0.999))
+        if step and moved < 1e-4:
             break
-        q = new
-    return q, {"fires_on_toxic": fire1, "fires_on_other": fire0, "share": share, "correlations": rho}
+    return q, {"fires_on_toxic": fire1, "fires_on_other": fire0, "share": share, "correlations": rho, "prior": prior}
 
 
 def linear(x: np.ndarray, q: np.ndarray, ridge: float = 2.0, rounds: int = 30) -> np.ndarray:
@@ -226,7 +226,8 @@ def linear(x: np.ndarray, q: np.ndarray, ridge: float = 2.0, rounds: int = 30) -
     return w
 
 
-def fit_texts(texts: list[str], toxic: list[int]) -> Model:
+def fit_texts(texts: list[str], toxic: list[int], more: list[str] | None = None) -> Model:
+    """Fit on labelled ``texts`` and unlabelled ``more``."""
     y = np.array(toxic, dtype=np.int64)
     model = Model()
     if not len(y) or y.min() == y.max():
@@ -243,42 +244,56 @@ def fit_texts(texts: list[str], toxic: list[int]) -> Model:
                 for k in hit:
                     counts[k] += 1
     model.rates = (counts + 0.5) / (words + 1000)
-    x = np.array([model.features(t) for t in texts])
+    x = np.array([model.features(t) for t in [*texts, *(more or [])]])
     # A voter fires above the cut that parts the labelled classes best.
     lex = x[:, : model.voters()]
+    known = lex[: len(y)]
     cuts = np.zeros(lex.shape[1])
     for k in range(lex.shape[1]):
-        tries = np.unique(np.quantile(lex[:, k], (0.5, 0.7, 0.8, 0.9, 0.95, 0.98)))
-        gain = [(lex[y == 1, k] > c).mean() - (lex[y == 0, k] > c).mean() for c in tries]
+        # Only hits above the background count, or short texts without any would fire all voters.
+        tries = np.unique(np.maximum(np.quantile(known[:, k], (0.5, 0.7, 0.8, 0.9, 0.95, 0.98)), 0.0))
+        gain = [(known[y == 1, k] > c).mean() - (known[y == 0, k] > c).mean() for c in tries]
         cuts[k] = tries[int(np.argmax(gain))]
     model.cuts = cuts
     votes = (lex > cuts).astype(float)
-    q, model.accuracies = label_model(votes, y)
+    given = votes[: len(y)]
+    fire1, fire0 = (y @ given + 0.5) / (y.sum() + 1), ((1 - y) @ given + 0.5) / ((1 - y).sum() + 1)
+    q, model.accuracies = label_model(votes, fire1, fire0, float(y.mean()))
+    model.accuracies["agreement"] = float(((q[: len(y)] >= 0.5) == (y == 1)).mean())
     model.weights = linear(x, q)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the bounded sample of ``labels`` (id, 0/1 label); ids have at most SAMPLE_ROWS rows, so they are broadcast."""
-    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    rows = one.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).collect()
-    if not rows:
-        return Model()
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r[0], r[1]) for r in rows], one.schema)
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col)
-    sizes = texts.groupBy(id_col).agg(F.min(F.octet_length("t")).alias("size")).collect()
-    sizes = dict((r[0], r[1]) for r in sizes)
+def _bounded(rows: list, sizes: dict, most: int) -> list:
+    """The first of ``rows`` whose texts fit into ``most`` bytes together."""
     taken, total = [], 0
     for r in rows:
-        if r[0] in sizes and total + sizes[r[0]] <= SAMPLE_BYTES:
+        if r[0] in sizes and total + sizes[r[0]] <= most:
             total += sizes[r[0]]
-            taken.append((r[0], r[1]))
+            taken.append(r)
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on the bounded samples of ``labels`` (id, 0/1 label) and of ``docs`` without one; the sampled ids, at most SAMPLE_ROWS + MORE_ROWS, are broadcast."""
+    spark = docs.sparkSession
+    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    gold = [(r[0], r[1]) for r in one.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).collect()]
+    if not gold:
+        return Model()
+    free = docs.where(F.col(id_col).isNotNull()).select(id_col).join(labels.select(id_col).distinct(), id_col, "left_anti").distinct()
+    free = [(r[0], -1) for r in free.orderBy(F.xxhash64(id_col), id_col).limit(MORE_ROWS).collect()]
+    ids = spark.createDataFrame(gold + free, one.schema)
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    sizes = texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(F.octet_length("t")).alias("size")).collect()
+    sizes = {r[0]: r[1] for r in sizes}
+    taken = _bounded(gold, sizes, SAMPLE_BYTES) + _bounded(free, sizes, MORE_BYTES)
     ids = spark.createDataFrame(taken, one.schema) if taken else ids.limit(0)
-    got = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col)
+    got = texts.join(F.broadcast(ids), id_col)
     found = {r[0]: (r[1], r[2]) for r in got.groupBy(id_col, "y").agg(F.min("t").alias("t")).select(id_col, "t", "y").collect()}
     order = sorted(found)
-    return fit_texts([found[k][0] for k in order], [found[k][1] for k in order])
+    known = [found[k] for k in order if found[k][1] >= 0]
+    return fit_texts([t for t, _ in known], [y for _, y in known], [found[k][0] for k in order if found[k][1] < 0])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
