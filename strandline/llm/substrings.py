@@ -7,7 +7,8 @@ with a text: different texts of one id, or without an id, are different document
 the order of their texts' hashes, and each loses words for its own windows only.
 
 Shards.  A window's key is the least hash among its runs of ``GRAM`` words, so equal
-windows have equal keys, and neighbouring windows mostly share one.  A first pass finds
+windows have equal keys, and neighbouring windows mostly share one.  Windows of a key
+that very many places have are dealt one by one, by their own hash, so that no key fills a shard.  A first pass finds
 the keys that occur twice; a bitmap of them, of a fixed size at most, is broadcast.  A
 second pass sends only stretches of windows with such keys, and by key, so that all
 equal windows meet in one shard, whatever the corpus.  Stretches that repeat within a
@@ -31,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm import common
 from strandline.llm.fmindex import FMIndex
@@ -40,6 +42,8 @@ LENGTH, GRAM = 20, 8
 BITMAP_BYTES, BITS_PER_KEY = 64 << 20, 16
 #: Text bytes that a task folds before it sends.
 FOLD = 12_000_000
+#: Places from which a key's windows are dealt by their own hashes, and how many keys of a bucket are.
+HOT_PLACES, HOT_KEYS = 20_000, 64
 _NONE = -(1 << 63)
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -80,8 +84,8 @@ class Fold:
         around = _slide(np.concatenate((pad, least, pad)), width, np.maximum)
         return self.grams[around == self.grams]
 
-    def stretches(self, wanted) -> np.ndarray:
-        """(document, first window, windows, key) of maximal runs of windows with one wanted key; windows count from the fold's beginning."""
+    def stretches(self, wanted, hot: np.ndarray) -> np.ndarray:
+        """(document, first window, windows) of maximal runs of windows with one wanted key, or of one window with a hot key; windows count from the fold's beginning."""
         at = np.flatnonzero(self.valid)
         if len(at):
             at = at[wanted(self.keys[at])]
@@ -89,6 +93,8 @@ class Fold:
             return np.zeros((0, 3), np.int64)
         key, doc = self.keys[at], self.doc[at]
         cut = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)))
+        if len(hot):
+            cut |= np.isin(key, hot)
         first = np.flatnonzero(cut)
         size = np.diff(np.append(first, len(at)))
         return np.stack((doc[first], at[first], size), 1)
@@ -97,8 +103,8 @@ class Fold:
 class Wanted:
     """The keys that occur twice, as one bitmap for each bucket; others may pass now and then."""
 
-    def __init__(self, maps: dict[int, bytes], buckets: int):
-        self.buckets = buckets
+    def __init__(self, maps: dict[int, bytes], buckets: int, hot: np.ndarray):
+        self.buckets, self.hot = buckets, np.sort(hot)
         self.size = np.zeros(buckets, np.int64)
         parts = []
         for k in range(buckets):
@@ -157,24 +163,26 @@ def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col
             key, count = np.unique(Fold(texts, length, gram).postings(length - gram + 1), return_counts=True)
             by = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(by, kind="stable")
-            by, key, twice = by[order], key[order], (count[order] > 1).astype(np.uint8)
+            by, key, count = by[order], key[order], np.minimum(count[order], 65_535).astype(np.uint16)
             cut = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1]))) if len(by) else np.zeros(0, np.int64)
             ends = np.append(cut[1:], len(by))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(by[cut].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([twice[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())],
-                names=["bucket", "keys", "twice"],
+                [pa.array(by[cut].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())],
+                names=["bucket", "keys", "counts"],
             )
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(v, np.uint64) for v in part["keys"]])
-        twice = np.concatenate([np.frombuffer(v, np.uint8) for v in part["twice"]])
-        key, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        more = (count > 1) | (np.bincount(inverse.reshape(-1), weights=twice, minlength=len(key)) > 0)
-        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "bitmap": [_bitmap(key[more], most)]})
+        count = np.concatenate([np.frombuffer(v, np.uint16) for v in part["counts"]])
+        key, inverse = np.unique(key, return_inverse=True)
+        places = np.bincount(inverse.reshape(-1), weights=count, minlength=len(key))
+        hot = np.flatnonzero(places >= HOT_PLACES)
+        hot = hot[np.argsort(-places[hot], kind="stable")][:HOT_KEYS]
+        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "bitmap": [_bitmap(key[places > 1], most)], "hot": [key[hot].tobytes()]})
 
-    dealt = _rows(docs, id_col, text_col).mapInArrow(send, "bucket int, keys binary, twice binary")
-    maps = dealt.groupBy("bucket").applyInPandas(pick, "bucket int, bitmap binary").collect()
-    return Wanted({r["bucket"]: bytes(r["bitmap"]) for r in maps}, buckets)
+    dealt = _rows(docs, id_col, text_col).mapInArrow(send, "bucket int, keys binary, counts binary")
+    maps = dealt.groupBy("bucket").applyInPandas(pick, "bucket int, bitmap binary, hot binary").collect()
+    return Wanted({r["bucket"]: bytes(r["bitmap"]) for r in maps}, buckets, np.frombuffer(b"".join(r["hot"] for r in maps), np.uint64))
 
 
 def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,10 +196,17 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     def send(batches):
         for docs_, texts in _folds(batches):
             fold = Fold(texts, length, gram)
-            runs = fold.stretches(wanted.value)
+            hot = wanted.value.hot
+            runs = fold.stretches(wanted.value, hot)
+            # A stretch's shard is told by its key, that of a hot key's window by all its words.
+            sent = common.mixed(fold.keys[runs[:, 1]]) if len(runs) else fold.keys[:0]
+            if len(hot) and len(runs):
+                alone = np.isin(fold.keys[runs[:, 1]], hot)
+                sent[alone] = common.grams(fold.h, length)[runs[alone, 1]]
+            sent = (sent % np.uint64(shards)).astype(np.int64).tolist()
             contents: dict[bytes, list[tuple[int, int]]] = {}
             words = fold.h & _MASK
-            for doc, at, size in runs.tolist():
+            for (doc, at, size), shard in zip(runs.tolist(), sent):
                 content = words[at : at + size + length - 1].tobytes()
                 place = (*docs_[doc], at - int(fold.starts[doc]))
                 if (known := contents.get(content)) is None:
@@ -199,7 +214,7 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
                 else:
                     known.append(place)
                 if known is None:
-                    contents[content].append(int(fold.keys[at] % np.uint64(shards)))
+                    contents[content].append(shard)
             by: dict[int, list] = {}
             for content, places in contents.items():
                 shard = places.pop(1)
@@ -292,28 +307,28 @@ def kept_words(words: list[bytes], spans_: list) -> list[bytes]:
     return out + words[at:]
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_removed, and kept: the words left, joined by one space."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", out: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """``docs`` with n_words, n_removed, and kept: the words left, joined by one space; ``out`` names them, and columns of those names are replaced."""
     spans_ = common.stored(earlier_spans(docs, length, GRAM, id_col, text_col), "spans")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in map(str.lower, out)])
+    names = docs.columns
+    sd, sh, key, hash_, found = common.fresh(docs, "_sd", "_sh", "_key", "_hash", "_spans")
     # Rows that repeat id and text give the same spans.
-    spans_ = spans_.groupBy(F.col("d").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    spans_ = spans_.groupBy(F.col("d").alias(sd), F.col("h").alias(sh)).agg(F.collect_set(F.struct("lo", "hi")).alias(found))
     d, h = _row_key(id_col, text_col)
-    own = docs.withColumn("_key", d).withColumn("_hash", h)
-    both = own.join(spans_, (F.col("_key") == F.col("_d")) & (F.col("_hash") == F.col("_h")), "left").drop("_d", "_h", "_key", "_hash")
-    clash = {"n_words", "n_removed", "kept"} & set(docs.columns)
-    both = both.drop(*clash)
-    names = [c for c in both.columns if c != "_spans"]
-    shape = ", ".join(f"`{c}` {t}" for c, t in both.dtypes if c != "_spans") + ", n_words long, n_removed long, kept string"
+    own = docs.withColumn(key, d).withColumn(hash_, h)
+    both = own.join(spans_, (F.col(key) == F.col(sd)) & (F.col(hash_) == F.col(sh)), "left").drop(sd, sh, key, hash_)
+    shape = T.StructType([*docs.schema.fields, *(T.StructField(c, k) for c, k in zip(out, (T.LongType(), T.LongType(), T.StringType())))])
 
     def cut(batches):
         for b in batches:
             n, removed, kept = [], [], []
-            for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist()):
+            for t, s in zip(b.column(text_col).to_pylist(), b.column(found).to_pylist()):
                 words = (t or "").encode().split()
                 left = kept_words(words, s) if s else words
                 n.append(len(words))
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, *out])
 
     return both.mapInArrow(cut, shape)
