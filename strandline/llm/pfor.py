@@ -31,6 +31,8 @@ BLOCK, PERCENTILE, MAGIC = 128, 90, b"PFORIDS1"
 _TRAILER = struct.Struct("<QQQQII8s")
 #: Ids that are encoded or decoded at a time.
 STEP = BLOCK * 4096
+#: Bytes of text in a part, about; a reader holds one part's encoded ids.
+PART_BYTES = 48_000_000
 
 
 def _bits(d: np.ndarray) -> np.ndarray:
@@ -190,13 +192,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
 
     Null texts are empty: their ids are the end id alone.  Null ids come first; rows of
     one id are ordered by text.  ``path`` must be reachable from every executor
-    (``pyarrow.fs`` opens its URI).  A part is written under a name of its own and then
-    moved, so a lost and repeated task leaves whole files only.  The manifest, one row
+    (``pyarrow.fs`` opens its URI).  Every attempt of a task writes a file of its own name,
+    and the manifest lists those of the attempts that ended well, so a lost and repeated
+    task does no harm.  There are as many parts as keep a part near ``PART_BYTES`` of text. The manifest, one row
     for each part, holds each part's first place in the stream of all ids.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    n = common.parts_for(spark)
+    total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    n = max(common.parts_for(spark), -(-total // PART_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(text_col, F.lit("")).alias("t"))
     rows = rows.repartitionByRange(n, "d").sortWithinPartitions("d", "t")
 
@@ -209,10 +213,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId()
-        own = f"{base}/.{number:06d}-{uuid.uuid4().hex}"
+        file = f"part-{number:06d}-{uuid.uuid4().hex}.pfor"
         encoder = tokens.encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        with store.open_output_stream(own, compression=None) as sink:
+        with store.open_output_stream(f"{base}/{file}", compression=None) as sink:
             w = Writer(sink)
             for b in batches:
                 ids, texts = b.column("d").to_pylist(), b.column("t").to_pylist()
@@ -220,9 +224,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
                     for k, x in enumerate(encoder.encode(some)):
                         w.add(ids[at + k], np.concatenate((x.astype(np.uint32), end)))
             w.close()
-        name = f"{base}/part-{number:06d}.pfor"
-        store.move(own, name)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "file": [f"part-{number:06d}.pfor"], "docs": pa.array([len(w.docs)], pa.int64()), "ids": pa.array([w.total], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "file": [file], "docs": pa.array([len(w.docs)], pa.int64()), "ids": pa.array([w.total], pa.int64())})
 
     got = rows.mapInArrow(part, "part int, file string, docs long, ids long").collect()
     at, parts = 0, []

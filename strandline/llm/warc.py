@@ -188,15 +188,16 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
         store, base = fs.FileSystem.from_uri(path)
         store.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId()
-        own = f"{base}/.{number:06d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(own, compression=None) as sink:
+        # Every attempt writes a file of its own; the list names those of the attempts that ended well.
+        name = f"part-{number:06d}-{uuid.uuid4().hex}.warc.zst"
+        with store.open_output_stream(f"{base}/{name}", compression=None) as sink:
             w = Writer(sink)
             for b in batches:
                 for d, uri, payload, first in zip(*(b.column(c).to_pylist() for c in ("d", "uri", "body", "first"))):
+                    if len(payload) > MOST - 65_536:
+                        raise ValueError(f"page {d}: a payload of {len(payload)} bytes is more than a reader takes")
                     w.add(_record("response" if first is None else "revisit", d, " ".join(uri.split()), payload, digest(payload), first))
             w.close()
-        name = f"part-{number:06d}.warc.zst"
-        store.move(own, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([w.records], pa.int64())})
 
     got = rows.mapInArrow(archive, "file string, records long").collect()
