@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by robust-pruned directed graphs.
 
-Vectors are dealt to shards of bounded size, each with its own graph: a vector's
+Vectors are dealt to cells around centroids, which are learned from a bounded sample, and
+a cell of more than ``SHARD`` vectors to several shards, each with its own graph: a vector's
 neighbours are proposed by a greedy search on the graph so far, and kept by relaxed
 pruning (a candidate goes if a kept neighbour is ALPHA times nearer to it than the
-vector is).  A beam search answers every query on every shard; queries meet shards in
-blocks.  Scores of what is found are the measure itself, in double precision.
+vector is).  A query goes to the shards of its ``PROBES`` nearest cells only, and a beam search
+answers it there, so the work for a query doesn't grow with the number of shards.  A shard's graph is read
+once for every ``BLOCK`` queries that come to it.  Scores of what is found are the measure itself, in double precision.
 
-Inner products become distances by one more coordinate, which gives all vectors of a
-shard the same length.  Equal vectors are one node of a graph; of each, the smallest
+Inner products become distances by one more coordinate, which gives all vectors the
+same length.  Equal vectors are one node of a graph; of each, the smallest
 ids, as many as a query can return, are joined back.  Null vectors, zero vectors, those
 with null or non-finite components, and those of another dimension than most take no
 part.  Rows that repeat an id keep one vector, the smallest.
@@ -19,11 +21,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.llm import common
 
 #: Vectors in a shard, about; edges of a node; beams while building and searching.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 12_000, 32, 48, 144, 1.2
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4_000, 32, 48, 112, 1.2
+#: Cells that a query is sent to; cells at most; nodes whose vectors teach the centroids.
+PROBES, CELLS, SAMPLE = 10, 4_096, 40_000
 #: Queries in a block.
 BLOCK = 2_048
 
@@ -188,7 +193,55 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v.cast("array<double>")).alias("v"))
 
 
-def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM) -> DataFrame:
+def centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """k-means from evenly drawn rows; a centre without rows stays where it is."""
+    c = x[np.random.default_rng(k).permutation(len(x))[:k]].copy()
+    for _ in range(rounds):
+        near = nearest_cells(x, c, 1)[:, 0]
+        n = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def nearest_cells(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each row, nearest first."""
+    k, out = min(k, len(c)), []
+    sq = np.einsum("kd,kd->k", c, c)
+    for i in range(0, len(x), 4096):
+        d = sq - 2 * x[i : i + 4096] @ c.T
+        top = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(d), 1))
+        out.append(np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
+
+
+def _lengthened(v: np.ndarray, most: float) -> np.ndarray:
+    """One more coordinate, so that all rows have the squared length ``most``."""
+    return np.concatenate((v, np.sqrt(np.maximum(most - np.einsum("nd,nd->n", v, v), 0))[:, None]), 1)
+
+
+def with_cells(nodes: DataFrame, total: int, probes: int = PROBES, shard: int = SHARD) -> tuple[DataFrame, int]:
+    """``nodes`` (node, v, q) with ``cell`` and, for queries, the cells ``asks`` to search; and the number of cells."""
+    cells = max(1, min(CELLS, -(-total // shard)))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    most = float(nodes.agg(F.max(square)).first()[0])
+    sample = nodes.select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE if cells > 1 else 1).collect()
+    c = centroids(_lengthened(np.array([r["v"] for r in sample], np.float64), most), cells)
+
+    def assign(batches):
+        for part in batches:
+            v = np.array(part["v"].tolist(), np.float64)
+            part["cell"] = nearest_cells(_lengthened(v, most), c, 1)[:, 0] if len(part) else []
+            asks = nearest_cells(np.concatenate((v, np.zeros((len(v), 1))), 1), c, probes) if len(part) else []
+            part["asks"] = [a.tolist() if q else None for a, q in zip(asks, part["q"])]
+            yield part
+
+    shape = T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("asks", T.ArrayType(T.IntegerType()))])
+    return nodes.mapInPandas(assign, shape), cells
+
+
+def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, probes: int = PROBES, shard: int = SHARD) -> DataFrame:
     """query_id, rank, ``id_col``, score: the k rows of largest inner product found for each row that meets ``queries``."""
     spark = rows.sparkSession
     sound = usable(rows, id_col, vector_col)
@@ -203,25 +256,28 @@ def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_
     nodes = sound.groupBy("key").agg(F.min("id").alias("node"), F.first("v").alias("v"), F.max("q").alias("q"))
     nodes = common.stored(nodes, "nodes")
     total = nodes.count()
-    shards = max(1, -(-total // SHARD))
+    placed, _ = with_cells(nodes, total, probes, shard)
+    placed = common.stored(placed, "cells")
     w = Window.partitionBy("key").orderBy("id")
     ids = sound.select("key", "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     ids = ids.join(nodes.select("key", "node"), "key").select("node", F.col("id"))
-    asked = nodes.where("q")
-    blocks = max(1, -(-asked.count() // BLOCK))
+    # A cell's parts, and the blocks of the queries that come to it; there are CELLS cells at most.
+    asked = placed.where("q").select(F.col("node").alias("query"), "v", F.explode("asks").alias("cell"))
+    plan = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell", "left").na.fill(0, ["blocks"])
+    plan = F.broadcast(plan)
 
     def index(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", ignore_index=True)
         vectors = np.array(part["v"].tolist(), np.float64)
         x = Index(part["node"].to_numpy(), vectors)
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "ids": [x.ids.astype(np.int64).tobytes()], "vectors": [vectors.tobytes()], "graph": [x.graph.astype(np.int32).tobytes()], "entry": [x.entry]})
+        return pd.DataFrame({"cell": [part["cell"].iloc[0]], "part": [part["part"].iloc[0]], "ids": [x.ids.astype(np.int64).tobytes()], "vectors": [vectors.tobytes()], "graph": [x.graph.astype(np.int32).tobytes()], "entry": [x.entry]})
 
-    graphs = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).select("shard", "node", "v")
-    graphs = graphs.groupBy("shard").applyInPandas(index, "shard int, ids binary, vectors binary, graph binary, entry long")
+    graphs = placed.join(plan, "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("cell", "part", "node", "v")
+    graphs = graphs.groupBy("cell", "part").applyInPandas(index, "cell int, part int, ids binary, vectors binary, graph binary, entry long")
     graphs = common.stored(graphs, "graphs")
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.select(F.col("node").alias("query"), "v", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    graphs = graphs.join(plan.where("blocks > 0"), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("parts", "blocks")
+    asked = asked.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("query", F.lit(3)), F.col("blocks")).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "blocks")
 
     def search(graph: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(graph) or not len(part):
@@ -234,7 +290,7 @@ def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_
         ok = found.ravel() >= 0
         return pd.DataFrame({"query": query[ok], "node": found.ravel()[ok], "score": score.ravel()[ok]})
 
-    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query long, node long, score double")
+    found = graphs.groupBy("cell", "part", "block").cogroup(asked.groupBy("cell", "part", "block")).applyInPandas(search, "query long, node long, score double")
     first = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     found = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
     found = found.join(ids, "node")
