@@ -11,22 +11,16 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common, mixing, packing, setjoin, substrings, toxicity
 
-#: Rows of ids that are broadcast at most; beyond, texts are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 #: Near duplicates: words of a shingle, and the least similarity in hundredths.
 WORDS, SIMILAR = 5, 80
 
 
-def _hint(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't take for toxic.  Null texts count as empty and stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
-    scored = toxicity.scored(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    (out,) = common.fresh(docs, "toxicity")
+    return toxicity.scored(docs, model, out=out).where(F.col(out) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +37,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     names = common.fresh(docs, "d", "h")
     gone = gone.toDF(*names)
     h = F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    out = docs.join(_hint(gone), (F.col("doc_id") == F.col(names[0])) & (h == F.col(names[1])), "left_anti")
+    out = docs.join(common.hinted(gone), (F.col("doc_id") == F.col(names[0])) & (h == F.col(names[1])), "left_anti")
     if rows.groupBy("d", "h").count().where("count > 1").limit(1).count():
         again = out.where("doc_id is not null and text is not null").dropDuplicates(["doc_id", "text"])
         out = again.unionByName(out.where("doc_id is null or text is null"))
@@ -52,10 +46,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that start earlier; documents of which no word is left go."""
-    out = substrings.deduplicated(docs)
-    out = out.where("n_removed = 0 or n_removed < n_words")
-    changed = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
+    words, removed, kept = common.fresh(docs, "n_words", "n_removed", "kept")
+    out = substrings.deduplicated(docs, out=(words, removed, kept))
+    out = out.where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
+    changed = F.col(removed) > 0
+    out = out.withColumn("text", F.when(changed, F.col(kept)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
@@ -64,14 +59,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; those that it doesn't take go."""
-    out = mixing.mixed(docs).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
-    times = common.stored(out.where("_times > 0"), "times")
-    own = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    if times.where("_rows > 1").limit(1).count():
+    d, h, key, times, rows, copy = common.fresh(docs, "d", "h", "key", "times", "rows", "copy")
+    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.sum("times").alias(times), F.count("*").alias(rows))
+    taken = common.stored(taken.where(F.col(times) > 0), "times")
+    own = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    if taken.where(F.col(rows) > 1).limit(1).count():
         # Rows that repeat id and text share one entry, which holds the copies of all.
-        own = own.dropDuplicates(["doc_id", "_key"])
-    both = own.join(_hint(times), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")))
-    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+        own = own.dropDuplicates(["doc_id", key])
+    both = own.join(common.hinted(taken), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(h)))
+    both = both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
     return both.select(*docs.columns)
 
 
