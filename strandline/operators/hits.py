@@ -91,6 +91,12 @@ def reciprocal(first: DataFrame, second: DataFrame) -> DataFrame:
     return a.join(b, ["query", "subject"])
 
 
+def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that are in one of the tables only."""
+    both = a.select(key, F.lit(1).alias("_s")).unionByName(b.select(key, F.lit(2).alias("_s")))
+    return both.groupBy(key).agg(F.min("_s").alias("_a"), F.max("_s").alias("_b")).where("_a = _b").select(key)
+
+
 def orthologs(seqs: DataFrame, pairs: DataFrame, name: str = "name", out: str = "orthologs") -> DataFrame:
     """Sequences with the sorted array of their partners (empty where none)."""
     found = pairs.groupBy(F.col("query").alias(name)).agg(F.array_sort(F.collect_set("subject")).alias(out))

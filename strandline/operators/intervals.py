@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from strandline.functions import let
 
 
-def merge(df: DataFrame, key: str | list[str], start: str = "start", end: str = "end", gap: int = 1) -> DataFrame:
-    """Unions of segments that overlap or lie at most ``gap`` apart (1: adjacent ones join)."""
+def merge(df: DataFrame, key: str | list[str], start: str = "start", end: str = "end", gap: int = 1, bin_width: int | None = None) -> DataFrame:
+    """Unions of segments that overlap or lie at most ``gap`` apart (1: adjacent ones join).
+
+    With ``bin_width``, segments are first merged within bins of their starts, so that a key with very many
+    segments is shared by its bins, and only their unions meet in one task.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    if bin_width:
+        df = _merged(df.withColumn("_bin", F.floor(F.col(start) / bin_width)), [*keys, "_bin"], start, end, gap).drop("_bin")
+    return _merged(df, keys, start, end, gap)
+
+
+def _merged(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Usual marker types and their ontology terms.
-MARKER_TYPES = {"ssr": "microsatellite", "microsatellite": "microsatellite", "snp": "SNP", "rflp": "RFLP_fragment", "aflp": "AFLP_fragment", "rapd": "RAPD", "indel": "indel", "est": "EST", "caps": "genetic_marker", "cos": "genetic_marker", "sts": "STS"}
+# Spellings of marker types and their standard names.
+MARKER_TYPES = {
+    "aflp": "aflp", "est-ssr": "microsatellite", "ssr": "microsatellite", "ima": "issr", "indel": "indel", "snp-indel": "indel",
+    "marker": "sequence_feature", "morhological": "morphological", "morphological": "morphological", "trait": "morphological",
+    "rapd": "rapd", "rapds": "rapd", "rflp": "RFLP_fragment", "snp": "SNP", "snp-caps": "SNP", "snp-snapshot-caps": "SNP",
+    "snp-scar": "SNP", "scar": "SNP", "snp-sequencing": "SNP", "snp-snapshot": "SNP", "spelling error": "spelling error",
+    "unknown": "sequence_feature", "isozyme": "isozyme",
+}
+# Ontology terms of standard names.
+MARKER_TERMS = {"microsatellite": "SO:0000289", "indel": "SO:1000032", "sequence_feature": "SO:0000110", "SNP": "SO:0000694"}
 
 
 def upsert_markers(markers: DataFrame, more: DataFrame, fields: list[str]) -> DataFrame:
@@ -16,9 +24,14 @@ def upsert_markers(markers: DataFrame, more: DataFrame, fields: list[str]) -> Da
     return both.groupBy("name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("alias", F.array().cast("array<string>")))))).alias("alias"), *first)
 
 
-def standard_types(markers: DataFrame, column: str = "type") -> DataFrame:
-    table = F.create_map(*[F.lit(x) for pair in MARKER_TYPES.items() for x in pair])
-    return markers.withColumn("sofa", F.coalesce(F.try_element_at(table, F.lower(column)), F.lit("genetic_marker")))
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def standard_types(markers: DataFrame, column: str = "type", term: str = "sofa") -> DataFrame:
+    """Standard names of marker types, and their ontology terms (null where there is none); unknown types stay as they are."""
+    kind = F.coalesce(_looked_up(MARKER_TYPES, F.lower(column)), F.col(column))
+    return markers.withColumn(column, kind).withColumn(term, _looked_up(MARKER_TERMS, F.col(column)))
 
 
 def correlate(names: DataFrame, markers: DataFrame) -> DataFrame:
@@ -44,35 +57,56 @@ def correspondences(locations: DataFrame, key: str = "marker", id_: str = "locat
     return a.join(b, key).where("a < b")
 
 
-def next_code(code: str) -> str:
-    """The next of AB09 -> AB10 -> ...; a full odometer grows by a place."""
-    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out, k = list(code), len(code) - 1
-    while k >= 0:
-        c = out[k]
-        if c != "Z":
-            out[k] = digits[digits.index(c) + 1]
-            return "".join(out)
-        out[k] = "0"
-        k -= 1
-    return "1" + "".join(out)
+def _next_letters(letters: Column) -> Column:
+    """The next of AZ -> BA -> ... -> ZZ -> AAA."""
+    head = F.regexp_replace(letters, "Z*$", "")
+    tail = F.length(letters) - F.length(head)
+    stepped = F.concat(F.left(head, F.length(head) - 1), F.char(F.ascii(F.right(head, F.lit(1))) + 1), F.repeat(F.lit("A"), tail))
+    return F.when(head == "", F.repeat(F.lit("A"), F.length(letters) + 1)).otherwise(stepped)
+
+
+def next_code(code: Column) -> Column:
+    """The code after ``code``: its letters, then its digits.
+
+    Digits count up; where all are 9 the letters step and zeros fill the length (A and
+    zeros without letters).  Letters alone step; Z alone become zeros, one more.
+    """
+    letters, digits = F.regexp_replace(code, "[0-9]", ""), F.regexp_replace(code, "[^0-9]", "")
+    full = F.when(letters == "", F.rpad(F.lit("A"), F.length(code), F.lit("0"))).otherwise(F.rpad(_next_letters(letters), F.length(code), F.lit("0")))
+    alone = F.when(letters.rlike("^Z+$"), F.repeat(F.lit("0"), F.length(code) + 1)).otherwise(_next_letters(letters))
+    counted = F.concat(letters, F.lpad((digits.try_cast("decimal(38,0)") + 1).cast("string"), F.length(digits), F.lit("0")))
+    return F.when(digits == "", alone).when(digits.rlike("^9+$"), full).otherwise(counted)
 
 
 def allocate_names(items: DataFrame, known: DataFrame, prefix: str, key: str = "name") -> DataFrame:
-    """Known names by join; new ones numbered after the largest, in order of their keys."""
+    """Known names by join; new ones numbered after the largest, in order of their keys.
+
+    New keys are range partitioned and counted by partition, so no prefix of a name
+    makes one task.
+    """
     new = items.select(key).distinct().join(known, key, "left_anti")
     last = known.agg(F.coalesce(F.max("number"), F.lit(0)).alias("last"))
-    # Numbers in key order: within each two-letter prefix, after all rows of smaller prefixes.
-    new = new.withColumn("_p", F.left(key, F.lit(2)))
-    sums = new.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("_before", before).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(key))
-    numbered = new.withColumn("_r", rank).join(sums, "_p").join(F.broadcast(last)).select(key, (F.col("last") + F.col("_before") + F.col("_r")).alias("number"))
+    numbered = ranked(new, key, "_r").join(F.broadcast(last)).select(key, (F.col("last") + F.col("_r")).alias("number"))
     every = known.select(key, "number").unionByName(numbered)
     return items.join(every, key).withColumn("new_name", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 8, "0")))
 
 
+def ranked(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """Distinct ``key`` values numbered from 1 in their order, by range buckets.
+
+    A value's bucket is its place among 1,000 sampled cut points, so buckets are about a
+    thousandth of the rows, and only their counts meet in one task.
+    """
+    cuts = [r[0] for r in rows.select(key).orderBy(F.xxhash64(key), key).limit(1000).collect()]
+    points = F.array(*[F.lit(c) for c in sorted(cuts)]) if cuts else F.array().cast(f"array<{dict(rows.dtypes)[key]}>")
+    spread = rows.withColumn("_b", F.size(F.filter(points, lambda c: c <= F.col(key))))
+    counts = spread.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_b", before.alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    return spread.withColumn("_k", rank).join(F.broadcast(counts), "_b").withColumn(out, F.col("_k") + F.col("_before")).drop("_b", "_k", "_before")
+
+
 def libraries_of(reads: DataFrame, sources: DataFrame, rules: list[tuple[str, str]], name: str = "name") -> DataFrame:
     """Library of each read: a listed one first, else that of the first rule (pattern at the name's beginning)."""
     out = reads.join(sources.select(name, F.col("library").alias("_l")), name, "left")

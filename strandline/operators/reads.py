@@ -220,8 +220,67 @@ def remove_short_adaptors(df: DataFrame, words: tuple[str, ...] | list[str], seq
     return trim_and_mask(_add(df, "vector_trim", spans), mask=False, seq=seq, quality=quality)
 
 
-def trim_by_hits(df: DataFrame, hits: DataFrame, name: str = "name", query: str = "query", start: str = "q_start", end: str = "q_end", extend: int = 5, subject_start: str = "s_start", subject_end: str = "s_end", subject_length: str = "s_len", seq: str = "seq") -> DataFrame:
+def trim_errors(df: DataFrame, most_error: float = 0.025, window: int = 10, window_error: float = 0.08, least: int = 30, seq: str = "seq", quality: str = "qual") -> DataFrame:
+    """Marks the ends around the part of a read with few expected errors; reads without such a part of ``least`` bases are dropped.
+
+    A position is good where the mean error probability (10^(-q/10)) of the ``window``
+    around it is at most ``window_error``; the longest good run is then kept, if its own mean
+    is at most ``most_error``.  Reads without qualities pass unmarked.
+    """
+    q = F.col(quality)
+    errors = F.transform(q, lambda x: F.pow(F.lit(10.0), -x / 10.0))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("from"), F.lit(0).alias("best"), F.lit(0).alias("n"))
+
+    def step(acc: Column, good: Column) -> Column:
+        size = acc["i"] - acc["from"] + 1
+        better = good & (size > acc["n"])
+        return F.struct((acc["i"] + 1).alias("i"), F.when(good, acc["from"]).otherwise(acc["i"] + 1).alias("from"), F.when(better, acc["from"]).otherwise(acc["best"]).alias("best"), F.when(better, size).otherwise(acc["n"]).alias("n"))
+
+    def run(e: Column) -> Column:
+        best = F.aggregate(F.transform(window_means_of(e, window // 2), lambda m: m <= window_error), zero, step)
+        mean = lambda b: F.aggregate(F.slice(e, b["best"] + 1, b["n"]), F.lit(0.0), lambda a, x: a + x) / b["n"]
+        return let(best, lambda b: F.when((b["n"] >= least) & (mean(b) <= most_error), F.struct(b["best"].alias("a"), (b["best"] + b["n"] - 1).alias("b"))))
+
+    known = F.coalesce(F.size(q) > 0, F.lit(False))
+    found = F.struct(known.alias("known"), F.when(known, let(errors, run)).alias("part"))
+    out = keep(df, found, "_t", lambda t: ~t["known"] | t["part"].isNotNull())
+    parts = F.when(F.col("_t.known"), F.array(_segment(F.lit(0), F.col("_t.part.a") - 1), _segment(F.col("_t.part.b") + 1, F.length(seq) - 1))).otherwise(_nothing())
+    return _add(out, "quality_trim", parts).drop("_t")
+
+
+def window_means_of(values: Column, half: int) -> Column:
+    """Means of doubles over ``half`` neighbours on each side, cut at the ends."""
+
+    def at(v: Column, i: Column) -> Column:
+        lo = F.greatest(i - half, F.lit(0))
+        return let(F.slice(v, lo + 1, i + half + 1 - lo), lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x))
+
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: at(v, i)))
+
+
+def double_encoded(df: DataFrame, seq: str = "seq") -> DataFrame:
+    return df.withColumn(seq, S.double_encode(F.col(seq)))
+
+
+def similar_only(df: DataFrame, hits: DataFrame | None, name: str = "name", similarity: float = 96, percent: float = 60, reverse: bool = False) -> DataFrame:
+    """Reads that are similar to a subject (or, reversed, to none): parts of at least ``similarity`` that cover so many percent of the subject."""
+    if hits is None:
+        return df
+    from strandline.operators import hits as H
+
+    good = H.min_length(H.score_threshold(hits, "similarity", least=similarity), percent=percent, on_query=False)
+    return H.with_hits(df, good, name, reverse)
+
+
+def joined_reads(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Struct columns ``a`` and ``b`` (name, seq, qual) as one read: names joined by +, qualities where both have them."""
+    return df.select("*", F.concat(F.col(f"{a}.name"), F.lit("+"), F.col(f"{b}.name")).alias("name"), F.concat(f"{a}.seq", f"{b}.seq").alias("seq"), F.concat(f"{a}.qual", f"{b}.qual").alias("qual")).drop(a, b)
+
+
+def trim_by_hits(df: DataFrame, hits: DataFrame | None, name: str = "name", query: str = "query", start: str = "q_start", end: str = "q_end", extend: int = 5, subject_start: str = "s_start", subject_end: str = "s_end", subject_length: str = "s_len", seq: str = "seq") -> DataFrame:
     """Marks the parts of reads that hit a vector or adaptor, reaching up to ``extend`` bases to the subject's ends."""
+    if hits is None:
+        return df
     left = F.when(F.col(subject_start) < extend, F.col(subject_start)).otherwise(0)
     right = F.when(F.col(subject_length) - 1 - F.col(subject_end) < extend, F.col(subject_length) - 1 - F.col(subject_end)).otherwise(0)
     spans = hits.select(F.col(query).alias(name), _segment(F.greatest(F.col(start) - left, F.lit(0)), F.col(end) + right).alias("_s")).groupBy(name).agg(F.collect_list("_s").alias("_spans"))
@@ -274,9 +333,9 @@ def with_default_quality(df: DataFrame, value: int = 25, seq: str = "seq", quali
     return df.withColumn(quality, F.coalesce(F.col(quality), filled) if quality in df.columns else filled)
 
 
-def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (all, if fewer), without replacement; a top-n by seeded random key."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+def sample(df: DataFrame, n: int, seed: int = 0, key: str = "name") -> DataFrame:
+    """Exactly n rows (all, if fewer), without replacement: those with the smallest digests of seed and ``key``, however the rows are partitioned."""
+    return df.withColumn("_r", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).orderBy("_r", key).limit(n).drop("_r")
 
 
 def nucleotide_frequencies(df: DataFrame, positions: int = 30, seq: str = "seq") -> DataFrame:

@@ -21,6 +21,40 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     return df.where(F.col(value).isNotNull()).groupBy(*(by or []), F.col(value).alias("value")).agg(F.count("*").alias("n"))
 
 
+def cumulative(counts: DataFrame, by: list[str] | None = None, cuts: int = 200) -> DataFrame:
+    """``counts`` (value, n) with ``upto``, the rows at or below each value, within the groups ``by``.
+
+    Values are dealt to ranges between sampled cut points, so neither many values nor one
+    large group meet in one task; only the ranges' sums do.
+    """
+    keys = by or []
+    points = sorted({r[0] for r in counts.select("value").orderBy(F.xxhash64("value", *keys)).limit(cuts).collect()})
+    kind = dict(counts.dtypes)["value"]
+    edges = F.array(*[F.lit(x) for x in points]).cast(f"array<{kind}>")
+    rows = counts.withColumn("_b", F.size(F.filter(edges, lambda c: c <= F.col("value"))))
+    sums = rows.groupBy(*keys, "_b").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("n").over(Window.partitionBy(*keys, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_w", within).join(sums.select(*keys, "_b", before.alias("_before")), [*keys, "_b"]).withColumn("upto", F.col("_w") + F.col("_before")).drop("_b", "_w", "_before")
+
+
+def quantiles(counts: DataFrame, fractions: list[float], by: list[str] | None = None) -> DataFrame:
+    """Linearly interpolated quantiles (fraction, value) of value counts, in each group."""
+    keys = by or []
+    t = cumulative(counts, by)
+    one = F.lit(1) if not keys else None
+    n = t.groupBy(*(keys or [one.alias("_one")])).agg(F.sum("n").alias("_total"))
+    asked = n.select(*keys, "_total", F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"))
+    place = F.col("fraction") * (F.col("_total") - 1)
+    asked = asked.withColumn("_lo", F.floor(place)).withColumn("_hi", F.ceil(place)).withColumn("_w", place - F.floor(place))
+    rows = t.join(asked, keys) if keys else t.crossJoin(F.broadcast(asked))
+    first = F.col("upto") - F.col("n")
+    at = lambda p: F.max(F.when((F.col(p) >= first) & (F.col(p) < F.col("upto")), F.col("value")))
+    near = rows.where(((F.col("_lo") >= first) & (F.col("_lo") < F.col("upto"))) | ((F.col("_hi") >= first) & (F.col("_hi") < F.col("upto"))))
+    out = near.groupBy(*keys, "fraction", "_w").agg(at("_lo").cast("double").alias("a"), at("_hi").cast("double").alias("b"))
+    return out.select(*keys, "fraction", (F.col("a") + (F.col("b") - F.col("a")) * F.col("_w")).alias("value"))
+
+
 def quartiles(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Median, quartiles, inter-quartile range and outlier limits of integers.
 
@@ -60,12 +94,13 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
     integer widths: there are no more of them than the span, which is widened to a
     multiple of their number.
     """
-    row = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), *([F.percentile(value, F.lit(clip[0] / 100)).alias("a"), F.percentile(value, F.lit(clip[1] / 100)).alias("b")] if clip else [])).first()
+    row = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     if row["lo"] is None:
         raise ValueError("no numbers")
     lo, hi = (row["lo"] if low is None else low), (row["hi"] if high is None else high)
     if clip:
-        lo, hi = max(lo, row["a"]), min(hi, row["b"])
+        ends = {r["fraction"]: r["value"] for r in quantiles(value_counts(df, value), [c / 100 for c in clip]).collect()}
+        lo, hi = max(lo, ends[clip[0] / 100]), min(hi, ends[clip[1] / 100])
     if integers:
         lo, hi = int(lo // 1), int(-(-hi // 1))
     if lo == hi:
@@ -97,8 +132,7 @@ def distribution(df: DataFrame, value: str, bins: int | None = None, outliers_pe
         return df.sparkSession.createDataFrame([], "bin long, left_edge double, right_edge double, n long")
     lo, hi, n = int(s[0]), int(s[1]), int(s[2])
     if outliers_percent:
-        w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)  # over distinct values only
-        upto = counts.withColumn("upto", F.sum("n").over(w))
+        upto = cumulative(counts)
         left = int(n * outliers_percent // 100)
         a = upto.where(F.col("upto") > left).agg(F.min("value")).first()[0]
         b = upto.where(F.col("upto") > n - left).agg(F.min("value")).first()[0]
@@ -110,9 +144,10 @@ def distribution(df: DataFrame, value: str, bins: int | None = None, outliers_pe
 
 def boxplot(df: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, deviation and quartiles of each group."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("_q"))
-    return out.select(by, "n", "mean", "std", *[F.get("_q", F.lit(k)).alias(a) for k, a in enumerate(("q1", "median", "q3"))])
+    q = quantiles(value_counts(df, value, [by]), [0.25, 0.5, 0.75], [by])
+    q = q.groupBy(F.col(by).alias("_by")).agg(*[F.max(F.when(F.col("fraction") == f, F.col("value"))).alias(a) for f, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    out = df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return out.join(q, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "std", "q1", "median", "q3")
 
 
 def qualities_by_position(df: DataFrame, quality: str = "qual") -> DataFrame:
@@ -121,8 +156,9 @@ def qualities_by_position(df: DataFrame, quality: str = "qual") -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
     """Linearly interpolated percentiles, one row each."""
-    row = df.agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in percents])).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), F.col("v").alias("value"))).alias("z")).select("z.*")
+    got = quantiles(value_counts(df, value), [p / 100 for p in percents])
+    asked = df.sparkSession.createDataFrame([(float(p), p / 100) for p in percents], "percent double, fraction double")
+    return asked.join(got, "fraction", "left").select("percent", "value")
 
 
 def stacked(df: DataFrame, by: str, classes: str) -> DataFrame:

@@ -74,9 +74,63 @@ def union_of_kinds(kinds_: Column) -> Column:
 
 
 def allele_quality(qualities: Column) -> Column:
-    """The best quality, and a quarter of each of the next two."""
-    top = F.slice(F.sort_array(qualities, asc=False), 1, 3)
-    return F.coalesce(F.get(top, F.lit(0)), F.lit(0)) + (F.coalesce(F.get(top, F.lit(1)), F.lit(0)) + F.coalesce(F.get(top, F.lit(2)), F.lit(0))) / 4.0
+    """The best quality, and a quarter of each of the next two distinct ones.
+
+    Where there are fewer distinct qualities, the second and third stand as they were given.
+    """
+    best = F.sort_array(F.array_distinct(qualities), asc=False)
+    at = lambda k: F.coalesce(F.get(best, F.lit(k)), F.get(qualities, F.lit(k)), F.lit(0))
+    return at(0) + (at(1) + at(2)) / 4.0
+
+
+def major_allele(counts: DataFrame, snv: str = "snv_id") -> DataFrame:
+    """The allele with most reads of each variant, the smaller name on a tie."""
+    totals = allele_totals(counts, snv=snv)
+    return totals.groupBy(snv).agg(F.min(F.struct((-F.col("n")).alias("k"), "allele"))["allele"].alias("major"))
+
+
+def alleles_by_reads(counts: DataFrame, snv: str = "snv_id") -> DataFrame:
+    """Alleles of each variant as an array, most reads first, then by name."""
+    totals = allele_totals(counts, snv=snv)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "allele")))
+    return totals.groupBy(snv).agg(F.transform(ordered, lambda x: x["allele"]).alias("alleles"))
+
+
+def summarised(reads: DataFrame, snv: str = "snv_id") -> tuple[DataFrame, DataFrame]:
+    """(reads of each allele and group, root mean squares of base and mapping qualities) from rows of one read's allele each."""
+    counts = reads.groupBy(snv, "allele", "kind", "rg").agg(F.count("*").alias("n"))
+    rms = lambda c: F.sqrt(F.avg(F.col(c).cast("double") * F.col(c)))
+    return counts, reads.groupBy(snv).agg(rms("q").alias("quality"), rms("mapq").alias("mapping_quality"))
+
+
+def genotype_counts(counts: DataFrame, order: DataFrame, group: str = "rg", snv: str = "snv_id") -> DataFrame:
+    """Reads and groups of every allele by its number: 0 the reference, then the others as ``order`` (snv, allele, number) gives them."""
+    got = counts.where("n > 0").join(order, [snv, "allele"], "right")
+    return got.groupBy(snv, "number").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reads"), F.countDistinct(group).alias("groups"))
+
+
+def info(counts: DataFrame, order: DataFrame, qualities: DataFrame | None = None, enzymes: DataFrame | None = None, group: str = "rg", snv: str = "snv_id") -> DataFrame:
+    """The INFO text of each variant: reads (RC) and frequencies (AF) of other alleles, mapping and base quality (MQ, BQ), groups of each allele (GC), genotype polymorphism (GP), enzymes (EZ)."""
+    g = genotype_counts(counts, order, group, snv)
+    rows = F.array_sort(F.collect_list(F.struct("number", "reads", "groups")))
+    out = g.groupBy(snv).agg(rows.alias("g"), F.sum("reads").alias("all"), F.sum("groups").alias("all_groups"))
+    text = lambda rows, f: F.array_join(F.transform(rows, f), ",")
+    other = F.filter("g", lambda x: x["number"] > 0)
+    parts = [
+        F.when(F.size(other) > 0, F.concat(F.lit("RC="), text(other, lambda x: x["reads"].cast("string")))),
+        F.when((F.size(other) > 0) & (F.col("all") > 0), F.concat(F.lit("AF="), text(other, lambda x: F.format_string("%.1f", x["reads"] / F.col("all"))))),
+    ]
+    if qualities is not None:
+        out = out.join(qualities, snv, "left")
+        parts += [F.format_string("MQ=%.2f", F.col("mapping_quality")), F.format_string("BQ=%.2f", F.col("quality"))]
+        parts[2:] = [F.when(F.col(c).isNotNull(), p) for c, p in zip(("mapping_quality", "quality"), parts[2:])]
+    first = F.coalesce(F.get(F.filter("g", lambda x: x["number"] == 0), F.lit(0))["groups"], F.lit(0))
+    parts.append(F.concat(F.lit("GC="), text(F.col("g"), lambda x: x["groups"].cast("string"))))
+    parts.append(F.when(F.col("all_groups") > 0, F.format_string("GP=%.2f", 1 - first / F.col("all_groups"))))
+    if enzymes is not None:
+        out = out.join(enzymes, snv, "left")
+        parts.append(F.when(F.size("enzymes") > 0, F.concat(F.lit("EZ="), F.array_join("enzymes", ","))))
+    return out.select(snv, F.coalesce(F.nullif(F.concat_ws(";", *parts), F.lit("")), F.lit(".")).alias("info"))
 
 
 def _group_variability(counts: DataFrame, group: str, groups: list, in_union: bool, reference_free: bool, maf: float | None, min_reads: int | None, min_reads_per_allele: int | None, snv: str) -> DataFrame:
@@ -215,3 +269,29 @@ def enzymes_that_tell(alleles: DataFrame, enzymes: DataFrame, snv: str = "snv_id
     n = alleles.groupBy(snv).agg(F.countDistinct(seq).alias("_n"))
     some = cut.groupBy(snv, "enzyme").agg(F.countDistinct(seq).alias("_k")).join(n, snv).where("_k < _n")
     return some.groupBy(snv).agg(F.array_sort(F.collect_set("enzyme")).alias("enzymes"))
+
+
+def not_unique(snvs: DataFrame, hits: DataFrame, introns: DataFrame | None = None, snv: str = "snv_id", similarity: float = 90, residues: int = 20, out: str = "uniq_contiguous") -> DataFrame:
+    """Variants whose surroundings hit more than one subject, or one across an intron.
+
+    ``hits`` has the aligned parts of each variant's window (query = variant); only parts of at least
+    ``similarity`` in matches of ``residues`` bases count.  Without any hit a variant passes.
+    """
+    from strandline.operators import hits as H
+
+    good = H.min_length(H.score_threshold(hits, "similarity", least=similarity), residues=residues)
+    n = good.groupBy(F.col("query").alias(snv)).agg(F.countDistinct("subject").alias("_n"))
+    found = snvs.join(n, snv, "left")
+    bad = F.coalesce(F.col("_n") > 1, F.lit(False))
+    if introns is not None:
+        found = found.join(introns.select(F.col("query").alias(snv), F.lit(True).alias("_i")).distinct(), snv, "left")
+        bad = bad | (F.col("_n").isNotNull() & F.coalesce("_i", F.lit(False)))
+    return found.withColumn(out, bad).drop("_n", "_i")
+
+
+def measure_distribution(snvs: DataFrame, measure: str, bins: int = 20) -> DataFrame:
+    """Histogram of pic, heterozygosity or maf over all variants; unknown ones, and a maf of 0, are left out."""
+    from strandline.operators import statistics
+
+    rows = snvs.where(F.col(measure).isNotNull() & ((F.lit(measure) != "maf") | (F.col(measure) != 0)))
+    return statistics.histogram(rows, measure, bins)

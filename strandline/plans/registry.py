@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions import alignment as A
 from strandline.functions import sequence as S
-from strandline.operators import annotation, hits, intervals, mappings, maps, reads, statistics, variants
+from strandline.operators import annotation, hits, intervals, mappings, maps, reads, selection, statistics, variants
 from strandline.plans import pipelines
+from strandline.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -189,7 +190,7 @@ def longest_orfs(t):
     return reads.longest_orf(d)
 
 
-@query()
+@query("SELECT doc_id AS name, text AS seq FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
 def sample_reads(t):
     return reads.sample(_reads(t).select("name", "seq"), 100, seed=7)
 
@@ -242,10 +243,15 @@ def hits_min_length(t):
     return hits.min_length(_parts(t), residues=15).select("query", "subject", "q_start")
 
 
-@query("WITH p AS (SELECT DISTINCT l_partkey % 500 q, l_suppkey % 500 s FROM lineitem) SELECT a.q AS query, a.s AS subject FROM p a JOIN p b ON a.q = b.s AND a.s = b.q")
+@query("""WITH a AS (SELECT DISTINCT l_orderkey q, l_partkey s FROM lineitem), b AS (SELECT DISTINCT l_partkey q, l_orderkey s FROM lineitem WHERE l_linenumber % 2 = 0 UNION SELECT DISTINCT l_partkey + 1, l_orderkey FROM lineitem)
+SELECT a.q AS query, a.s AS subject FROM a JOIN b ON a.q = b.s AND a.s = b.q""")
 def reciprocal_orthologs(t):
-    p = t("lineitem").select((F.col("l_partkey") % 500).alias("query"), (F.col("l_suppkey") % 500).alias("subject"))
-    return hits.reciprocal(p, p)
+    """Orders against parts, and back: every second line, and the lines of the part before."""
+    li = t("lineitem")
+    a = li.select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("subject"))
+    back = li.where("l_linenumber % 2 = 0").select(F.col("l_partkey").alias("query"), F.col("l_orderkey").alias("subject"))
+    b = back.union(li.select((F.col("l_partkey") + 1).alias("query"), F.col("l_orderkey").alias("subject")))
+    return hits.reciprocal(a, b)
 
 
 @query("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.08) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_discount > 0.08)")
@@ -316,10 +322,11 @@ def snv_kinds(t):
     return variants.kinds(a)
 
 
-@query("""WITH r AS (SELECT l_orderkey snv_id, l_returnflag allele, l_quantity q, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_quantity DESC) k FROM lineitem)
-SELECT snv_id, allele, round(sum(CASE WHEN k = 1 THEN q WHEN k <= 3 THEN q / 4 ELSE 0 END), 6) quality, round(sqrt(avg(q * q)), 6) rms FROM r GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT l_orderkey snv_id, l_returnflag allele, list(l_quantity ORDER BY l_linenumber, l_quantity) q, list_reverse_sort(list_distinct(list(l_quantity))) d, avg(l_quantity * l_quantity) m FROM lineitem GROUP BY 1, 2)
+SELECT snv_id, allele, round(d[1] + (coalesce(d[2], q[2], 0) + coalesce(d[3], q[3], 0)) / 4, 6) quality, round(sqrt(m), 6) rms FROM r""")
 def allele_quality(t):
-    g = t("lineitem").groupBy(F.col("l_orderkey").alias("snv_id"), F.col("l_returnflag").alias("allele")).agg(F.collect_list("l_quantity").alias("q"))
+    q = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"])
+    g = t("lineitem").groupBy(F.col("l_orderkey").alias("snv_id"), F.col("l_returnflag").alias("allele")).agg(q.alias("q"))
     return g.select("snv_id", "allele", F.round(variants.allele_quality(F.col("q")), 6).alias("quality"), F.round(S.rms(F.col("q")), 6).alias("rms"))
 
 
@@ -518,9 +525,9 @@ def correspondences(t):
     return maps.correspondences(t("supplier").select(F.col("s_nationkey").alias("marker"), F.col("s_suppkey").alias("location_id")))
 
 
-@query("SELECT c_name AS name, row_number() OVER (ORDER BY c_name) AS number FROM customer WHERE c_custkey % 2 = 0")
+@query("SELECT c_name AS name, row_number() OVER (ORDER BY c_name) AS number FROM customer")
 def allocate_names(t):
-    c = t("customer").where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"))
+    c = t("customer").select(F.col("c_name").alias("name"))
     known = c.limit(0).select("name", F.lit(0).cast("long").alias("number"))
     return maps.allocate_names(c, known, "N").select("name", F.col("number").cast("long").alias("number"))
 
@@ -533,8 +540,193 @@ def allocate_all_names(t):
     return maps.allocate_names(c.select("name"), c.where("number % 2 = 1"), "N").select("name", F.col("number").cast("long").alias("number"))
 
 
-@query("(SELECT DISTINCT l_partkey AS x FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') UNION ALL (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("(SELECT DISTINCT o_custkey AS x FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') UNION ALL (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def symmetric_difference(t):
-    li = t("lineitem")
-    g = li.where("l_returnflag in ('R', 'A')").groupBy(F.col("l_partkey").alias("x")).agg(F.countDistinct("l_returnflag").alias("k"))
-    return g.where("k = 1").select("x")
+    o = t("orders").select("o_orderstatus", "o_orderpriority", F.col("o_custkey").alias("x"))
+    return hits.symmetric_difference(o.where("o_orderstatus = 'F'"), o.where("o_orderpriority LIKE '1%'"), "x")
+
+
+# Names, types and codes.
+
+_CODES = "(SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN repeat('Z', p_size % 4 + 1) WHEN 1 THEN chr(65 + p_size % 26) || 'Z' WHEN 2 THEN repeat('9', p_size % 4 + 1) WHEN 3 THEN 'AZ' || repeat('9', p_size % 3 + 1) ELSE 'B' || lpad(CAST(p_partkey % 100 AS VARCHAR), 3, '0') END code FROM part)"
+_STEP = "CASE WHEN rtrim(l, 'Z') = '' THEN repeat('A', length(l) + 1) ELSE left(rtrim(l, 'Z'), length(rtrim(l, 'Z')) - 1) || chr(ascii(right(rtrim(l, 'Z'), 1)) + 1) || repeat('A', length(l) - length(rtrim(l, 'Z'))) END"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, code, regexp_replace(code, '[0-9]', '', 'g') l, regexp_replace(code, '[^0-9]', '', 'g') d FROM {_CODES})
+SELECT p_partkey, code, CASE WHEN d = '' THEN CASE WHEN l = repeat('Z', length(l)) THEN repeat('0', length(code) + 1) ELSE {_STEP} END
+WHEN d = repeat('9', length(d)) THEN CASE WHEN l = '' THEN rpad('A', CAST(length(code) AS INT), '0') ELSE rpad({_STEP}, CAST(length(code) AS INT), '0') END
+ELSE l || lpad(CAST(CAST(d AS BIGINT) + 1 AS VARCHAR), CAST(length(d) AS INT), '0') END AS next_code FROM c""")
+def next_codes(t):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    code = F.when(k % 5 == 0, F.repeat(F.lit("Z"), n % 4 + 1)).when(k % 5 == 1, F.concat(F.char(65 + n % 26), F.lit("Z"))).when(k % 5 == 2, F.repeat(F.lit("9"), n % 4 + 1))
+    code = code.when(k % 5 == 3, F.concat(F.lit("AZ"), F.repeat(F.lit("9"), n % 3 + 1))).otherwise(F.concat(F.lit("B"), F.lpad((k % 100).cast("string"), 3, "0")))
+    return t("part").select("p_partkey", code.alias("code")).withColumn("next_code", maps.next_code(F.col("code")))
+
+
+_TYPE_NAMES = ("ssr", "SNP-caps", "trait", "rapds", "Est-SSR", "whatever", "rflp", "scar", "unknown", "aflp")
+
+
+@query(f"""WITH m AS (SELECT p_partkey, ({list(_TYPE_NAMES)})[p_size % 10 + 1] ty FROM part)
+SELECT p_partkey, CASE lower(ty) WHEN 'ssr' THEN 'microsatellite' WHEN 'est-ssr' THEN 'microsatellite' WHEN 'snp-caps' THEN 'SNP' WHEN 'scar' THEN 'SNP' WHEN 'trait' THEN 'morphological' WHEN 'rapds' THEN 'rapd' WHEN 'rflp' THEN 'RFLP_fragment' WHEN 'unknown' THEN 'sequence_feature' ELSE ty END AS type,
+CASE lower(ty) WHEN 'ssr' THEN 'SO:0000289' WHEN 'est-ssr' THEN 'SO:0000289' WHEN 'snp-caps' THEN 'SO:0000694' WHEN 'scar' THEN 'SO:0000694' WHEN 'unknown' THEN 'SO:0000110' END AS sofa FROM m""")
+def marker_types(t):
+    kinds = F.array(*[F.lit(x) for x in _TYPE_NAMES])
+    return maps.standard_types(t("part").select("p_partkey", F.get(kinds, F.col("p_size") % 10).alias("type")))
+
+
+# Mapped reads and variant calling: reads of ten bases on 25 references of 120.
+
+_READS = """(SELECT l_orderkey * 10 + l_linenumber qname, l_suppkey % 25 rname, l_partkey % 100 pos, substr(repeat('ACGT', 40), CAST(l_partkey % 100 + 1 + CASE WHEN l_linenumber % 5 = 0 THEN 1 ELSE 0 END AS INT), 10) seq,
+CAST(l_quantity AS INT) q, CAST(l_orderkey % 40 AS INT) mapq, CASE WHEN l_returnflag = 'N' THEN '454' ELSE 'illumina' END pl FROM lineitem)"""
+
+
+def _alignments(t) -> DataFrame:
+    pos = (F.col("l_partkey") % 100).cast("int")
+    shift = F.when(F.col("l_linenumber") % 5 == 0, 1).otherwise(0)
+    return t("lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("qname"), F.lit(0).alias("flag"), (F.col("l_suppkey") % 25).cast("string").alias("rname"), pos.alias("pos"), F.lit("10M").alias("cigar"),
+        F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), pos + 1 + shift, F.lit(10)).alias("seq"), F.array_repeat(F.col("l_quantity").cast("int"), 10).alias("qual"), (F.col("l_orderkey") % 40).cast("int").alias("mapq"),
+        F.when(F.col("l_returnflag") == "N", "454").otherwise("illumina").alias("pl"), F.col("l_returnflag").alias("rg"),
+    )
+
+
+def _references(t) -> DataFrame:
+    return t("nation").select(F.col("n_nationkey").cast("string").alias("name"), F.repeat(F.lit("ACGT"), F.lit(30)).alias("seq"))
+
+
+@query(f"""WITH b AS (SELECT qname, rname, pos rp, pos + k p, substr(seq, CAST(k + 1 AS INT), 1) allele, substr(repeat('ACGT', 30), CAST(pos + k + 1 AS INT), 1) r, q FROM {_READS}, range(0, 10) x(k) WHERE mapq >= 15 AND NOT (pl = '454' AND (2 > k OR k > 9 - 1))),
+n AS (SELECT *, row_number() OVER (PARTITION BY rname, p, allele ORDER BY rp, qname) k FROM b),
+a AS (SELECT rname, p, r, allele, count(*) reads, list_reverse_sort(list_distinct(list(q))) d, max(CASE WHEN k = 2 THEN q END) q2, max(CASE WHEN k = 3 THEN q END) q3 FROM n GROUP BY 1, 2, 3, 4),
+g AS (SELECT rname, p, CASE WHEN allele = r THEN 'INVARIANT' ELSE 'SNP' END kind, allele, reads, d[1] + (coalesce(d[2], q2, 0) + coalesce(d[3], q3, 0)) / 4.0 quality FROM a),
+m AS (SELECT *, max(reads) OVER w / CAST(sum(reads) OVER w AS DOUBLE) maf FROM g WHERE quality >= 45 WINDOW w AS (PARTITION BY rname, p)),
+f AS (SELECT *, count(*) OVER w n, max(CASE WHEN kind <> 'INVARIANT' THEN 1 ELSE 0 END) OVER w v FROM m WHERE maf <= 0.9 AND reads >= 2 WINDOW w AS (PARTITION BY rname, p))
+SELECT CAST(rname AS VARCHAR) rname, CAST(p AS BIGINT) pos, allele, kind, reads, CAST(quality AS DOUBLE) quality FROM f WHERE n > 1 OR v = 1""")
+def call_variants(t):
+    out = mappings.call_variants(_alignments(t), _references(t), 45, 15, 2, max_maf=0.9, edges={"454": (2, 1)})
+    return out.select("rname", F.col("pos").cast("long").alias("pos"), "allele", "kind", "reads", "quality")
+
+
+@query(f"""WITH b AS (SELECT rname, pos + k p, substr(seq, CAST(k + 1 AS INT), 1) allele, q, mapq FROM {_READS}, range(0, 10) x(k) WHERE mapq >= 15)
+SELECT CAST(rname AS VARCHAR) AS rname, CAST(p AS BIGINT) AS pos, round(sqrt(avg(q * q)), 6) AS quality, round(sqrt(avg(mapq * mapq)), 6) AS mapping_quality FROM b GROUP BY 1, 2""")
+def snv_summary(t):
+    rows = mappings.read_alleles(_alignments(t), _references(t)).withColumn("snv_id", F.struct("rname", "pos"))
+    _, quality = variants.summarised(rows)
+    return quality.select("snv_id.rname", F.col("snv_id.pos").cast("long").alias("pos"), F.round("quality", 6).alias("quality"), F.round("mapping_quality", 6).alias("mapping_quality"))
+
+
+@query("""SELECT event_id, CAST(50 + event_id % 7 + 3 + 20 AS BIGINT) AS read_bases, CAST(10 + 50 + event_id % 5 + 1 AS BIGINT) AS last_match, CAST(50 + event_id % 7 + 3 AS BIGINT) AS last_read
+FROM events""")
+def cigar_places(t):
+    """Reads of 50M, an insertion, a deletion and 20M at place 10."""
+    k = F.col("event_id")
+    cigar = F.concat(F.lit("50M"), (k % 7 + 3).cast("string"), F.lit("I"), (k % 5 + 1).cast("string"), F.lit("D20M"))
+    s = A.cigar_segments(F.lit(10), cigar)
+    return t("events").select("event_id", A.cigar_sum(cigar, "MIS").cast("long").alias("read_bases"), F.element_at(s, -1)["ref_start"].cast("long").alias("last_match"), F.element_at(s, -1)["read_start"].cast("long").alias("last_read"))
+
+
+# Variant filters by name, and what variant files say of variants.
+
+_NEAR = f"""s AS (SELECT * FROM {_SNVS}), pl AS (SELECT ref, "start", count(*) n FROM s GROUP BY 1, 2),
+near AS (SELECT ref, "start", sum(n) OVER (PARTITION BY ref ORDER BY "start" RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING) - n k FROM pl), tot AS (SELECT ref, count(*) n FROM s GROUP BY 1)"""
+
+
+@query(f"""WITH {_NEAR}, f AS (SELECT snv_id, k > 0 a, tot.n / 100000.0 > 0.00006 b, s."start" < 500 OR s."start" + 500 > 100000 c, s.ref NOT IN (1, 2, 3) d FROM s JOIN near USING (ref, "start") JOIN tot USING (ref))
+SELECT snv_id, CASE WHEN a OR b OR c OR d THEN concat_ws(';', CASE WHEN a THEN 'CS60' END, CASE WHEN b THEN 'HVR0' END, CASE WHEN c THEN 'CL500' END, CASE WHEN d THEN 'RNL' END) ELSE 'PASS' END AS filters FROM f""")
+def filter_snvs(t):
+    chosen = [
+        selection.standard("close_to_snv", (60,), distance=60), selection.standard("high_variable_reg", (0.00006,), most=0.00006), selection.standard("close_to_limit", (500,), distance=500),
+        selection.standard("ref_not_in_list", (), names=[1, 2, 3], invert=True),
+    ]
+    return selection.filter_snvs(_snvs(t), chosen).select("snv_id", "filters")
+
+
+@query(f"""WITH a AS (SELECT snv_id, allele, kind, sum(n) n FROM {_COUNTS} GROUP BY 1, 2, 3), m AS (SELECT snv_id, max(n) / CAST(sum(n) AS DOUBLE) maf FROM (SELECT snv_id, allele, sum(n) n FROM a GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT snv_id, count(DISTINCT rg) k FROM {_COUNTS} GROUP BY 1)
+SELECT snv_id, CASE WHEN maf > 0.7 OR k < 3 THEN concat_ws(';', CASE WHEN maf > 0.7 THEN 'MAF1' END, CASE WHEN k < 3 THEN 'MR3' END) ELSE 'PASS' END AS filters FROM m JOIN g USING (snv_id)""")
+def filter_snvs_by_counts(t):
+    c = _counts(t)
+    chosen = [selection.standard("maf", (0.7,), counts=c, frequency=0.7), selection.standard("min_groups", (3, "read_groups"), counts=c, least=3, group="rg")]
+    return selection.filter_snvs(c.select("snv_id").distinct(), chosen).select("snv_id", "filters")
+
+
+_NUMBERED = f"n AS (SELECT snv_id, allele, CASE WHEN allele = min(allele) OVER (PARTITION BY snv_id) THEN 0 ELSE dense_rank() OVER (PARTITION BY snv_id ORDER BY allele) - 1 END i, n, rg FROM {_COUNTS})"
+
+
+@query(f"""WITH {_NUMBERED}, g AS (SELECT snv_id, i, sum(n) reads, count(DISTINCT rg) k FROM n WHERE n > 0 GROUP BY 1, 2), s AS (SELECT snv_id, sum(reads) a, sum(k) b, max(CASE WHEN i = 0 THEN k END) z FROM g GROUP BY 1)
+SELECT snv_id, concat_ws(';', 'RC=' || string_agg(CASE WHEN i > 0 THEN CAST(reads AS VARCHAR) END, ',' ORDER BY i), 'AF=' || string_agg(CASE WHEN i > 0 THEN printf('%.1f', floor(reads * 10.0 / a + 0.5 + 1e-9) / 10) END, ',' ORDER BY i),
+'GC=' || string_agg(CAST(k AS VARCHAR), ',' ORDER BY i), 'GP=' || printf('%.2f', floor((1 - z / CAST(max(b) AS DOUBLE)) * 100 + 0.5 + 1e-9) / 100)) AS info FROM g JOIN s USING (snv_id) GROUP BY snv_id, z""")
+def vcf_info(t):
+    c = _counts(t)
+    from pyspark.sql import Window
+
+    order = c.select("snv_id", "allele").distinct().withColumn("number", F.row_number().over(Window.partitionBy("snv_id").orderBy("allele")) - 1)
+    return variants.info(c, order)
+
+
+@query(f"WITH a AS (SELECT snv_id, allele, sum(n) n FROM {_COUNTS} GROUP BY 1, 2) SELECT snv_id, first(allele ORDER BY n DESC, allele) AS major, string_agg(allele, '>' ORDER BY n DESC, allele) AS alleles FROM a GROUP BY 1")
+def alleles_by_reads(t):
+    c = _counts(t)
+    return variants.major_allele(c).join(variants.alleles_by_reads(c).select("snv_id", F.array_join("alleles", ">").alias("alleles")), "snv_id")
+
+
+@query(f"""WITH a AS (SELECT snv_id, allele, sum(n) n FROM {_COUNTS} GROUP BY 1, 2), m AS (SELECT max(n) / CAST(sum(n) AS DOUBLE) v FROM a GROUP BY snv_id), r AS (SELECT min(v) lo, max(v) hi FROM m), b AS (SELECT least(CAST(floor((v - lo) / ((hi - lo) / 20)) AS BIGINT), 19) bin, count(*) n FROM m, r GROUP BY 1)
+SELECT x.k AS bin, coalesce(n, 0) AS n FROM range(0, 20) x(k) LEFT JOIN b ON b.bin = x.k""")
+def maf_distribution(t):
+    return variants.measure_distribution(variants.measures(_counts(t)), "maf").select("bin", F.col("n").cast("long").alias("n"))
+
+
+@query("""WITH p AS (SELECT l_orderkey q, l_partkey s, 90 + 100 * l_discount sim, CAST(l_quantity AS BIGINT) a, CAST(l_quantity AS BIGINT) + l_linenumber * 3 b FROM lineitem WHERE 90 + 100 * l_discount >= 95),
+r AS (SELECT *, max(b) OVER (PARTITION BY q, s ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM p), c AS (SELECT q, s, sum(greatest(b - greatest(a, coalesce(m + 1, a)) + 1, 0)) n FROM r GROUP BY 1, 2)
+SELECT p.q AS query, p.s AS subject, p.a AS q_start FROM p JOIN c USING (q, s) WHERE n >= 10""")
+def filter_hits(t):
+    return selection.filter_hits(_parts(t), [{"kind": "score_threshold", "score": "similarity", "least": 95}, {"kind": "min_length", "residues": 10}]).select("query", "subject", "q_start")
+
+
+# Annotation files as lines.
+
+
+@query("SELECT n_name || chr(9) || s_name || chr(9) || string_agg(p, ',' ORDER BY p) AS line FROM (SELECT DISTINCT s_name, n_name, CAST(l_partkey AS VARCHAR) p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R') GROUP BY s_name, n_name")
+def ortholog_lines(t):
+    n = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    pairs = t("lineitem").where("l_returnflag = 'R'").join(n, F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "n_name", F.col("l_partkey").cast("string").alias("p"))
+    names = pairs.groupBy(F.col("s_name").alias("name"), "n_name").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    return writers.ortholog_lines(names.select("name", F.create_map("n_name", "p").alias("orthologs")))
+
+
+@query("""WITH f AS (SELECT event_id, user_id, (event_id * 7919) % 1000 a, event_id % 30 + 5 l, repeat('AT', CAST(event_id % 3 + 1 AS INT)) u FROM events)
+SELECT user_id || chr(9) || (a + 1) || chr(9) || (a + l + 1) || chr(9) || (l + 1) || chr(9) || (event_id % 50) || chr(9) || 'di' || chr(9) || u || chr(9) || CAST(floor((l + 1) / length(u)) AS BIGINT) AS line FROM f""")
+def ssr_lines(t):
+    a = (F.col("event_id") * 7919) % 1000
+    f = t("events").select(F.col("user_id").alias("name"), a.alias("start"), (a + F.col("event_id") % 30 + 5).alias("end"), (F.col("event_id") % 50).alias("score"), F.lit("di").alias("kind"), F.repeat(F.lit("AT"), (F.col("event_id") % 3 + 1).cast("int")).alias("unit"))
+    return writers.ssr_lines(f)
+
+
+@query("SELECT '>' || event_id || '_orf_pep start=' || (event_id % 90 + 1) || ' end=' || (event_id % 90 + 301) || ' strand=' || CASE WHEN event_id % 2 = 0 THEN 'forward' ELSE 'reverse' END || chr(10) || upper(event_type) AS line FROM events")
+def orf_lines(t):
+    k = F.col("event_id")
+    f = t("events").select(k.alias("name"), (k % 90).alias("start"), (k % 90 + 300).alias("end"), F.when(k % 2 == 0, "forward").otherwise("reverse").alias("strand"), F.upper("event_type").alias("pep"), F.upper("event_type").alias("dna"))
+    return writers.orf_lines(f, "pep")
+
+
+@query("""WITH s AS (SELECT doc_id, text, CAST((doc_id * 31) % 200 AS INT) a FROM documents WHERE length(text) > 300)
+SELECT doc_id || '_' || (a + 1) || ',SNP,' || CASE WHEN a >= 60 THEN substr(text, a - 59, 60) ELSE substr(text, 1, a) END || '[A/C/T]' || substr(text, a + 2, 60) AS line FROM s""")
+def illumina_lines(t):
+    d = t("documents").where(F.length("text") > 300).select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq"), ((F.col("doc_id") * 31) % 200).cast("int").alias("start"), F.lit("T").alias("ref"), F.array(F.lit("C"), F.lit("A")).alias("alleles"))
+    return writers.illumina_lines(d, short=True)
+
+
+@query("""WITH f AS (SELECT event_id, user_id, event_type, (event_id * 7919) % 1000 a FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY user_id, a, event_id) i, row_number() OVER (PARTITION BY event_type, user_id ORDER BY a, event_id) j FROM f),
+r AS (SELECT user_id, event_type, a, CASE WHEN event_type = 'click' THEN 'snv' || i ELSE user_id || '.' || event_type || j END nm FROM k)
+SELECT CAST(user_id AS VARCHAR) AS seqid, CASE WHEN event_type = 'click' THEN 'SNV' ELSE event_type END AS type, a + 1 AS "start", nm AS name FROM r
+UNION ALL SELECT CAST(u AS VARCHAR), 'region', 1, CAST(u AS VARCHAR) FROM (SELECT DISTINCT user_id u FROM events)""")
+def gff_features(t):
+    e = t("events")
+    a = (F.col("event_id") * 7919) % 1000
+    f = e.select(F.col("user_id").alias("name"), F.when(F.col("event_type") == "click", "snv").otherwise(F.col("event_type")).alias("ftype"), a.alias("start"), (a + F.col("event_id") / 1e9).alias("end"))
+    out = writers.gff_features(e.select(F.col("user_id").alias("name"), F.lit("ACGT").alias("seq")).distinct(), f)
+    return out.select(F.col("seqid").cast("string").alias("seqid"), "type", "start", F.col("attributes")["name"][0].alias("name"))
+
+
+@query(_IV + _MERGED + " SELECT k, s AS \"start\", e AS \"end\" FROM mm")
+def merge_intervals_by_bins(t):
+    return intervals.merge(_intervals(t), "k", bin_width=16)

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions import alignment as A
 from strandline.functions import sequence as S
-from strandline.operators import hits, intervals, maps, mappings, reads, statistics, variants
+from strandline.operators import hits, intervals, maps, mappings, reads, selection, statistics, variants
 from strandline.plans import pipelines, registry
-from strandline.sources import features, sequences
+from strandline.sources import features, sequences, writers
 
 
 def one(spark, column):
@@ -127,11 +127,131 @@ def test_formats(spark, tmp_path):
     assert mappings.flag_statistics(reads_).first()["mapped"] == 3
     ref = spark.createDataFrame([("ref", "ACGT")], "name string, seq string")
     called = {(r["pos"], r["allele"], r["kind"], r["reads"]) for r in mappings.call_variants(reads_, ref, min_quality=45, min_reads=1).collect()}
+    assert called == {(1, "A", "SNP", 2)}  # the reference's allele is below the quality
+    called = {(r["pos"], r["allele"], r["kind"], r["reads"]) for r in mappings.call_variants(reads_, ref, min_quality=40, min_reads=1).collect()}
     assert called == {(1, "A", "SNP", 2), (1, "C", "INVARIANT", 1)}
 
 
-def test_names():
-    assert [maps.next_code(x) for x in ("AB09", "A9", "ZZ")] == ["AB0A", "AA", "100"]
+def test_names(spark):
+    codes = {"999": "A00", "A999": "B000", "OZZZZ9": "PAAAA0", "AB09": "AB10", "A9": "B0", "ZZ": "000", "99": "A0", "AZ": "BA", "Z9": "AA"}
+    df = spark.createDataFrame([(c,) for c in codes], "code string").withColumn("next", maps.next_code(F.col("code")))
+    assert {r["code"]: r["next"] for r in df.collect()} == codes
+    m = spark.createDataFrame([("ssr",), ("RAPD",), ("scar",), ("trait",), ("mine",)], "type string")
+    got = [(r["type"], r["sofa"]) for r in maps.standard_types(m).collect()]
+    assert got == [("microsatellite", "SO:0000289"), ("rapd", None), ("SNP", "SO:0000694"), ("morphological", None), ("mine", None)]
+    v = spark.createDataFrame([(f"k{k % 700:04d}",) for k in range(3000)], "name string")
+    known = spark.createDataFrame([("k0003", 5)], "name string, number long")
+    got = {r["name"]: r["number"] for r in maps.allocate_names(v.distinct(), known, "N").collect()}
+    assert got == {"k0003": 5} | {n: 6 + i for i, n in enumerate(f"k{k:04d}" for k in range(700) if k != 3)}
+
+
+def test_allele_quality(spark):
+    q = lambda *v: one(spark, variants.allele_quality(F.array(*[F.lit(x) for x in v])))
+    assert q(40, 40, 40, 39) == 59.75 and q(40, 40) == 50 and q(30) == 30 and q(10, 20, 30) == 37.5
+
+
+def aligned(spark, *rows):
+    return spark.createDataFrame([(f"q{k}", 0, "r", pos, 60, cigar, seq, [q] * len(seq), pl) for k, (pos, cigar, seq, q, pl) in enumerate(rows)], "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual array<int>, pl string")
+
+
+def test_variant_caller(spark):
+    ref = spark.createDataFrame([("r", "ATCTGTAG")], "name string, seq string")
+    reads_ = aligned(spark, (0, "8M", "ATCCGTAG", 60, "454"), (0, "6M1I2M", "ATCTGTCAG", 60, "454"), (0, "2M1D5M", "ATTGTAG", 60, "454"), (0, "4M1I4M", "ATCCAGTAG", 60, "454"))
+    got = {(r["pos"], r["allele"], r["kind"]) for r in mappings.call_variants(reads_, ref, min_reads=1).collect() if r["kind"] != "INVARIANT"}
+    assert got == {(3, "C", "SNP"), (5, "C", "INSERTION"), (2, "-", "DELETION"), (3, "A", "COMPLEX")}
+    near = {(r["pos"], r["allele"]) for r in mappings.call_variants(reads_, ref, min_reads=1, edges={"454": (3, 3)}).collect() if r["kind"] != "INVARIANT"}
+    assert near == {(3, "C"), (3, "A"), (5, "C")}
+    assert mappings.call_variants(reads_, ref, min_reads=1, max_maf=0.7).where("pos <> 3").count() == 0
+    assert mappings.call_variants(reads_, ref, min_reads=2).count() == 0
+    long = spark.createDataFrame([("r", "A" * 1500 + "C" + "A" * 500)], "name string, seq string")
+    got = mappings.call_variants(aligned(spark, (1499, "3M", "AGA", 60, None), (1499, "3M", "AGA", 60, None)), long, min_reads=1).collect()
+    assert [(r["pos"], r["r"], r["allele"]) for r in got] == [(1500, "C", "G")]
+    seg = A.cigar_segments(F.lit(6), F.lit("8M2I4M1D3M"))
+    at = [one(spark, mappings.segment_at(seg, F.lit(p))) for p in (5, 6, 8, 13, 18)]
+    assert at[0] is None and [(x["op"], x["place"], x["read_pos"]) for x in at[1:]] == [("M", "FIRST", 0), ("M", "MIDDLE", 2), ("M", "LAST", 7), ("D", "FIRST_AND_LAST", None)]
+    assert one(spark, mappings.gapped_cigar(F.lit("AC-GT"), F.lit("ACTG-"))) == "2M 1I 1M 1D"
+    v = spark.createDataFrame([("r", 2, "DELETION"), ("r", 5, "INSERTION")], "rname string, pos int, kind string")
+    a = spark.createDataFrame([("r", 2, "--", "DELETION"), ("r", 5, "C", "INSERTION")], "rname string, pos int, allele string, kind string")
+    assert {(r["pos"], r["start"], r["end"]) for r in mappings.vcf_position(v, a).collect()} == {(2, 1, 4), (5, 5, 6)}
+
+
+def test_read_groups(spark):
+    df = spark.createDataFrame([("q", "/x/lb_lib1.sm_s1.pl_454.sam"), ("p", "/x/lb_lib2.other.sam")], "qname string, file string")
+    rows, groups = mappings.named_read_group(df, F.col("file"))
+    assert {r["qname"]: r["rg"] for r in rows.collect()} == {"q": "lib1_s1_454", "p": "lib2"}
+    assert {tuple(r) for r in groups.collect()} == {("lib1_s1_454", "454", "lib1", "s1"), ("lib2", None, "lib2", "lib2")}
+    d = spark.createDataFrame([("a", 4, "acgu", None, "sanger", 3), ("b", 0, "ACGT", None, "454", 3)], "qname string, flag int, seq string, qual array<int>, pl string, mapq int")
+    got = {r["qname"]: r for r in mappings.standardise(d, 25).collect()}
+    assert got["a"]["qual"] == [25] * 4 and got["b"]["qual"] is None and got["a"]["seq"] == "ACGN" and got["a"]["mapq"] == 0
+
+
+def test_filter_names(spark):
+    f = selection.standard
+    named = selection.filter_names([f("close_to_snv", (60,)), f("maf", (0.8,)), f("maf", (0.7, ("a", "b"), "libraries")), f("is_variable", ("libraries", ("l1",), True)), f("by_kind", ("SNP",)), f("high_variable_reg", (0.07,)), f("close_to_limit", (12,)), f("min_groups", (2, "libraries")), f("in_segment_bed", (3,)), f("uniq_contiguous")])
+    assert [n for n, _ in named] == ["cs60", "maf1", "maf2", "vlb1", "vks", "HVR7", "cl12", "ml2", "is3", "UCR"]
+    assert named[2][1] == "The most frequent allele in libraries: a,b. frequency greater than 0.70"
+    v = spark.createDataFrame([(k, "r", p, p + 1, 200) for k, p in enumerate((1, 4, 100))], "snv_id long, ref string, start int, end int, ref_len int")
+    out = selection.filter_snvs(v, [f("close_to_snv", (5,), distance=5), f("close_to_limit", (2,), distance=2)])
+    assert {r["snv_id"]: r["filters"] for r in out.collect()} == {0: "CS 5;CL 2", 1: "CS 5", 2: "PASS"}
+    hits_ = spark.createDataFrame([(0, "a", 0, 30, 95.0), (0, "b", 0, 30, 95.0), (1, "a", 0, 30, 95.0), (2, "a", 0, 30, 80.0)], "query long, subject string, q_start long, q_end long, similarity double")
+    assert {r["snv_id"]: r["uniq_contiguous"] for r in variants.not_unique(v, hits_).collect()} == {0: True, 1: False, 2: False}
+
+
+def lines(df):
+    return sorted(r["line"] for r in df.collect())
+
+
+def test_writers(spark, tmp_path):
+    seqs = spark.createDataFrame([("s1", {"melon": ["m1", "m2"]})], "name string, orthologs map<string,array<string>>")
+    assert lines(writers.ortholog_lines(seqs)) == ["melon\ts1\tm1,m2"]
+    orf = spark.createDataFrame([("s1", 0, 5, "forward", "ATGTAA", "M")], "name string, start int, end int, strand string, dna string, pep string")
+    assert lines(writers.orf_lines(orf)) == [">s1_orf_seq start=1 end=6 strand=forward\nATGTAA"]
+    ssr = spark.createDataFrame([("s1", 9, 20, 12.0, "di", "AT")], "name string, start int, end int, score double, kind string, unit string")
+    assert lines(writers.ssr_lines(ssr)) == ["s1\t10\t21\t12\t12\tdi\tAT\t6"]
+    snv = spark.createDataFrame([("s", "ACGTACGT", 3, "T", ["A"])], "name string, seq string, start int, ref string, alleles array<string>")
+    assert lines(writers.illumina_lines(snv, 2)) == ["s_4,SNP,CG[A/T]AC"]
+    full = spark.createDataFrame([("s", 3, 4, "SNP", "T", ["A", "T"], "T", 0.5), ("s", 5, 6, "SNP", "C", ["C", "G"], "C", 0.5), ("s", 0, 1, "SNP", "A", ["A", "C"], "A", 0.9)], "name string, start int, end int, kind string, ref string, alleles array<string>, major string, maf double")
+    text = spark.createDataFrame([("s", "ACGTACGT")], "name string, seq string")
+    chosen = spark.createDataFrame([("s", 3)], "name string, start int")
+    assert lines(writers.sequenom_lines(text, full, chosen, 4, maf=0.8)) == [">s_4\nACG[A/T]ASGT"]
+    f = spark.createDataFrame([("s", "snv", 4, 4), ("s", "intron", 2, 2), ("s", "orf", 0, 5)], "name string, ftype string, start int, end int")
+    g = {r["type"]: (r["start"], r["attributes"]["name"][0]) for r in writers.gff_features(text, f).collect()}
+    assert g == {"region": (1, "s"), "SNV": (5, "snv1"), "intron": (3, "s.intron1"), "ORF": (1, "s.orf")}
+    writers.write_all({"ssr": writers.ssr_lines(ssr).coalesce(1), "orf": writers.orf_lines(orf).coalesce(1)}, str(tmp_path / "out"), {"ssr": writers.SSR_HEADER})
+    found = [r["value"] for r in spark.read.text(str(tmp_path / "out" / "ssr")).collect()]
+    assert found == [writers.SSR_HEADER, "s1\t10\t21\t12\t12\tdi\tAT\t6"]
+    bins = spark.createDataFrame([(0, 0.0, 1.0, 3), (1, 1.0, 2.0, 4)], "bin long, left_edge double, right_edge double, n long")
+    assert [r["line"] for r in writers.distribution_lines(bins).collect()] == ["values: 3,4", "bin_edges: 0.0,1.0,2.0"]
+
+
+def test_info(spark):
+    c = spark.createDataFrame([(1, "A", "r1", 3), (1, "T", "r1", 1), (1, "T", "r2", 4), (1, "C", "r3", 2)], "snv_id int, allele string, rg string, n int")
+    o = spark.createDataFrame([(1, "A", 0), (1, "T", 1), (1, "C", 2)], "snv_id int, allele string, number int")
+    q = spark.createDataFrame([(1, 40.0, 50.5)], "snv_id int, quality double, mapping_quality double")
+    e = spark.createDataFrame([(1, ["EcoRI"])], "snv_id int, enzymes array<string>")
+    assert variants.info(c, o, q, e).first()["info"] == "RC=5,2;AF=0.5,0.2;MQ=50.50;BQ=40.00;GC=1,2,1;GP=0.75;EZ=EcoRI"
+
+
+def test_trim_errors(spark):
+    good = [40] * 40
+    out = reads.trim_and_mask(reads.trim_errors(read(spark, "A" * 20 + "C" * 40 + "G" * 20, [2] * 20 + good + [2] * 20)))
+    seq = out.first()["seq"]
+    assert seq == "C" * 32  # the outer four of the good bases have more than one bad one around them
+    assert reads.trim_errors(read(spark, "A" * 50, [2] * 50)).count() == 0
+    assert reads.trim_errors(read(spark, "A" * 50)).count() == 1
+
+
+def test_quantiles(spark):
+    import random
+
+    rng = random.Random(2)
+    v = [rng.randrange(60) for _ in range(500)]
+    df = spark.createDataFrame([(x, x % 2) for x in v], "x int, g int")
+    want = {p: df.selectExpr(f"percentile(x, {p / 100})").first()[0] for p in (0, 10, 50, 99, 100)}
+    got = {r["percent"]: r["value"] for r in statistics.percentiles(df, "x", list(want)).collect()}
+    assert got == pytest.approx(want)
+    for r in statistics.boxplot(df, "g", "x").collect():
+        assert [r["q1"], r["median"], r["q3"]] == pytest.approx(df.where(F.col("g") == r["g"]).selectExpr("percentile(x, array(0.25, 0.5, 0.75))").first()[0])
 
 
 def test_allocate_all_names(spark, tmp_path):
