@@ -22,6 +22,7 @@ each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ from strandline.llm import common
 CAPACITY = 4096
 #: Fillings that the search tries, beyond the one plan that it always completes.
 NODES = 5_000
+#: Levels of the search that hold their enumerations.
+LEVELS = 64
 #: Pieces in a block of ranks, about.
 RANKS = 20_000
 
@@ -199,10 +202,17 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
                     yield m, whole, capacity - sum(k * n for k, n in whole.items())
             less += 1
 
-    stack = [choices()] if counts else []
+    # Choices of one level and how many are used up; only the deepest levels hold what they enumerate, the
+    # others begin again when the search comes back to them, so memory doesn't grow with the depth.
+    stack: list[list] = [[choices(), 0]] if counts else []
+    again = False
     done: list[tuple[int, Counter, int]] = []
     while stack:
-        got = next(stack[-1], None)
+        level = stack[-1]
+        if level[0] is None:
+            level[0], again = itertools.islice(choices(), level[1], None), True
+        got = next(level[0], None)
+        level[1] += 1
         if got is None:
             stack.pop()
             if done:
@@ -210,7 +220,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
                 for k, n in whole.items():
                     left[k] += m * n
                 bins, waste = bins - m, waste - m * w
-            optimal = not stack
+            optimal = not stack and not again
             continue
         m, whole, w = got
         tried += 1
@@ -227,7 +237,9 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
         state = hashlib.blake2b(left.tobytes() + bins.to_bytes(8, "little"), digest_size=16).digest()
         if open_ and state not in seen and bins + least_bins(left, capacity) < limit and waste <= (limit - 1) * capacity - total:
             seen.add(state)
-            stack.append(choices())
+            stack.append([choices(), 0])
+            if len(stack) > LEVELS:
+                stack[-1 - LEVELS][0] = None
         else:
             m, whole, w = done.pop()
             for k, n in whole.items():
