@@ -123,8 +123,8 @@ def trim_and_mask(df: DataFrame, mask: bool = True, trim: bool = True, trim_as_m
     col = lambda c: F.coalesce(F.col(c), _nothing()) if c in have else _nothing()
     n = F.length(seq)
     out = df.withColumn("_cut", F.concat(col("vector_trim"), col("quality_trim")))
-    if mask:
-        out = out.withColumn(seq, mask_text(F.col(seq), col("mask")))
+    if mask and "mask" in have:
+        out = out.withColumn(seq, F.when(F.size(col("mask")) > 0, mask_text(F.col(seq), col("mask"))).otherwise(F.col(seq)))
     if trim:
         if keep_5:
             first = F.array_min(F.transform("_cut", lambda s: s["start"]))

@@ -474,7 +474,7 @@ def fix_flags(t):
 
 @query("SELECT l_orderkey, s_name, n_name, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey")
 def read_group_join(t):
-    groups = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("rg"), F.lit("illumina").alias("pl"), F.col("n_name").alias("lb"), F.col("s_name").alias("sm"))
+    groups = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("rg"), F.lit("illumina").alias("pl"), F.col("n_name").alias("lb"), F.col("s_name").alias("sm"))
     out = mappings.with_read_groups(t("lineitem").withColumnRenamed("l_suppkey", "rg"), groups)
     return out.where("sm is not null").select("l_orderkey", F.col("sm").alias("s_name"), F.col("lb").alias("n_name"), "l_linenumber")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import alignment as A
@@ -131,13 +134,72 @@ def write_sam(df: DataFrame, path: str) -> None:
 
 
 def read_blast_tab(spark: SparkSession, path: str) -> DataFrame:
-    """Hits of a tabular report, 0-based, ranked in file order within each query."""
-    names = ["query", "subject", "identity", "length", "mismatches", "gaps", "q_start", "q_end", "s_start", "s_end", "expect", "score"]
-    kinds = ["string"] * 2 + ["double"] + ["long"] * 7 + ["double"] * 2
+    """Hits of a tabular report of 12 columns, or 14 with the lengths: 0-based, matches ranked in file order within each query and parts within each match."""
+    names = ["query", "subject", "identity", "length", "mismatches", "gaps", "q_start", "q_end", "s_start", "s_end", "expect", "score", "q_len", "s_len"]
+    kinds = ["string"] * 2 + ["double"] + ["long"] * 7 + ["double"] * 2 + ["long"] * 2
     df = spark.read.csv(path, sep="\t", comment="#", schema=", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
     back = F.col("s_start") > F.col("s_end")
     df = df.withColumn("s_strand", F.when(back, -1).otherwise(1)).withColumn("_a", F.least("s_start", "s_end") - 1).withColumn("s_end", F.greatest("s_start", "s_end") - 1).withColumn("s_start", F.col("_a")).drop("_a")
-    return df.withColumn("q_start", F.col("q_start") - 1).withColumn("q_end", F.col("q_end") - 1).withColumn("ord", F.monotonically_increasing_id())
+    df = df.withColumn("q_start", F.col("q_start") - 1).withColumn("q_end", F.col("q_end") - 1).withColumn("similarity", F.col("identity")).withColumn("ord", F.monotonically_increasing_id())
+    match = Window.partitionBy("query", "subject")
+    df = df.withColumn("part_rank", F.row_number().over(match.orderBy("ord"))).withColumn("_first", F.min("ord").over(match))
+    return df.withColumn("match_rank", F.dense_rank().over(Window.partitionBy("query").orderBy("_first"))).drop("_first")
+
+
+_HIT = "query string, q_len long, subject string, s_len long, match_rank int, part_rank int, q_start long, q_end long, q_strand int, s_start long, s_end long, s_strand int, expect double, score double, similarity double"
+
+
+def _blast_section(text: str) -> list[tuple]:
+    """Aligned parts of one query's section of a text report."""
+    lines = [x.strip() for x in text.splitlines()]
+    query = lines[0].split()[0] if lines and lines[0].split() else ""
+    q_len = s_len = subject = part = None
+    out, match, number = [], 0, 0
+
+    def close():
+        if part and "s_start" in part:
+            lo, hi = sorted((part["s_start"], part["s_end"]))
+            a, b = sorted((part["q_start"], part["q_end"]))
+            out.append((query, q_len, subject, s_len, match, number, a, b, part["strands"][0], lo, hi, part["strands"][1], part["expect"], part["score"], part.get("similarity")))
+
+    for line in lines[1:]:
+        if line.startswith(">") or line.startswith("Subject="):
+            close()
+            name = line.lstrip(">").split("=")[-1].split()
+            part, subject, s_len, match, number = None, name[0] if name else "", None, match + 1, 0
+        elif line.startswith("Length="):
+            n = int(line.split("=")[-1].replace(",", ""))
+            q_len, s_len = (n, s_len) if subject is None else (q_len, n)
+        elif subject is not None and line.startswith("Score"):
+            close()
+            number += 1
+            score = re.search(r"Score\s*=\s*([-+.\de]+)", line)
+            expect = re.search(r"Expect(?:\(\d+\))?\s*=\s*([-+.\de]+)", line)
+            value = expect.group(1).rstrip(",") if expect else "nan"
+            part = {"score": float(score.group(1)) if score else None, "expect": float("1" + value if value.startswith("e") else value), "strands": (1, 1)}
+        elif part is not None and line.startswith("Identities"):
+            part["similarity"] = float(re.search(r"\((\d+)%\)", line).group(1))
+        elif part is not None and line.startswith("Strand"):
+            part["strands"] = tuple(1 if x.strip() == "Plus" else -1 for x in line.split("=")[-1].split("/"))
+        elif part is not None and re.match(r"(Query|Sbjct)\s+\d+\s", line):
+            which, first, *_, last = line.split()
+            key = "q" if which == "Query" else "s"
+            part.setdefault(f"{key}_start", int(first) - 1)
+            part[f"{key}_end"] = int(last) - 1
+    close()
+    return out
+
+
+def read_blast_text(spark: SparkSession, path: str) -> DataFrame:
+    """Hits of a text report, 0-based; the report is cut at its queries, so that a file is read by many tasks."""
+    sections = spark.read.option("lineSep", "\nQuery=").text(path)
+
+    def parse(batches):
+        for part in batches:
+            rows = [r for text in part["value"] for r in _blast_section(text.removeprefix("Query=").lstrip())]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _HIT.split(", ")])
+
+    return sections.mapInPandas(parse, _HIT)
 
 
 def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -132,6 +132,58 @@ def test_formats(spark, tmp_path):
     assert called == {(1, "A", "SNP", 2), (1, "C", "INVARIANT", 1)}
 
 
+def test_tabular_hits(spark, tmp_path):
+    rows = ["q1\ts1\t98.0\t50\t1\t0\t1\t50\t11\t60\t1e-20\t90", "q1\ts2\t90.0\t40\t4\t0\t1\t40\t40\t1\t1e-10\t60", "q1\ts1\t91.0\t20\t2\t0\t61\t80\t101\t120\t1e-5\t30"]
+    (tmp_path / "b.tab").write_text("# made by hand\n" + "\n".join(rows) + "\n")
+    got = features.read_blast_tab(spark, str(tmp_path / "b.tab"))
+    assert sorted((r["match_rank"], r["part_rank"], r["subject"], r["q_start"], r["s_start"], r["s_end"], r["s_strand"]) for r in got.collect()) == [(1, 1, "s1", 0, 10, 59, 1), (1, 2, "s1", 60, 100, 119, 1), (2, 1, "s2", 0, 0, 39, -1)]
+    m = {r["subject"]: (r["start"], r["end"], r["expect"], r["parts"]) for r in hits.matches(got).collect()}
+    assert m == {"s1": (0, 79, 1e-20, 2), "s2": (0, 39, 1e-10, 1)}
+    (tmp_path / "c.tab").write_text(rows[0] + "\t70\t200\n")
+    assert [(r["q_len"], r["s_len"]) for r in features.read_blast_tab(spark, str(tmp_path / "c.tab")).collect()] == [(70, 200)]
+
+
+BLAST = """BLASTN 2.2
+
+Query= q1 first read
+
+Length=120
+
+> s1 a subject
+Length=300
+
+ Score = 90.5 bits (48), Expect = 2e-20
+ Identities = 49/50 (98%), Gaps = 0/50 (0%)
+ Strand=Plus/Minus
+
+Query  11   ACGTACGTAC  20
+            ||||||||||
+Sbjct  110  ACGTACGTAC  101
+
+Query  21   ACGT  24
+            ||||
+Sbjct  100  ACGT  97
+
+ Score = 30.0 bits (16), Expect = e-05
+ Identities = 18/20 (90%), Gaps = 0/20 (0%)
+ Strand=Plus/Plus
+
+Query  61  ACGT  64
+Sbjct  5   ACGT  8
+
+Query= q2
+Length=40
+
+***** No hits found *****
+"""
+
+
+def test_text_hits(spark, tmp_path):
+    (tmp_path / "b.txt").write_text(BLAST)
+    got = [tuple(r) for r in features.read_blast_text(spark, str(tmp_path / "b.txt")).orderBy("part_rank").collect()]
+    assert got == [("q1", 120, "s1", 300, 1, 1, 10, 23, 1, 96, 109, -1, 2e-20, 90.5, 98.0), ("q1", 120, "s1", 300, 1, 2, 60, 63, 1, 4, 7, 1, 1e-5, 30.0, 90.0)]
+
+
 def test_names(spark):
     codes = {"999": "A00", "A999": "B000", "OZZZZ9": "PAAAA0", "AB09": "AB10", "A9": "B0", "ZZ": "000", "99": "A0", "AZ": "BA", "Z9": "AA"}
     df = spark.createDataFrame([(c,) for c in codes], "code string").withColumn("next", maps.next_code(F.col("code")))
