@@ -93,7 +93,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_reads(t):
-    out = pipelines.clean(_reads(t), "sanger_with_qual", quality_threshold=60, words=["Lorem"])
+    out = pipelines.clean(_reads(t), "solexa", quality_threshold=60)
     return out.groupBy("source").agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"), F.min(F.length("seq")).alias("shortest"), F.max(F.length("seq")).alias("longest"))
 
 
