@@ -41,7 +41,7 @@ MEET = 8_000_000
 #: Entries in a block of an index list, about.
 BLOCK = 128
 #: Comparing with leaders goes on while one in so many comparisons finds a link.
-PAYS = 10
+PAYS = 5
 _MASK = np.uint64((1 << 48) - 1)
 _MESSAGE = "bucket int, fold long, kind int, a binary, b binary, c binary, e binary"
 _SINGLE, _MANY, _ROWS, _SETS, _HELD = range(5)
@@ -348,7 +348,7 @@ def reached(sets: DataFrame, num: int, den: int) -> DataFrame:
         found, turn = now.where("linked").count(), turn + 1
         if PAYS * found < pairs._rows or not found:
             break
-        comps = common.components(links, "x", "y", rounds=1)
+        comps = common.components(links, "x", "y")
     answers = common.stored(answers, "answers")
     links = answers.where("linked").select("x", "y")
     comps = common.components(links, "x", "y")
