@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; texts may be long, so far fewer than Spark's 10,000.
@@ -49,21 +49,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, total: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, total: Column | str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: the lineage ends there.
 
-    What the writing counted is kept: ``_rows``, and ``_total``, the sum of the column ``total``.
+    What the writing counted is kept: ``_rows``, and ``_total``, the sum of ``total``.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    figures = [F.count(F.lit(1)).alias("n"), (F.sum(total) if total else F.lit(0)).alias("s")]
+    figures = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias("s") for c in (total,) if c is not None]
     seen = Observation()
-    df.observe(seen, *figures[: 1 + bool(total)]).write.parquet(path)
+    df.observe(seen, *figures).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     try:
         got = seen.get
     except Py4JJavaError:  # a plan that turns out empty has nothing to observe
-        got = out.agg(*figures[: 1 + bool(total)]).first().asDict()
+        got = out.agg(*figures).first().asDict()
     out._stored_at, out._rows, out._total = path, got["n"], got.get("s") or 0
     return out
 
@@ -147,10 +147,11 @@ def _power_tables() -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], fold_case: bool = False, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts in order, number of words of each text).
 
-    A word is a run of bytes without ASCII white space; ``fold_case`` takes A-Z as a-z.
+    A word is a run of bytes outside of ``gaps`` (256 truth values, that of the space among them;
+    ASCII white space if not given); ``fold_case`` takes A-Z as a-z.
     A word's hash is a polynomial in its bytes' random values, modulo 2**64, so that
     differences of running sums give the hashes of all words of a buffer at once.
     """
@@ -164,7 +165,7 @@ def word_hashes(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray
             size += len(texts[j]) + 1
             j += 1
         buffer = np.frombuffer(b" ".join(texts[k:j]) + b" ", np.uint8)
-        space = _SPACE[buffer]
+        space = gaps[buffer]
         before = np.concatenate(([True], space[:-1]))
         starts = np.flatnonzero(~space & before)
         ends = np.flatnonzero(space & ~before)

@@ -108,6 +108,64 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_token_ids": op2_token_ids, "op3_fingerprints": op3_fingerprints, "op4_sharding": op4_sharding, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_neighbours": op6_neighbours, "op7_packing": op7_packing, "op8_warc": op8_warc, "op9_mixing": op9_mixing, "op10_substring_dedup": op10_substring_dedup}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster of 40 after five rounds on whole numbers, its distance, the sums of distances and its centroid's digest."""
+    from strandline.llm import lloyd
 
-ORACLE: dict[str, str] = {}
+    out = lloyd.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", lloyd.centroid_digest("centroid").alias("centroid_sha256"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    from strandline.llm import tput
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return tput.ranked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def op13_harmonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    import public_tokenizers
+
+    from strandline.llm import harmonic
+
+    out = harmonic.pack(common.documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Squared distances are sums of products of whole numbers in doubles, which are exact at this size."""
+    parts = [
+        """v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::double) as x, sha256('2:' || vec_id) as o from embeddings
+        where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+        f"c0 as materialized (select row_number() over (order by o, x) - 1 as j, x as c from v where vec_id is not null order by o, x limit {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} as materialized (select r, j, d from (select v.r, c.j, list_inner_product(v.x, v.x) + list_inner_product(c.c, c.c) - 2 * list_inner_product(v.x, c.c) as d from v, c{n} c)
+        qualify row_number() over (partition by r order by d, j) = 1)""")
+        if n < rounds:
+            parts.append(f"""s{n} as materialized (select j, list(m order by p) as c from (select j, p, floor(sum(u) / count(*)) as m from (select a.j, unnest(v.x) as u, generate_subscripts(v.x, 1) as p from a{n} a join v using (r)) group by j, p) group by j)""")
+            parts.append(f"c{n + 1} as materialized (select c.j, coalesce(s.c, c.c) as c from c{n} c left join s{n} s using (j))")
+    return f"""with {', '.join(parts)}
+    select v.vec_id, a.j::int as cluster, a.d::bigint as distance, (sum(a.d) over (partition by a.j))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia,
+      sha256(array_to_string(list_transform(c.c, lambda x: x::bigint), ',')) as centroid_sha256
+    from v join a{rounds} a using (r) join c{rounds} c on c.j = a.j"""
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_SEARCH_SQL = f"""with t as materialized (select r, doc_id, unnest(ts) as term from (select row_number() over () as r, doc_id, {_TERMS} as ts from documents)),
+    c as (select r, doc_id, term, count(*) as tf from t group by all), n as (select r, count(*) as n from t group by r),
+    z as (select count(*) as docs, sum(n)::bigint as words from n), f as (select term, count(*) as df from c group by term),
+    q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+    w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from f, z),
+    s as (select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::bigint as score from q join w using (term) join c using (term) join n using (r), z group by item_id, r, doc_id)
+    select item_id, row_number() over (partition by item_id order by score desc, doc_id, r)::int as rank, doc_id, score from s where score > 0
+    qualify row_number() over (partition by item_id order by score desc, doc_id, r) <= 50"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_token_ids, op3_fingerprints, op4_sharding, op5_ngram_jaccard, op6_neighbours, op7_packing, op8_warc, op9_mixing, op10_substring_dedup, op11_centroids, op12_search, op13_harmonic)
+}
+
+ORACLE = {"op11_centroids": _centroids_sql(), "op12_search": _SEARCH_SQL}
