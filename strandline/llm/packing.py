@@ -9,8 +9,10 @@ still fit, or would fit in the place of one or several of its pieces.  A filling
 the counts allow, later less often.  Best-fit decreasing gives the first incumbent; its
 and later incumbents' numbers of bins bound the waste that a branch may have, and the
 Martello-Toth bound on what is left cuts branches off.  The search ends at the lower
-bound, when it is exhausted (then the plan is optimal), or after ``nodes`` fillings; it always completes
-one plan, which is preferred to best fit's if it needs no more bins.
+bound, when it is exhausted (then the plan is optimal), or after ``nodes`` fillings or ``steps`` sums that
+its enumerations looked at, dominated ones among them; it always completes
+one plan, which is preferred to best fit's if it needs no more bins.  An enumeration that finds nothing
+undominated among the first ``LOOKS`` sums gives the least wasteful one of them.
 
 Pieces then meet the plan by their rank within their length.  Ranks are counted in
 blocks by hash, so one very frequent length isn't one task.
@@ -37,6 +39,8 @@ from strandline.llm import common
 CAPACITY = 4096
 #: Fillings that the search tries, beyond the one plan that it always completes.
 NODES = 5_000
+#: Sums that the search looks at, and those that one enumeration looks at before it gives one.
+STEPS, LOOKS = 40_000, 200
 #: Levels of the search that hold their enumerations.
 LEVELS = 64
 #: Pieces in a block of ranks, about.
@@ -114,8 +118,19 @@ def dominated(filling: Counter, left: np.ndarray, waste: int, room: int) -> bool
     return bool(free & (larger | _spread(several, waste)))
 
 
-def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[Counter]:
-    """The undominated fillings of ``room``, least waste first, then larger pieces first; the empty one if no piece fits."""
+class Budget:
+    """Sums that may still be looked at; ``cut`` tells that an enumeration ended for want of them."""
+
+    def __init__(self, steps: int):
+        self.steps, self.cut = steps, False
+
+
+def fillings(left: np.ndarray, room: int, most_waste: int, budget: Budget | None = None) -> Iterator[Counter]:
+    """The undominated fillings of ``room``, least waste first, then larger pieces first; the empty one if no piece fits.
+
+    When the budget runs out the enumeration ends, after one filling at least.
+    """
+    budget = budget or Budget(1 << 62)
     has = left[: room + 1] > 0
     has[0] = False
     size = np.flatnonzero(has)
@@ -155,14 +170,24 @@ def fillings(left: np.ndarray, room: int, most_waste: int) -> Iterator[Counter]:
                 elif k and reach[k - 1] >> r & 1:
                     yield from down(k - 1, r, [*taken, (x, n)])
 
+    given, looks, least = len(a) > 0, 0, None
     for waste in range(min(room - 1, most_waste) + 1):
         if sums >> (room - waste) & 1:
             for f in down(len(sizes) - 1, room - waste, []):
+                budget.steps -= 1
+                looks += 1
+                least = least or f
                 if (waste or f.total() > 2) and not dominated(f, left, waste, room):
+                    given = True
                     yield f
+                if budget.steps < 0 or (not given and looks >= LOOKS):
+                    budget.cut = True
+                    if not given:
+                        yield least
+                    return
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, report: dict | None = None) -> list[tuple[int, tuple[int, ...]]]:
+def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, report: dict | None = None, steps: int = STEPS) -> list[tuple[int, tuple[int, ...]]]:
     """(bins, lengths in each) that hold all pieces, in as few bins as the search finds; ``report`` gets its figures."""
     counts = {k: n for k, n in counts.items() if n}
     left = np.zeros(capacity + 1, np.int64)
@@ -176,7 +201,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
     limit, completed, seen = 1 << 60, False, set()
     plan: list[tuple[int, tuple[int, ...]]] = []
     bins = waste = tried = 0
-    optimal = not counts
+    optimal, budget = not counts, Budget(steps)
 
     def choices() -> Iterator[tuple[int, Counter, int]]:
         """(pieces' multiplicity, whole bin, its waste): every filling as often as it goes, then all less often."""
@@ -187,7 +212,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
             left[x] -= 1
             # Every bin's waste counts: a plan of fewer than ``limit`` bins has so much to spare.
             spare = (limit - 1) * capacity - total - waste
-            gen = fillings(left, capacity - x, spare)
+            gen = fillings(left, capacity - x, spare, budget)
             left[x] += 1
             while True:
                 left[x] -= 1
@@ -220,7 +245,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
                 for k, n in whole.items():
                     left[k] += m * n
                 bins, waste = bins - m, waste - m * w
-            optimal = not stack and not again
+            optimal = not stack and not again and not budget.cut
             continue
         m, whole, w = got
         tried += 1
@@ -248,7 +273,7 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES,
         if best == bound and completed:
             optimal = True
             break
-        if tried >= nodes and completed:
+        if (tried >= nodes or budget.steps < 0) and completed:
             break
     if report is not None:
         report.update(bins=best, best_fit=first_fit, bound=bound, tried=tried, completed=completed, optimal=optimal)

@@ -429,6 +429,22 @@ def fewest(items, capacity):
     return best[0]
 
 
+@pytest.mark.parametrize("lengths", [[330 + (7 * k) % 41 for k in range(800)], [284 + (k * k) % 260 for k in range(400)], [333] * 5000 + [334] * 4000, [1100 + (13 * k) % 1000 for k in range(3000)]])
+def test_packing_search_ends(lengths):
+    """Lengths whose bound isn't met, or of which very many sums are dominated."""
+    import time
+
+    counts, report, began = Counter(lengths), {}, time.process_time()
+    plan = packing.solve(counts, report=report)
+    assert time.process_time() - began < 10
+    held = Counter()
+    for m, bin_ in plan:
+        assert sum(bin_) <= packing.CAPACITY
+        for x in bin_:
+            held[x] += m
+    assert held == counts and report["completed"] and report["bound"] <= report["bins"] <= report["best_fit"]
+
+
 def test_packing_is_optimal_on_small_cases_and_beats_best_fit():
     rng = random.Random(1)
     for _ in range(120):
@@ -651,7 +667,7 @@ def test_full_bitmap_loses_nothing(spark, docs, monkeypatch):
 # Shared parts.
 
 
-def test_components(spark):
+def test_components_of_random_pairs(spark):
     rng = random.Random(11)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)]
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
