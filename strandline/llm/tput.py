@@ -5,13 +5,16 @@ A posting is a document's part of the score under one term, before the term's we
 term's list has one order for all queries.  Lists are dealt by term, long ones in several parts, and
 stored in descending order.
 
-1. Heads.  The first k postings of every list give partial scores; a query's k-th largest is a lower
-   bound of its k-th score.
-2. Uniform threshold.  A document with a score of at least that bound has a posting of at least
-   bound / lists in one list.  Every list is read down to there; the partial scores raise the bound, and a
-   document whose partial score, with what unread lists can add at most, is below it goes.
+1. Heads.  The first k postings of every list give partial scores.  The k documents of largest partial score are
+   looked up; the least of their scores is a lower bound of a query's k-th score.
+2. Uniform threshold.  One threshold holds for all lists of a query: the largest one for which postings below it, or, where
+   a list's head is below it, that head, add to less than the bound.  Every list is read down to it.  What is
+   read is dealt by document and added up; a document whose partial score, with what
+   its unread lists can add at most, is below the bound goes.  The k-th partial score raises the bound once more.
 3. Lookups.  The exact scores of the documents that are left are added up from all lists of their query.
 
+Queries are answered in blocks of so many that every task can hold their terms and thresholds.
+
 A term is a maximal run of characters other than ASCII ones that are neither letters nor
 digits; A-Z are taken as a-z.  Terms are told apart by 64-bit hashes.  Null texts have no terms, and queries without terms have no results.
 Every row is a document: rows that repeat an id are ranked each.  Rows that
@@ -20,6 +23,8 @@ repeat a query's id and text are one query; an id with two texts is two queries.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +36,10 @@ from strandline.llm import common
 PART = 50_000
 #: Terms of all queries that every task holds at most; with more, postings meet them in a join.
 HELD_TERMS = 1_000_000
+#: Postings that are added up at a time.
+ADDED = 50_000
+#: Partial scores that a task keeps for its own bounds.
+BEST = 4_000_000
 #: Bytes between terms.
 _GAPS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
@@ -89,13 +98,108 @@ def posting_lists(found: DataFrame, weights: DataFrame, documents: int, length:
     return common.stored(each.repartition(F.col("term"), F.col("part")).sortWithinPartitions("term", "part", F.desc("impact"), "row"), "lists")
 
 
-def met(lists: DataFrame, asks: DataFrame, row: bool = False) -> DataFrame:
-    """``lists`` joined with what queries ask of them, by term or by term and row."""
-    if row or common.at_most(asks, common.BROADCAST_ROWS):
-        return lists.join(common.hinted(asks), ["term", "row"] if row else "term")
+def met(lists: DataFrame, asks: DataFrame) -> DataFrame:
+    """``lists`` joined with what queries ask of them, by term."""
+    if common.at_most(asks, common.BROADCAST_ROWS):
+        return lists.join(common.hinted(asks), "term")
     return common.salted_join(lists, asks, "term", "row")
 
 
+_SCORE = F.sum(F.col("w") * F.col("impact")).alias("score")
+
+
+def looked_up(lists: DataFrame, pairs: DataFrame, asks: DataFrame) -> DataFrame:
+    """Stored exact scores of pairs (q, row), from all lists of the query."""
+    look = common.stored(pairs.select("q", "row").join(common.hinted(asks.select("q", "term", "w")), "q"), "lookups")
+    exact = lists.select("term", "row", "impact").join(common.hinted(look), ["term", "row"])
+    return common.stored(exact.groupBy("q", "row").agg(_SCORE), "exact")
+
+
+def thresholds(asks: DataFrame, bound: DataFrame) -> DataFrame:
+    """``asks`` (q, term, w, most) with the query's ``bound``, its postings' least part ``least``, and the most that an unread posting adds, ``cap``.
+
+    With the heads in ascending order, those before a place count whole and all others as u = least - 1; the first place whose head is above u gives it.
+    """
+    rows = asks.join(common.hinted(bound), "q", "left").na.fill(0, ["bound"])
+    w = Window.partitionBy("q")
+    up = w.orderBy("most", "term")
+    rows = rows.withColumn("_before", F.coalesce(F.sum("most").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_rest", F.count("*").over(w) - F.row_number().over(up) + 1)
+    u = F.when(F.col("_before") + F.col("_rest") * F.col("most") > F.col("bound") - 1, F.expr("(bound - 1 - _before) div _rest"))
+    rows = rows.withColumn("least", F.greatest(F.coalesce(F.min(u).over(w), F.lit(0)), F.lit(0)) + 1)
+    return rows.drop("_before", "_rest").withColumn("cap", F.least(F.col("most"), F.col("least") - 1))
+
+
+def partial_scores(lists: DataFrame, cut: DataFrame, k: int) -> DataFrame:
+    """Stored (q, row, score, upper) of documents that may reach their query's bound, from the postings at or above the thresholds ``cut``.
+
+    ``cut`` is at most ``common.BROADCAST_ROWS`` rows.  The k-th partial score that a task has seen raises its own bound.
+    """
+    rows, shape = cut.collect(), "q long, row long, score long, upper long"
+    if not rows:
+        return cut.sparkSession.createDataFrame([], shape)
+    queries = np.array(sorted({r["q"] for r in rows}), np.int64)
+    at = {q: k for k, q in enumerate(queries.tolist())}
+    bound, caps = np.zeros(len(queries)), np.zeros(len(queries))
+    for r in rows:
+        bound[at[r["q"]]] = r["bound"]
+        caps[at[r["q"]]] += r["cap"]
+    opened = sorted((r["term"], at[r["q"]], r["w"], r["least"], r["cap"]) for r in rows if r["most"] >= r["least"])
+    terms, begin = np.unique(np.array([x[0] for x in opened], np.int64), return_index=True)
+    begin = np.append(begin, len(opened))
+    query, w, least, cap = (np.array([x[k] for x in opened], np.int64) for k in (1, 2, 3, 4))
+    floor = np.minimum.reduceat(-(-least // w), begin[:-1])
+
+    def add(row: np.ndarray, term: np.ndarray, impact: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+        own, doc = np.unique(row, return_inverse=True)
+        t = np.searchsorted(terms, term)
+        n = begin[t + 1] - begin[t]
+        each = np.repeat(np.arange(len(row)), n)
+        ask = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[t], n)
+        part = w[ask] * impact[each]
+        ok = part >= least[ask]
+        key = doc.reshape(-1)[each[ok]] * len(queries) + query[ask[ok]]
+        size = len(own) * len(queries)
+        # Whole numbers far below 2**53.
+        score, seen = np.bincount(key, part[ok], size), np.bincount(key, cap[ask[ok]], size)
+        score = score.reshape(len(own), -1)
+        upper = score - seen.reshape(score.shape) + caps
+        best[:] = np.partition(np.concatenate((best, score)), len(own), axis=0)[len(own) :]
+        d, q = np.nonzero((score > 0) & (upper >= np.maximum(bound, best.min(0))))
+        cols = [queries[q], own[d], score[d, q].astype(np.int64), upper[d, q].astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "row", "score", "upper"])
+
+    # A batch holds whole documents; a task holds so many cells of documents and queries at most.
+    most = max(1, min(ADDED, 40_000_000 // max(1, len(queries))))
+
+    def run(batches):
+        held, n, best = [], 0, np.zeros((k, len(queries)))
+
+        def settle(last: bool):
+            nonlocal held, n
+            row, term, impact = (np.concatenate([h[k] for h in held]) for k in range(3))
+            end = len(row) if last else int(np.searchsorted(row, row[-1]))
+            at = 0
+            while at < end:
+                stop = end if at + most >= end else max(int(np.searchsorted(row, row[at + most])), int(np.searchsorted(row, row[at], "right")))
+                yield add(row[at:stop], term[at:stop], impact[at:stop], best)
+                at = stop
+            held, n = [(row[end:], term[end:], impact[end:])], len(row) - end
+
+        for b in batches:
+            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "term", "impact")))
+            n += b.num_rows
+            if n >= most:
+                yield from settle(False)
+        if n:
+            yield from settle(True)
+
+    spark = lists.sparkSession
+    low = F.broadcast(spark.createDataFrame(list(zip(terms.tolist(), floor.tolist())), "term long, floor long"))
+    read = lists.join(low, "term").where(F.col("impact") >= F.col("floor")).select("row", "term", "impact")
+    read = read.repartition(F.col("row")).sortWithinPartitions("row")
+    return common.stored(read.mapInArrow(run, shape), "partial")
+
+
 def ranked(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``item_col``, rank, ``id_col`` and score: the k documents of highest score above 0 for each query, equal scores by id."""
     spark = docs.sparkSession
@@ -131,32 +235,23 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
     lead = heads.where("r = 1").select("term", F.col("impact").alias("most"))
     asks = wanted.join(common.hinted(weights), "term").join(common.hinted(common.stored(lead, "lead")), "term")
     asks = common.stored(asks.select("q", "term", "w", (F.col("w") * F.col("most")).alias("most")), "asks")
-    score = F.sum(F.col("w") * F.col("impact")).alias("score")
-    first = met(heads.drop("r"), asks).groupBy("q", "row").agg(score)
-    bound = top(first, k, "q", F.desc("score"), "row").where(F.col("r") == k).select("q", F.col("score").alias("bound"))
-    bound = common.stored(bound, "bound")
-
-    # 2. Every list down to bound / lists; what unread lists may add is below that and below their heads.
-    lists_of = asks.groupBy("q").agg(F.count("*").alias("lists"))
-    cut = asks.join(common.hinted(common.stored(lists_of, "sizes")), "q").join(common.hinted(bound), "q", "left").na.fill(0, ["bound"])
-    # A posting is read if its part of the score is at least bound / lists, rounded up: then those below add to less than the bound.
-    least = F.expr("(bound + lists - 1) div lists")
-    cut = cut.withColumn("least", least).withColumn("cap", F.when(F.col("most") < F.col("least"), F.col("most")).otherwise(F.greatest(F.col("least") - 1, F.lit(0))))
-    cut = common.stored(cut.select("q", "term", "w", "least", "cap", F.expr("(least + w - 1) div w").alias("from"), (F.col("most") >= F.col("least")).alias("open")), "cut")
-    floor = cut.where("open").groupBy("term").agg(F.min("from").alias("from"))
-    deep = lists.join(common.hinted(common.stored(floor, "floor")), "term").where(F.col("impact") >= F.col("from")).select("term", "row", "impact")
-    read = met(deep, cut.where("open").select("term", "q", "w", "from", "cap")).where(F.col("impact") >= F.col("from"))
-    partial = common.stored(read.groupBy("q", "row").agg(score, F.sum("cap").alias("caps")), "partial")
+    first = met(heads.drop("r"), asks).groupBy("q", "row").agg(_SCORE)
+    first = common.stored(top(first, k, "q", F.desc("score"), "row").select("q", "row"), "first")
+    known = looked_up(lists, first, asks).groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("bound"))
+    bound = common.stored(known.where(F.col("n") == k).select("q", "bound"), "bound")
+
+    # 2. Every list down to the threshold, in blocks of queries.
+    cut = common.stored(thresholds(asks, bound), "cut")
+    blocks = max(-(-cut._rows // common.BROADCAST_ROWS), -(-asked._rows * k // BEST))
+    block = F.pmod(F.xxhash64("q"), F.lit(2 * blocks if blocks > 1 else 1))
+    parts = [partial_scores(lists, cut.where(block == x), k) for x in range(2 * blocks if blocks > 1 else 1)]
+    partial = reduce(DataFrame.unionByName, parts)
     raised = top(partial, k, "q", F.desc("score"), "row").where(F.col("r") == k).select("q", F.col("score").alias("raised"))
-    rest = cut.groupBy("q").agg(F.sum("cap").alias("all_caps")).join(raised, "q", "left").join(bound, "q", "left")
-    rest = rest.select("q", "all_caps", F.greatest(F.coalesce("raised", F.lit(0)), F.coalesce("bound", F.lit(0))).alias("raised"))
-    left = partial.join(common.hinted(common.stored(rest, "rest")), "q").where(F.col("score") + F.col("all_caps") - F.col("caps") >= F.col("raised"))
+    left = partial.join(common.hinted(common.stored(raised, "raised")), "q", "left").where(F.col("upper") >= F.coalesce("raised", F.lit(0)))
     left = common.stored(left.select("q", "row"), "candidates")
 
     # 3. Exact scores of those that are left.
-    look = common.stored(left.join(common.hinted(asks.select("q", "term", "w")), "q"), "lookups")
-    exact = met(lists.select("term", "row", "impact"), look, row=True).groupBy("q", "row").agg(score).where("score > 0")
-    exact = common.stored(exact, "exact")
+    exact = looked_up(lists, left, asks).where("score > 0")
     some = common.stored(exact.select("row").distinct(), "rows")
     ids = common.stored(found.select("row", "d").join(common.hinted(some), "row"), "ids")
     out = top(exact.join(common.hinted(ids), "row"), k, "q", F.desc("score"), "d", "row")
