@@ -34,6 +34,8 @@ CAPACITY = 2048
 SLACK = 128
 #: Tokens of unfilled sequences that one worker takes over, about.
 MERGE = 4_000_000
+#: Pre-tokens that a worker keeps, and characters that it encodes at a time, for it holds unfilled sequences as well.
+CACHE_ENTRIES, CHARACTERS = 500_000, 1_000_000
 #: Pieces in a batch that a worker hands on.
 ROWS = 20_000
 
@@ -141,14 +143,14 @@ def filled(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     def cut(batches):
         from strandline.llm import tokens
 
-        encoder, end, kinds = tokens.encoder(tokenizer_path), np.array([end_id]), []
+        encoder, end, kinds = tokens.encoder(tokenizer_path, CACHE_ENTRIES), np.array([end_id]), []
         bins = Bins(capacity, first_id(0))
 
         def placed():
             for b in batches:
                 kinds.append(b.column("d").type)
                 ids_of, texts = b.column("d").to_pylist(), b.column("t").to_pylist()
-                for at, some in tokens.chunks(texts):
+                for at, some in tokens.chunks(texts, CHARACTERS):
                     for k, x in enumerate(encoder.encode(some)):
                         x = np.concatenate((x, end))
                         n, start = len(x), 0

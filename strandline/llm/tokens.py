@@ -46,7 +46,7 @@ class Encoder:
     only new pre-tokens reach the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,7 +56,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule, self.words = self._rule(spec.get("normalizer"), spec.get("pre_tokenizer") or {})
-        self.chunks, self.pieces = _Chunks(), {}
+        self.chunks, self.pieces, self.entries = _Chunks(), {}, entries
 
     @staticmethod
     def _rule(normalizer, pre) -> tuple[re.Pattern | None, bool]:
@@ -111,14 +111,14 @@ class Encoder:
         else:
             pieces = {c: cut(c[1:] if c[:1] == "\0" else " " + c) for c in new}
         unknown = {p for ps in pieces.values() for p in ps if p not in self.pieces}
-        if len(self.pieces) + len(unknown) > CACHE_ENTRIES and self.pieces:
+        if len(self.pieces) + len(unknown) > self.entries and self.pieces:
             self.pieces = {}
             unknown = {p for ps in pieces.values() for p in ps}
         self._ask([p for p in unknown if not self._word(p)], 1)
         self._ask([p for p in unknown if self._word(p)], 1000)
         get = self.pieces.__getitem__
         ids = {c: b"".join(map(get, ps)) for c, ps in pieces.items()}
-        room = max(0, CACHE_ENTRIES // 2 - len(self.chunks))
+        room = max(0, self.entries // 2 - len(self.chunks))
         if len(ids) <= room:
             self.chunks.update(ids)
             self.chunks.more = {}
@@ -139,14 +139,14 @@ class Encoder:
         return found
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """The worker's encoder for ``path``: loaded once, its cache outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, entries) not in _encoders:
+        _encoders[path, entries] = Encoder(path, entries)
+    return _encoders[path, entries]
 
 
 def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
