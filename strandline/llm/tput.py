@@ -105,14 +105,15 @@ def met(lists: DataFrame, asks: DataFrame) -> DataFrame:
     return common.salted_join(lists, asks, "term", "row")
 
 
-_SCORE = F.sum(F.col("w") * F.col("impact")).alias("score")
+def _score() -> Column:
+    return F.sum(F.col("w") * F.col("impact")).alias("score")
 
 
 def looked_up(lists: DataFrame, pairs: DataFrame, asks: DataFrame) -> DataFrame:
     """Stored exact scores of pairs (q, row), from all lists of the query."""
     look = common.stored(pairs.select("q", "row").join(common.hinted(asks.select("q", "term", "w")), "q"), "lookups")
     exact = lists.select("term", "row", "impact").join(common.hinted(look), ["term", "row"])
-    return common.stored(exact.groupBy("q", "row").agg(_SCORE), "exact")
+    return common.stored(exact.groupBy("q", "row").agg(_score()), "exact")
 
 
 def thresholds(asks: DataFrame, bound: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id
     lead = heads.where("r = 1").select("term", F.col("impact").alias("most"))
     asks = wanted.join(common.hinted(weights), "term").join(common.hinted(common.stored(lead, "lead")), "term")
     asks = common.stored(asks.select("q", "term", "w", (F.col("w") * F.col("most")).alias("most")), "asks")
-    first = met(heads.drop("r"), asks).groupBy("q", "row").agg(_SCORE)
+    first = met(heads.drop("r"), asks).groupBy("q", "row").agg(_score())
     first = common.stored(top(first, k, "q", F.desc("score"), "row").select("q", "row"), "first")
     known = looked_up(lists, first, asks).groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("bound"))
     bound = common.stored(known.where(F.col("n") == k).select("q", "bound"), "bound")

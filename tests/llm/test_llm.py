@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import common, fingerprints, fmindex, mixing, neighbours, packing, pfor, setjoin, sharding, substrings, tokens, toxicity, warc
+from strandline.llm import common, fingerprints, fmindex, harmonic, lloyd, mixing, neighbours, packing, pfor, setjoin, sharding, substrings, tokens, toxicity, tput, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, rank int"
@@ -686,3 +686,155 @@ def test_word_hashes():
     assert low[0] == low[5] and low[1] == low[6]
     one, _ = common.word_hashes([b"x " + b"b" * 3_000_000])
     assert one[1] == h[3]
+
+
+# 11
+
+
+def lloyd_by_force(rows, k, rounds, scale=256):
+    import hashlib
+
+    kept = [(i, [int(np.floor(float(x) * scale)) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
+    if not kept:
+        return [], []
+    order = sorted((hashlib.sha256(f"2:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
+    cents = [list(v) for _, v in order[:k]]
+    for n in range(rounds + 1):
+        near = [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(cents)) for _, v in kept]
+        if n < rounds:
+            for j in range(len(cents)):
+                own = [v for (_, v), (_, c) in zip(kept, near) if c == j]
+                if own:
+                    cents[j] = [sum(x) // len(own) for x in zip(*own)]
+    return sorted(((i if i is not None else -1), j, d) for (i, _), (d, j) in zip(kept, near)), cents
+
+
+@pytest.mark.parametrize("kind", ["clusters", "ties", "few"])
+def test_centroids(spark, monkeypatch, kind):
+    monkeypatch.setattr(lloyd, "SHARD", 37)
+    monkeypatch.setattr(lloyd, "LEAF", 3)
+    rng = np.random.default_rng(3)
+    if kind == "clusters":
+        v = rng.integers(0, 9, 230)[:, None] / 3 + rng.normal(0, 0.05, (230, 64))
+    elif kind == "ties":
+        v = rng.integers(0, 2, (150, 64)) * (np.arange(64) < 3)
+    else:
+        v = rng.normal(0, 1, (3, 64))
+    rows = [(k, [float(np.float32(x)) for x in r]) for k, r in enumerate(v)]
+    rows += [rows[0], (rows[1][0], rows[2][1]), (None, rows[1][1]), (900, None), (901, rows[0][1][:63]), (902, [*rows[0][1][:63], None]), (903, [*rows[0][1][:63], float("nan")]), (904, [*rows[0][1][:63], float("inf")]), (905, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cluster", F.lit("x")).repartition(3)
+    want, cents = lloyd_by_force(rows, 12, 3)
+    out = lloyd.clustered(df, k=12, rounds=3).collect()
+    assert sorted(((r["vec_id"] if r["vec_id"] is not None else -1), r["cluster"], r["distance"]) for r in out) == want
+    total = sum(d for _, _, d in want)
+    for r in out:
+        assert r["centroid"] == cents[r["cluster"]] and r["inertia"] == total and r["cluster_inertia"] == sum(d for _, j, d in want if j == r["cluster"])
+    assert lloyd.clustered(df.where("vec_id > 900")).count() == 0
+
+
+def test_centroid_trees_prune(monkeypatch):
+    rng = np.random.default_rng(1)
+    group = rng.integers(0, 20, 3000)
+    x = (group[:, None] * 300 + rng.integers(0, 20, (3000, 64))).astype(np.int64)
+    t = lloyd.CoverTree(x)
+    for node in range(len(t.lo)):
+        own = t.x[t.lo[node] : t.hi[node]]
+        assert np.sqrt(lloyd.squared(own, np.broadcast_to(t.x[t.centre[node]], own.shape)).max()) <= t.radius[node] + 1e-9
+        if t.fan[node]:
+            below = range(t.first[node], t.first[node] + t.fan[node])
+            assert t.lo[below[0]] == t.lo[node] and t.hi[below[-1]] == t.hi[node] and t.centre[below[0]] == t.centre[node]
+            # Children lie apart at least as far as they cover.
+            c = t.x[t.centre[list(below)]]
+            apart = min(np.sqrt(lloyd.squared(c[a : a + 1], c[b : b + 1])[0]) for a in range(len(c)) for b in range(a))
+            assert apart >= max(t.radius[list(below)]) - 1e-9
+    c, seen = x[np.unique(group, return_index=True)[1]], {}
+    label = lloyd.assigned(t, lloyd.Centroids(c), seen)
+    d = ((t.x[:, None].astype(float) - c[None]) ** 2).sum(2)
+    assert (label == d.argmin(1)).all() and seen["whole"] > 2500 and seen["pairs"] < 3000 * 20 / 4
+
+
+# 12
+
+
+def ranked_by_force(docs, items, k):
+    import math
+
+    terms = lambda t: [re.sub("[A-Z]+", lambda m: m.group().lower(), x) for x in re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t or "")]
+    bags = [(d, Counter(terms(t))) for d, t in docs]
+    bags = [(d, b, sum(b.values())) for d, b in bags if b]
+    n_docs, length = len(bags), sum(n for _, _, n in bags)
+    df = Counter(x for _, b, _ in bags for x in b)
+    out = []
+    for item, text in sorted(set(items), key=str):
+        want = set(terms(text))
+        scores = []
+        for d, b, n in bags:
+            m = 50 + (50 * n * n_docs) // length
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * ((10**9 * b[x]) // (1000 * b[x] + 20 * m)) for x in want & b.keys())
+            if s > 0:
+                scores.append((-s, d))
+        out += [(item, r + 1, d, -s) for r, (s, d) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def test_search(spark, none, monkeypatch):
+    monkeypatch.setattr(tput, "PART", 20)
+    monkeypatch.setattr(tput, "ADDED", 50)
+    rng = random.Random(7)
+    rows = corpus(4, 200)
+    rows += [(500 + k, "É na-Ïve " * k + "W1 w2, w3", "en", "s", 0, 0.1, "y", 2) for k in range(4)] + [rows[3], rows[3], (rows[5][0], "other w7 words", *rows[5][2:])]
+    docs = spark.createDataFrame(rows, SHAPE).repartition(3)
+    items = [(k, " ".join(rng.choices(WORDS, k=rng.randint(1, 30)))) for k in range(12)] + [(20, None), (21, "..."), (22, "É NA, w1"), (22, "É NA, w1"), (23, "nowhere"), (24, rows[8][1])]
+    asked = spark.createDataFrame(items, "item_id int, text string").withColumn("rank", F.lit("x"))
+    want = ranked_by_force([(r[0], r[1]) for r in rows], items, 7)
+    pick = lambda df: sorted((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert pick(tput.ranked(docs, asked, k=7)) == want
+    # With more terms than tasks hold, more rows than are broadcast and many blocks of queries, the results are the same.
+    monkeypatch.setattr(tput, "HELD_TERMS", 5)
+    monkeypatch.setattr(tput, "BEST", 20)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    assert pick(tput.ranked(docs, asked, k=7)) == want
+    monkeypatch.undo()
+    assert tput.ranked(none, asked).count() == 0 and tput.ranked(docs, asked.limit(0)).count() == 0
+
+
+# 13
+
+
+@pytest.mark.parametrize("slack", [32, 128, 512])
+def test_harmonic_cuts(slack):
+    for n, parts in enumerate(harmonic.cuts(slack=slack)):
+        assert sum(parts) == n and all((2048 - 2048 // t * t) * slack <= 2048 for t in parts)
+    assert max(map(len, harmonic.cuts())) <= 4
+
+
+@pytest.mark.parametrize("merge", [None, 1])
+def test_harmonic(spark, docs, none, monkeypatch, merge):
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 1
+    if merge:
+        monkeypatch.setattr(harmonic, "MERGE", merge)  # workers take over little, in several levels
+    out = harmonic.pack(docs.withColumn("length", F.lit("x")), path, end_id=end, with_ids=True).collect()
+    encoder = tokens.Encoder(path)
+    want = {r[0]: np.append(encoder.encode([r[1] or ""])[0], end).astype("<u4") for r in corpus()}
+    got, bins = defaultdict(list), defaultdict(list)
+    for r in out:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] > 0 and zlib.crc32(ids.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(want[r["doc_id"]])
+        got[r["doc_id"]].append((r["start"], ids))
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got.keys() == want.keys()
+    for d, parts in got.items():
+        assert np.array_equal(np.concatenate([x for _, x in sorted(parts, key=lambda p: p[0])]), want[d])
+        assert [s for s, _ in sorted(parts, key=lambda p: p[0])] == np.cumsum([0, *[len(x) for _, x in sorted(parts, key=lambda p: p[0])]])[:-1].tolist()
+    padded = total = 0
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        padded += 0 if at & (at - 1) == 0 else 2048 - at
+        total += at
+    assert padded <= total / 128
+    assert harmonic.pack(none, path).count() == 0
+    assert harmonic.pack(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")), path).select("doc_id").distinct().collect()[0][0] is None
