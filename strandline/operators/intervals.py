@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import let
+from strandline.operators import scans
 
 
 def merge(df: DataFrame, key: str | list[str], start: str = "start", end: str = "end", gap: int = 1, bin_width: int | None = None) -> DataFrame:
     """Unions of segments that overlap or lie at most ``gap`` apart (1: adjacent ones join).
 
-    With ``bin_width``, segments are first merged within bins of their starts, so that a key with very many
-    segments is shared by its bins, and only their unions meet in one task.
+    With ``bin_width``, segments are merged within bins of their starts and their unions by a two-level scan, so that a key
+    with very many segments is shared by its bins.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if bin_width:
-        df = _merged(df.withColumn("_bin", F.floor(F.col(start) / bin_width)), [*keys, "_bin"], start, end, gap).drop("_bin")
+        return scans.islands(df, keys, start, end, gap, width=bin_width)
     return _merged(df, keys, start, end, gap)
 
 

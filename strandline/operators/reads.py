@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,21 +192,54 @@ def trim_n_ends(df: DataFrame, above_percent: float = 2.0, window: int = 50, lea
     return _add(out, into, F.array(_segment(F.lit(0), F.col("_t.a") - 2), _segment(n - F.col("_t.b") + 1, n - 1))).drop("_t")
 
 
+def low_complexity(texts: list[str], window: int = 64, level: float = 20.0) -> list[list[tuple[int, int]]]:
+    """Symmetric DUST: of each text the joined perfect intervals, as (first, last) places.
+
+    The score of an interval of n triplets is 10 * (pairs of equal triplets) / (n - 1).  It is perfect if its
+    score is above ``level`` and no part of it scores more; intervals have ``window`` letters at most.  Triplets with other letters than
+    A, C, G and T (in either case) belong to no interval.
+    """
+    code = np.full(256, -1, np.int64)
+    for k, pair in enumerate(("Aa", "Cc", "Gg", "Tt")):
+        code[[ord(c) for c in pair]] = k
+    out = []
+    for text in texts:
+        letters = code[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+        n = len(letters) - 2
+        if n < 2:
+            out.append([])
+            continue
+        t = letters[:-2] * 16 + letters[1:-1] * 4 + letters[2:]
+        known = (letters[:-2] >= 0) & (letters[1:-1] >= 0) & (letters[2:] >= 0)
+        # By number of triplets: pairs of equal ones (those of the last two lengths), whether all are known, and the best score of a part.
+        shorter, pairs = np.zeros(n + 1, np.int64), np.zeros(n, np.int64)
+        sound, best = known.copy(), np.zeros(n)
+        marks = np.zeros(len(text) + 1, np.int64)
+        for k in range(2, min(window - 2, n) + 1):
+            d = k - 1
+            now = pairs[:-1] + pairs[1:] - shorter[1:-1] + (t[:-d] == t[d:])
+            shorter, pairs = pairs, now
+            sound = sound[:-1] & known[d:]
+            score = np.where(sound, 10.0 * pairs / d, 0.0)
+            inner = np.maximum(best[:-1], best[1:])
+            perfect = np.flatnonzero((score > level) & (score >= inner))
+            np.add.at(marks, perfect, 1)
+            np.add.at(marks, perfect + k + 2, -1)
+            best = np.maximum(score, inner)
+        low = np.diff(np.concatenate(([0], (np.cumsum(marks) > 0).astype(np.int8), [0])))
+        out.append(list(zip(np.flatnonzero(low == 1).tolist(), (np.flatnonzero(low == -1) - 1).tolist())))
+    return out
+
+
 def mask_low_complexity(df: DataFrame, window: int = 64, threshold: float = 20.0, seq: str = "seq") -> DataFrame:
-    """Marks windows whose triplets repeat: 10 * sum(c * (c - 1) / 2) / (triplets - 1) above the threshold."""
-    half = max(4, window)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - half, F.lit(0)), F.lit(half // 2))
-
-    def score(i: Column) -> Column:
-        part = F.upper(F.substring(F.col(seq), i + 1, F.lit(half)))
-        m = F.length(part) - 2
-        threes = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda j: F.substring(part, j, F.lit(3))))
-        zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("pairs"))
-        pairs = F.aggregate(threes, zero, lambda a, t: F.struct(t.alias("last"), F.when(t == a["last"], a["run"] + 1).otherwise(0).alias("run"), (a["pairs"] + F.when(t == a["last"], a["run"] + 1).otherwise(0)).alias("pairs")), lambda a: a["pairs"])
-        return F.when(m > 1, 10.0 * pairs / (m - 1)).otherwise(0.0)
-
-    low = F.filter(starts, lambda i: score(i) > threshold)
-    return _add(df, "mask", F.transform(low, lambda i: _segment(i, F.least(i + half, F.length(seq)) - 1)))
+    """Marks the parts of a sequence whose triplets repeat, by symmetric DUST (``low_complexity``)."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def dust(texts: pd.Series) -> pd.Series:
+        found = low_complexity(texts.fillna("").tolist(), window, threshold)
+        return pd.Series([[{"start": a, "end": b} for a, b in x] for x in found])
+
+    return _add(df, "mask", dust(F.col(seq)))
 
 
 def remove_short_adaptors(df: DataFrame, words: tuple[str, ...] | list[str], seq: str = "seq", quality: str = "qual") -> DataFrame:

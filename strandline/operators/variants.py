@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import scans
+
 # The codes of allele and variant kinds.
 KINDS = {"SNP": 0, "INSERTION": 1, "DELETION": 2, "INVARIANT": 3, "INDEL": 4, "COMPLEX": 5, "TRANSITION": 6, "TRANSVERSION": 7, "UNKNOWN": 8, "VARIANT": 9}
 
@@ -251,13 +253,10 @@ def moving_profile(snvs: DataFrame, value: str, width: int, step: int, least: in
     return out.where(F.col("values") >= least)
 
 
-def blocks(snvs: DataFrame, ref: str = "ref", start: str = "start", end: str = "end") -> DataFrame:
-    """Runs of overlapping variants, half open: block number, start, end and members."""
-    w = Window.partitionBy(ref).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = snvs.withColumn("_new", F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0))
-    rows = rows.withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(ref, "block").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("members"))
+def blocks(snvs: DataFrame, ref: str = "ref", start: str = "start", end: str = "end", width: int = scans.WIDTH) -> DataFrame:
+    """Runs of overlapping variants, half open: block number, start, end and members; by two-level scans."""
+    found = scans.islands(snvs.select(ref, start, end, F.lit(1).alias("members")), [ref], start, end, -1, F.sum("members").alias("members"), width=width)
+    return scans.running(found, [ref], start, F.lit(1), out="block", width=width).select(ref, "block", start, end, "members")
 
 
 def enzymes_that_tell(alleles: DataFrame, enzymes: DataFrame, snv: str = "snv_id", seq: str = "allele_seq") -> DataFrame:
