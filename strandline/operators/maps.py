@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import scans
+
 # Spellings of marker types and their standard names.
 MARKER_TYPES = {
     "aflp": "aflp", "est-ssr": "microsatellite", "ssr": "microsatellite", "ima": "issr", "indel": "indel", "snp-indel": "indel",
@@ -114,3 +116,39 @@ def libraries_of(reads: DataFrame, sources: DataFrame, rules: list[tuple[str, st
     for pattern, library in reversed(rules):
         rule = F.when(F.col(name).rlike(f"^(?:{pattern})"), library).otherwise(rule)
     return out.withColumn("library", F.coalesce("_l", rule)).drop("_l")
+
+
+def between_references(markers: DataFrame, positions: DataFrame, map_: str = "map", place: str = "place", name: str = "marker", kind: str = "kind") -> DataFrame:
+    """Bins of a map, each between the reference markers that flank it: map, marker, kind, start_marker, end_marker, start, end.
+
+    ``markers`` stand in the order of ``place`` in their map, of kind ref, bin or binint; others are passed over.  A bin before the first reference
+    begins at 0; one after the last ends at it.  ``positions`` (map, marker, position) tells where references lie; bins with an unknown one have nulls.
+    Flanking markers are found by two-level scans in both directions.
+    """
+    reference = F.when(F.col(kind) == "ref", F.struct(F.col(place).alias("p"), F.col(name).alias("m")))
+    rows = scans.running(markers, [map_], place, reference, "max", "_left")
+    back = F.when(F.col(kind) == "ref", F.struct(F.col("_p").alias("p"), F.col(name).alias("m")))
+    rows = scans.running(rows.withColumn("_p", -F.col(place)), [map_], "_p", back, "max", "_right")
+    bins = rows.where(F.col(kind).isin("bin", "binint")).select(map_, name, kind, F.col("_left.m").alias("start_marker"), F.coalesce("_right.m", "_left.m").alias("end_marker"))
+    at = lambda c: positions.select(F.col(map_).alias("_m"), F.col(name).alias("_n"), F.col("position").alias(c))
+    out = bins.join(at("start"), (F.col(map_) == F.col("_m")) & (F.col("start_marker") == F.col("_n")), "left").drop("_m", "_n")
+    out = out.join(at("end"), (F.col(map_) == F.col("_m")) & (F.col("end_marker") == F.col("_n")), "left").drop("_m", "_n")
+    return out.withColumn("start", F.when(F.col("start_marker").isNull(), F.lit(0).cast(dict(out.dtypes)["start"])).otherwise(F.col("start")))
+
+
+def trait_places(traits: DataFrame, positions: DataFrame, trait: str = "trait", name: str = "marker") -> DataFrame:
+    """Traits between two markers (``trait``, start_marker, end_marker) with their map, start and end.
+
+    The map is that of the first marker that is known; a marker of another map counts as unknown.
+    """
+    at = lambda c: positions.groupBy(F.col(name).alias(f"{c}_marker")).agg(F.min(F.struct("map", "position")).alias(f"_{c}"))
+    out = traits.join(at("start"), "start_marker", "left").join(at("end"), "end_marker", "left")
+    on = F.coalesce("_start.map", "_end.map")
+    return out.select(trait, "start_marker", "end_marker", on.alias("map"), F.col("_start.position").alias("start"), F.when(F.col("_end.map") == on, F.col("_end.position")).alias("end"))
+
+
+def stacked_maps(rows: DataFrame, columns: dict[str, str], group: str, name: str, unit: float = 0.1) -> DataFrame:
+    """One column of positions a map set, as (map_set, map, marker, position): names and maps in lower case, decimal commas, positions in ``unit``."""
+    entries = F.array(*[F.struct(F.lit(s).alias("map_set"), F.regexp_replace(F.col(c).cast("string"), ",", ".").try_cast("double").alias("position")) for c, s in columns.items()])
+    some = rows.where(F.length(F.trim(group)) > 0).select(F.lower(group).alias("map"), F.lower(F.trim(name)).alias("marker"), F.explode(entries).alias("e"))
+    return some.where(F.col("e.position").isNotNull()).select("e.map_set", "map", "marker", (F.col("e.position") / unit).alias("position"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import hits as H
+from strandline.operators import restriction as R
 from strandline.operators import variants as V
 
 HIT_FILTERS: dict[str, Callable[..., DataFrame]] = {"best_scores": H.best_scores, "score_threshold": H.score_threshold, "min_length": H.min_length}
@@ -85,6 +86,12 @@ def filter_names(filters: list[Filter]) -> list[tuple[str, str]]:
             got = short % ("t" if p[0] else "f"), text % ("all" if p[0] else "cheap ones")
         elif f.kind in ("is_variable", "is_not_variable"):
             got = short % (_GROUPS[p[0]], counts[f.kind]), text % (p[0], ",".join(map(str, p[1])), p[2])
+            # A filter of variability tells a seventh parameter, one of invariance has none between: maf and reads stand last.
+            maf, least = (p[5], p[6]) if len(p) >= 7 else (p[4], p[5]) if len(p) == 6 else (None, None)
+            if maf and least:
+                got = got[0], f"{got[1]}. maf:{maf:f}. min_num_reads:{least}"
+        elif f.kind == "in_segment_bed":
+            got = short % (p[0] if p and p[0] else 0), text % (p[0] if p and p[0] else 0)
         elif f.kind == "maf":
             kind, groups = (p[2], ",".join(map(str, p[1]))) if len(p) > 1 else ("All", "All")
             got = short % counts[f.kind], text % (kind, groups, p[0])
@@ -119,7 +126,7 @@ def vcf_filter_lines(filters: list[Filter]) -> list[str]:
     return [f'##FILTER=<ID={short.upper()},Description="{text}">' for short, text in filter_names(filters)]
 
 
-STANDARD = {"close_to_snv": V.close_to_snv, "high_variable_reg": V.high_variable_region, "close_to_limit": V.close_to_limit, "close_to_intron": V.close_to_intron, "maf": V.max_maf, "by_kind": V.by_kind, "min_groups": V.min_groups, "in_segment_bed": V.in_segment, "ref_not_in_list": V.ref_not_in_list, "is_variable": V.variable_in, "is_not_variable": V.invariant_in, "uniq_contiguous": V.not_unique}
+STANDARD = {"close_to_snv": V.close_to_snv, "high_variable_reg": V.high_variable_region, "close_to_limit": V.close_to_limit, "close_to_intron": V.close_to_intron, "maf": V.max_maf, "by_kind": V.by_kind, "min_groups": V.min_groups, "in_segment_bed": V.in_segment, "ref_not_in_list": V.ref_not_in_list, "is_variable": V.variable_in, "is_not_variable": V.invariant_in, "uniq_contiguous": V.not_unique, "cap_enzymes": R.not_told}
 
 
 def standard(kind: str, params: tuple = (), **args) -> Filter:

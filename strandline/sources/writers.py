@@ -153,11 +153,12 @@ def sam_lines(alignments: DataFrame, references: DataFrame | None = None, keep_u
         number = lambda v: F.when(v.rlike("^[-+]?[0-9]+$"), "i").otherwise("Z")
         entries = F.array_sort(F.map_entries(F.coalesce("tags", F.create_map().cast("map<string,string>"))))
         cols.append(F.nullif(F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(":"), number(e["value"]), F.lit(":"), e["value"])), "\t"), F.lit("")))
-    body = rows.select(F.lit(1).alias("o"), F.concat_ws("\t", *cols).alias("line"))
+    body = rows.select(F.concat_ws("\t", *cols).alias("line"))
     if references is None:
-        return body.select("line")
-    head = references.select(F.lit(0).alias("o"), F.format_string("@SQ\tSN:%s\tLN:%d", "name", "length").alias("line"))
-    return head.unionByName(body).orderBy("o").select("line")
+        return body
+    # A union keeps the order of its parts' partitions: the header, one of them, stands first in what is written, and the body keeps its own.
+    head = references.select(F.format_string("@SQ\tSN:%s\tLN:%d", "name", "length").alias("line")).coalesce(1)
+    return head.unionByName(body)
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
