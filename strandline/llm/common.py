@@ -248,4 +248,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not met._total and not e._total:
             break
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    out._stored_at = e._stored_at  # what forget() deletes
+    return out

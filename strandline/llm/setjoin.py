@@ -12,11 +12,13 @@ A set's name is its content's 64-bit hash, so equal sets are one node from the s
    is compared with the leader that it meets most often; verified links alone form components.  A turn
    takes a few comparisons for each set, however large a group of near copies is; turns go on while they pay.
 4. Index-level skipping.  Lists of one component are dropped.  The others are cut into
-   blocks by position, each with its least position, sizes and components; pairs of blocks are
-   skipped on those headers, before any entry is read.
+   blocks by position, each with its least position, sizes and components; pairs of headers
+   are skipped on these, and only the entries of pairs that are left are read.
 5. Answer-level skipping.  Sets x and y with computed answers for one leader L get bounds from them:
    |x & L| + |y & L| - |L| <= |x & y| <= min(|x & L| + |y - L|, |y & L| + |x - L|).
-   Where the bounds decide, nothing is counted; the rest is counted.
+   Where the bounds decide, nothing is counted.  Where they don't, the answer is derived from that of the leader:
+   |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|, so that only the shingles in which x differs from its leader,
+   found once for x, are looked up in y.  Pairs without a common leader are counted.
 
 A set: distinct n-word shingles of the text with A-Z lower-cased, words being runs
 without ASCII white space; a shorter text is one shingle; a text without words, or
@@ -40,6 +42,8 @@ FOLD, FOLD_ROWS = 8_000_000, 65_000
 MEET = 8_000_000
 #: Entries in a block of an index list, about.
 BLOCK = 128
+#: Headers of a list whose pairs with all of the list one task forms, about.
+PAIRED = 256
 #: Comparing with leaders goes on while one in so many comparisons finds a link.
 PAYS = 5
 _MASK = np.uint64((1 << 48) - 1)
@@ -262,24 +266,26 @@ def leading(entries: DataFrame, comps: DataFrame | None, tried: DataFrame | None
     A list's leader is of its largest component: the set where the list's shingle comes first, for few rare
     shingles before it mean a set in the middle of its like; later turns blur that order.  Pairs in ``tried`` are left out.
     """
-    e = placed(entries, comps)
+    e = placed(entries, comps) if comps is None else common.stored(placed(entries, comps), "placed")
     o = F.col("pos") + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 + 8 * turn))
     lead = e.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct(o.alias("o"), "node", "size")).alias("lead"))
     lead = lead.groupBy("token").agg(F.max(F.struct("n", "comp", "lead")).alias("v"), F.count("*").alias("comps")).where("comps > 1")
     lead = lead.select("token", F.col("v.comp").alias("cy"), F.col("v.lead.node").alias("y"), F.col("v.lead.size").alias("sy"))
-    met = common.salted_join(common.stored(e, "placed"), lead, "token", "node").where((F.col("comp") != F.col("cy")) & _near(num, den, F.col("size"), F.col("sy")))
+    met = common.salted_join(e, lead, "token", "node").where((F.col("comp") != F.col("cy")) & _near(num, den, F.col("size"), F.col("sy")))
     often = met.groupBy(F.col("node").alias("x"), "y").agg(F.count("*").alias("n"))
     if tried is not None:
         often = often.join(tried.select("x", "y"), ["x", "y"], "left_anti")
     # A set has no more leaders than shingles in its prefix.
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.xxhash64("y").alias("o"), "y"))), 1, 1 << turn)
     best = often.groupBy("x").agg(best.alias("best")).select("x", F.explode("best").alias("v"))
-    return common.stored(best.select("x", F.col("v.y").alias("y")), "leading")
+    out = common.stored(best.select("x", F.col("v.y").alias("y")), "leading")
+    common.forget(e)
+    return out
 
 
 def blocks_of(entries: DataFrame, comps: DataFrame) -> DataFrame:
     """Stored blocks of the lists that hold more than one component, with headers for skipping."""
-    e = common.stored(placed(entries, comps), "placed")
+    every = e = common.stored(placed(entries, comps), "placed")
     open_ = e.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "n")
     e = common.salted_join(e, open_, "token", "node")
     band = F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log2(F.col("pos") + 1.0)).cast("int"))
@@ -287,17 +293,25 @@ def blocks_of(entries: DataFrame, comps: DataFrame) -> DataFrame:
     cut = e.groupBy("token", band.alias("band"), salt.alias("salt")).agg(
         F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("node", "size", "pos", "comp")).alias("held"),
     )
-    return common.stored(cut.withColumn("block", F.struct("band", "salt")), "blocks")
+    out = common.stored(cut.withColumn("block", F.struct("band", "salt")), "blocks")
+    common.forget(every)
+    return out
 
 
 def block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of blocks of a list that their headers can't rule out."""
-    a, b = (blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "pos", "low", "high", "c0", "c1", "held"))) for s in "ab")
-    met = a.join(b, "token").where("block_a <= block_b")
+    """Stored pairs of blocks of a list (token, block_a, block_b) that their headers can't rule out; a list of many blocks is dealt to several tasks."""
+    heads = common.stored(blocks.drop("held"), "headers")
+    lists = heads.groupBy("token").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
+    a, b = (heads.join(lists, "token").select("token", "parts", *(F.col(c).alias(f"{c}_{s}") for c in ("block", "pos", "low", "high", "c0", "c1"))) for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("block_a"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = a.join(b, ["token", "part"]).where("block_a <= block_b")
     one = (F.col("c0_a") == F.col("c1_a")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0_a") == F.col("c0_b"))
     far = (F.col("high_a") * den < F.col("low_b") * num) | (F.col("high_b") * den < F.col("low_a") * num)
     left = F.least(F.col("high_a") - F.col("pos_a"), F.col("high_b") - F.col("pos_b"))
-    return met.where(~one & ~far & (left >= _need(num, den, F.col("low_a") + F.col("low_b"))))
+    out = common.stored(met.where(~one & ~far & (left >= _need(num, den, F.col("low_a") + F.col("low_b")))).select("token", "block_a", "block_b"), "pairs")
+    common.forget(heads)
+    return out
 
 
 def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -311,13 +325,15 @@ def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
         first = p["node"] < q["node"]
         return F.struct(*(F.when(first, a[c]).otherwise(b[c]).alias(n) for n, a, b, c in (("x", p, q, "node"), ("y", q, p, "node"), ("sx", p, q, "size"), ("sy", q, p, "size"), ("cx", p, q, "comp"), ("cy", q, p, "comp"))))
 
-    got = block_pairs(blocks, num, den).select(F.explode("held_a").alias("p"), "held_b")
-    got = got.select("p", F.explode("held_b").alias("q")).where(meets(F.col("p"), F.col("q")))
+    held = lambda s: blocks.select("token", F.col("block").alias(f"block_{s}"), F.col("held").alias(f"held_{s}"))
+    pairs = block_pairs(blocks, num, den)
+    got = pairs.join(held("a"), ["token", "block_a"]).join(held("b"), ["token", "block_b"])
+    got = got.select(F.explode("held_a").alias("p"), "held_b").select("p", F.explode(F.filter("held_b", lambda q: meets(F.col("p"), q))).alias("q"))
     return common.stored(got.select(pair(F.col("p"), F.col("q")).alias("v")).select("v.*").distinct(), "candidates")
 
 
 def derived(cand: DataFrame, answers: DataFrame, num: int, den: int) -> DataFrame:
-    """``cand`` with ``says``: true or false where answers decide, else null.
+    """``cand`` with ``says``: true or false where answers decide, else null; and the common ``leader``, if there is one, with its overlap ``iy`` with y.
 
     Answers (x, y, sx, sy, i) for a common leader y bound a pair's overlap; a pair that has its own answer follows it.
     """
@@ -330,11 +346,24 @@ def derived(cand: DataFrame, answers: DataFrame, num: int, den: int) -> DataFram
     low = F.col("ix") + F.col("iy") - F.col("sl")
     high = F.least(F.col("ix") + F.col("sy") - F.col("iy"), F.col("iy") + F.col("sx") - F.col("ix"))
     says = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("lx") == F.col("ly"), F.when(low >= need, True).when(high < need, False))
-    return both.select("x", "y", "sx", "sy", "cx", "cy", says.alias("says"))
+    return both.select("x", "y", "sx", "sy", "cx", "cy", says.alias("says"), F.when(F.col("lx") == F.col("ly"), F.col("lx")).alias("leader"), "iy")
+
+
+def increments(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored pairs (x, y) of ``open_`` with a common leader, ``linked`` or not: the leader's overlap with y, changed by what x lacks and has beside it."""
+    pairs = open_.where("says is null and leader is not null")
+    tokens = lambda c, t: sets.select(F.col("node").alias(c), F.col("tokens").alias(t))
+    own = pairs.select("x", "leader").distinct().join(tokens("x", "tx"), "x").join(tokens("leader", "tl"), "leader")
+    own = common.stored(own.select("x", F.array_except("tl", "tx").alias("lacks"), F.array_except("tx", "tl").alias("has")), "increments")
+    met = common.salted_join(common.salted_join(pairs.select("x", "y", "sx", "sy", "iy"), tokens("y", "ty"), "y", "x"), own, "x", "y")
+    i = F.col("iy") - F.size(F.array_intersect("lacks", "ty")) + F.size(F.array_intersect("has", "ty"))
+    out = common.stored(met.select("x", "y", (i >= _need(num, den, F.col("sx") + F.col("sy"))).alias("linked")), "answered")
+    common.forget(own)
+    return out
 
 
-def reached(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root): the sets that links reach, root the smallest of their component."""
+def reached(sets: DataFrame, num: int, den: int, seen: dict | None = None) -> DataFrame:
+    """(node, root): the sets that links reach, root the smallest of their component.  ``seen`` gets how many pairs were decided in which way."""
     entries = entries_of(sets, num, den)
     answers, comps, turn = None, None, 0
     while True:
@@ -343,21 +372,33 @@ def reached(sets: DataFrame, num: int, den: int) -> DataFrame:
         if common.at_most(pairs, 0) and answers is not None:
             break
         now = verified(pairs, sets, num, den)
+        paired = pairs._rows
+        common.forget(pairs)
         answers = now if answers is None else answers.unionByName(now)
-        links = answers.where("linked").select("x", "y")
         found, turn = now.where("linked").count(), turn + 1
-        if PAYS * found < pairs._rows or not found:
+        if PAYS * found < paired or not found:
             break
-        comps = common.components(links, "x", "y")
-    answers = common.stored(answers, "answers")
+        before, comps = comps, common.components(answers.where("linked").select("x", "y"), "x", "y")
+        if before is not None:
+            common.forget(before)
     links = answers.where("linked").select("x", "y")
-    comps = common.components(links, "x", "y")
-    cand = candidates(blocks_of(entries, comps), num, den)
+    if comps is None or found:
+        before, comps = comps, common.components(links, "x", "y")
+        if before is not None:
+            common.forget(before)
+    blocks = blocks_of(entries, comps)
+    cand = candidates(blocks, num, den)
+    common.forget(blocks, entries)
     if common.at_most(cand, 0):
         return comps
     open_ = common.stored(derived(cand, answers, num, den), "derived")
-    counted = verified(common.stored(open_.where("says is null").select("x", "y"), "open"), sets, num, den)
-    found = common.stored(open_.where("says").select("x", "y").union(counted.where("linked").select("x", "y")), "found")
+    stepped = increments(open_, sets, num, den)
+    counted = verified(common.stored(open_.where("says is null and leader is null").select("x", "y"), "open"), sets, num, den)
+    if seen is not None:
+        seen.update(candidates=cand._rows, bounds=open_.where("says is not null").count(), increments=stepped._rows, counted=counted._rows)
+    found = open_.where("says").select("x", "y").union(stepped.where("linked").select("x", "y")).union(counted.where("linked").select("x", "y"))
+    found = common.stored(found, "found")
+    common.forget(cand, open_, stepped, counted)
     return comps if common.at_most(found, 0) else common.components(links.union(found), "x", "y")
 
 

@@ -312,6 +312,13 @@ def test_set_join_skips_blocks_and_derives_answers(spark, monkeypatch):
         counts[r["says"]] += 1
         assert r["says"] in (None, 180 * i >= 80 * (r["sx"] + r["sy"]))
     assert counts[True] and counts[False]
+    # What bounds don't decide follows from the leader's answer; no pair is counted anew but those without a common leader.
+    open_ = says.where("says is null and leader is not null").count()
+    stepped = setjoin.increments(common.stored(says, "says"), sets, 80, 100).collect()
+    sizes = {r["node"]: r["size"] for r in sets.collect()}
+    assert len(stepped) == open_ > 0
+    for r in stepped:
+        assert r["linked"] == (180 * len(tokens_[r["x"]] & tokens_[r["y"]]) >= 80 * (sizes[r["x"]] + sizes[r["y"]]))
     # No link is skipped.
     found = {(r["x"], r["y"]) for r in cand.collect()}
     sizes = {r["node"]: r["size"] for r in sets.collect()}
@@ -391,6 +398,19 @@ def test_neighbours_on_several_cells(spark):
     assert hits / (10 * len(got)) > 0.95
 
 
+@pytest.mark.parametrize("shard", [300, 60])
+def test_neighbours_without_clusters(spark, shard):
+    """On vectors without clusters so many cells are searched that recall stays."""
+    x = np.random.default_rng(8).normal(size=(900, 24))
+    d = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got, s, hits = defaultdict(set), x @ x.T, 0
+    for r in neighbours.nearest(d, F.col("id") % 20 == 0, k=10, shard=shard).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in range(0, 900, 20):
+        hits += len(got[q] & set(sorted((k for k in range(900) if k != q), key=lambda k: (-s[q, k], k))[:10]))
+    assert hits / (10 * len(got)) > 0.95
+
+
 # 7
 
 
