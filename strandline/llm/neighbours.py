@@ -4,8 +4,10 @@ Vectors are dealt to cells around centroids, which are learned from a bounded sa
 a cell of more than ``SHARD`` vectors to several shards, each with its own graph: a vector's
 neighbours are proposed by a greedy search on the graph so far, and kept by relaxed
 pruning (a candidate goes if a kept neighbour is ALPHA times nearer to it than the
-vector is).  A query goes to the shards of its ``PROBES`` nearest cells only, and a beam search
-answers it there, so the work for a query doesn't grow with the number of shards.  A shard's graph is read
+vector is).  A query goes to the shards of its nearest cells only, and a beam search
+answers it there.  How many cells are enough is measured on the table itself: the true neighbours of ``CHECKED``
+queries among all vectors are found by brute force, and as many cells are searched as hold ``ENOUGH`` of them; on
+vectors without clusters these are many.  A shard's graph is read
 once for every ``BLOCK`` queries that come to it.  Scores of what is found are the measure itself, in double precision.
 
 Inner products become distances by one more coordinate, which gives all vectors the
@@ -27,8 +29,10 @@ from strandline.llm import common
 
 #: Vectors in a shard, about; edges of a node; beams while building and searching.
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4_000, 32, 48, 112, 1.2
-#: Cells that a query is sent to; cells at most; nodes whose vectors teach the centroids.
-PROBES, CELLS, SAMPLE = 10, 4_096, 40_000
+#: Cells at most; nodes whose vectors teach the centroids.
+CELLS, SAMPLE = 4_096, 40_000
+#: Queries whose true neighbours are found to tell how many cells are searched, and the share of these that must lie there.
+CHECKED, ENOUGH = 256, 0.98
 #: Queries in a block.
 BLOCK = 2_048
 
@@ -221,8 +225,8 @@ def _lengthened(v: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate((v, np.sqrt(np.maximum(most - np.einsum("nd,nd->n", v, v), 0))[:, None]), 1)
 
 
-def with_cells(nodes: DataFrame, total: int, probes: int = PROBES, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """``nodes`` (node, v, q) with ``cell`` and, for queries, the cells ``asks`` to search; and the number of cells."""
+def with_cells(nodes: DataFrame, total: int, shard: int = SHARD) -> tuple[DataFrame, np.ndarray]:
+    """``nodes`` (node, v, q) with ``cell``, and the cells' centres."""
     cells = max(1, min(CELLS, -(-total // shard)))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     most = float(nodes.agg(F.max(square)).first()[0])
@@ -231,18 +235,55 @@ def with_cells(nodes: DataFrame, total: int, probes: int = PROBES, shard: int =
 
     def assign(batches):
         for part in batches:
-            v = np.array(part["v"].tolist(), np.float64)
-            part["cell"] = nearest_cells(_lengthened(v, most), c, 1)[:, 0] if len(part) else []
-            asks = nearest_cells(np.concatenate((v, np.zeros((len(v), 1))), 1), c, probes) if len(part) else []
-            part["asks"] = [a.tolist() if q else None for a, q in zip(asks, part["q"])]
+            part["cell"] = nearest_cells(_lengthened(np.array(part["v"].tolist(), np.float64), most), c, 1)[:, 0] if len(part) else []
             yield part
 
-    shape = T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("asks", T.ArrayType(T.IntegerType()))])
-    return nodes.mapInPandas(assign, shape), cells
+    shape = T.StructType([*nodes.schema.fields, T.StructField("cell", T.IntegerType())])
+    return nodes.mapInPandas(assign, shape), c
 
 
-def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, probes: int = PROBES, shard: int = SHARD) -> DataFrame:
-    """query_id, rank, ``id_col``, score: the k rows of largest inner product found for each row that meets ``queries``."""
+def cells_of(v: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The n cells that queries are nearest to, nearest first."""
+    return nearest_cells(np.concatenate((v, np.zeros((len(v), 1))), 1), c, n)
+
+
+def probes_for(placed: DataFrame, c: np.ndarray, k: int, checked: int = CHECKED, enough: float = ENOUGH) -> int:
+    """So many cells, nearest first, that they hold ``enough`` of the true neighbours of ``checked`` queries among all nodes."""
+    some = placed.where("q").select("node", "v").orderBy(F.xxhash64("node", F.lit(5)), "node").limit(checked).collect()
+    if len(c) == 1 or not some:
+        return 1
+    own, q = np.array([r["node"] for r in some], np.int64), np.array([r["v"] for r in some], np.float64)
+
+    def best(batches):
+        """Each task's k best nodes of every query."""
+        score, cell = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
+        for part in batches:
+            if len(part):
+                now = q @ np.array(part["v"].tolist(), np.float64).T
+                now[own[:, None] == part["node"].to_numpy()[None]] = -np.inf
+                score, cell = np.concatenate((score, now), 1), np.concatenate((cell, np.broadcast_to(part["cell"].to_numpy(), now.shape)), 1)
+                keep = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, cell = np.take_along_axis(score, keep, 1), np.take_along_axis(cell, keep, 1)
+        n = np.repeat(np.arange(len(q)), score.shape[1])
+        yield pd.DataFrame({"n": n, "score": score.ravel(), "cell": cell.ravel()})
+
+    found = placed.select("node", "v", "cell").mapInPandas(best, "n long, score double, cell long").where(F.col("score") > float("-inf"))
+    w = Window.partitionBy("n").orderBy(F.desc("score"), "cell")
+    found = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("n", "cell").collect()  # checked * k rows
+    if not found:
+        return 1
+    order = cells_of(q, c, len(c))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(c))[None], 1)
+    at = np.sort([place[r["n"], r["cell"]] for r in found])
+    return int(at[max(0, int(np.ceil(enough * len(at))) - 1)]) + 1
+
+
+def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, probes: int | None = None, shard: int = SHARD) -> DataFrame:
+    """query_id, rank, ``id_col``, score: the k rows of largest inner product found for each row that meets ``queries``.
+
+    ``probes`` cells are searched for each query; if not given, as many as ``probes_for`` finds enough.
+    """
     spark = rows.sparkSession
     sound = usable(rows, id_col, vector_col)
     sound = sound.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x))), ""), 256)).withColumn("q", F.coalesce(queries, F.lit(False)))
@@ -256,13 +297,21 @@ def nearest(rows: DataFrame, queries: F.Column, k: int = 20, id_col: str = "vec_
     nodes = sound.groupBy("key").agg(F.min("id").alias("node"), F.first("v").alias("v"), F.max("q").alias("q"))
     nodes = common.stored(nodes, "nodes")
     total = nodes.count()
-    placed, _ = with_cells(nodes, total, probes, shard)
+    placed, c = with_cells(nodes, total, shard)
     placed = common.stored(placed, "cells")
+    searched = min(len(c), probes_for(placed, c, k) if probes is None else probes)
     w = Window.partitionBy("key").orderBy("id")
     ids = sound.select("key", "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     ids = ids.join(nodes.select("key", "node"), "key").select("node", F.col("id"))
     # A cell's parts, and the blocks of the queries that come to it; there are CELLS cells at most.
-    asked = placed.where("q").select(F.col("node").alias("query"), "v", F.explode("asks").alias("cell"))
+
+    def ask(batches):
+        for part in batches:
+            part["asks"] = [x.tolist() for x in cells_of(np.array(part["v"].tolist(), np.float64), c, searched)] if len(part) else []
+            yield part
+
+    asked = placed.where("q").select(F.col("node").alias("query"), "v")
+    asked = asked.mapInPandas(ask, "query long, v array<double>, asks array<int>").select("query", "v", F.explode("asks").alias("cell"))
     plan = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell", "left").na.fill(0, ["blocks"])
     plan = F.broadcast(plan)
 
