@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 CAPACITY = 4096
+#: Pre-tokens that a worker keeps, and characters that it encodes at a time.
+CACHE_ENTRIES, CHARACTERS = 500_000, 1_000_000
 #: Fillings that the search tries, beyond the one plan that it always completes.
 NODES = 5_000
 #: Sums that the search looks at, and those that one enumeration looks at before it gives one.
@@ -290,11 +292,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     def cut(batches):
         from strandline.llm import tokens
 
-        encoder = tokens.encoder(tokenizer_path)
+        common.released()
+        encoder = tokens.encoder(tokenizer_path, CACHE_ENTRIES)
         end = np.array([end_id], np.uint32)
         for b in batches:
             d, texts = b.column("d"), b.column("t").to_pylist()
-            for at, some in tokens.chunks(texts):
+            for at, some in tokens.chunks(texts, CHARACTERS):
                 out: list[list] = [[], [], [], [], [], []]
                 for k, x in enumerate(encoder.encode(some)):
                     x = np.concatenate((x.astype("<u4"), end.astype("<u4")))

@@ -212,6 +212,7 @@ def folded(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
                     ids, hashes, kept, held = [], [], [], 0
         if kept:
             yield _message(_asks(fold, ids, hashes, kept, n, buckets))
+        common.released()
 
     answered = texts.mapInArrow(ask, _MESSAGE).groupBy("bucket").applyInPandas(_answers, _MESSAGE.removeprefix("bucket int, "))
     every = answered.groupBy("fold").applyInPandas(_assembled(num, den), "kind int, d long, named boolean, h long, content long, size long, tokens array<long>")

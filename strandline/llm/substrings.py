@@ -41,9 +41,11 @@ LENGTH, GRAM = 20, 8
 #: Bytes of the broadcast bitmap at most, and its bits for each key below that.
 BITMAP_BYTES, BITS_PER_KEY = 64 << 20, 16
 #: Text bytes that a task folds before it sends.
-FOLD = 12_000_000
+FOLD = 8_000_000
 #: Places from which a key's windows are dealt by their own hashes, and how many keys of a bucket are.
 HOT_PLACES, HOT_KEYS = 20_000, 64
+#: Bytes of text whose keys meet in one bucket, and whose stretches, were all sent, would meet in one shard.
+BUCKET, SHARD = 16_000_000, 4_000_000
 _NONE = -(1 << 63)
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -152,10 +154,8 @@ def _folds(batches, size: int = FOLD):
         yield keys, texts
 
 
-def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str) -> Wanted:
+def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, buckets: int) -> Wanted:
     """The first pass: which keys occur at two places of the corpus or more."""
-    spark = docs.sparkSession
-    buckets = 2 * common.parts_for(spark)
     most = max(1, BITMAP_BYTES // buckets)
 
     def send(batches):
@@ -170,6 +170,7 @@ def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col
                 [pa.array(by[cut].astype(np.int32)), pa.array([key[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())],
                 names=["bucket", "keys", "counts"],
             )
+        common.released()
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         key = np.concatenate([np.frombuffer(v, np.uint64) for v in part["keys"]])
@@ -190,8 +191,10 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     spark = docs.sparkSession
     common.small_batches(spark)
     gram = min(gram, length)
-    wanted = spark.sparkContext.broadcast(repeated_keys(docs, length, gram, id_col, text_col))
-    shards = 8 * common.parts_for(spark)
+    # What one task sorts or indexes is bounded by bytes of text, however many there are.
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets, shards = max(2 * common.parts_for(spark), -(-size // BUCKET)), max(8 * common.parts_for(spark), -(-size // SHARD))
+    wanted = spark.sparkContext.broadcast(repeated_keys(docs, length, gram, id_col, text_col, buckets))
 
     def send(batches):
         for docs_, texts in _folds(batches):
@@ -228,6 +231,7 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
                     ],
                     names=["shard", "words", "sizes", "times", "places"],
                 )
+        common.released()
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         def whole(column, kind):

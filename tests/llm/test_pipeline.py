@@ -95,6 +95,6 @@ def test_registered():
 
     q = e.queries()
     names = [k for k in q if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in q
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in q
     assert set(e.oracle_sql()) <= set(q)
     assert np.all([callable(f) for f in q.values()])
