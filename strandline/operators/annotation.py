@@ -97,3 +97,47 @@ def aligned_segments(alignments: DataFrame, name: str = "name", a: str = "a", b:
     island = F.col("i") - F.row_number().over(Window.partitionBy(name).orderBy("i"))
     out = both.withColumn("g", island).groupBy(name, "g").agg(F.min("pa").alias("a_start"), F.max("pa").alias("a_end"), F.min("pb").alias("b_start"), F.max("pb").alias("b_end"))
     return out.drop("g")
+
+
+def without_annotations(seqs: DataFrame, features: DataFrame, kinds: list[str], kind: str = "ftype") -> tuple[DataFrame, DataFrame]:
+    """Sequences and features without the named annotations: GOs, orthologs and description of the sequences, filters of variants, or features of a kind.
+
+    Fixed names: GOs, orthologs, description, snv_filters; any other is a kind of features.
+    """
+    columns = {"GOs": "gos", "orthologs": "orthologs", "description": "description"}
+    for k in kinds:
+        if k in columns:
+            c = columns[k]
+            if c in seqs.columns:
+                seqs = seqs.withColumn(c, F.lit(None).cast(dict(seqs.dtypes)[c]))
+        elif k == "snv_filters":
+            if "filters" in features.columns:
+                features = features.withColumn("filters", F.lit(None).cast(dict(features.dtypes)["filters"]))
+        else:
+            features = features.where(F.col(kind) != k)
+    return seqs, features
+
+
+def features_of(gff: DataFrame, types: list[str]) -> DataFrame:
+    """GFF rows without the features of other types; comments, directives and sequences stay."""
+    return gff.where((F.col("kind") != "feature") | F.col("kind").isNull() | F.col("type").isin(types))
+
+
+#: Kinds of microsatellites by the length of their unit, from 2 on.
+SSR_KINDS = ("dinucleotide", "trinucleotide", "tetranucleotide", "pentanucleotide", "hexanucleotide")
+
+
+def feature_statistics(features: DataFrame, type_: Column, name: str = "name", location: str = "location") -> DataFrame:
+    """One row a type and location with their number, and totals: type, location, n, sequences, level (0 both, 1 type, 3 all).
+
+    Features without a location count in the totals alone.  Sequences with a feature are counted exactly, by distinct (group, sequence) pairs.
+    """
+    rows = features.select(F.col(name).alias("_n"), type_.alias("type"), F.col(location).alias("location"))
+    sets = rows.groupingSets([["type", "location"], ["type"], []], "type", "location").agg(F.count("*").alias("n"), F.countDistinct("_n").alias("sequences"), F.grouping_id().cast("long").alias("level"))
+    return sets.where("level > 0 or location is not null")
+
+
+def ssr_statistics(ssrs: DataFrame, name: str = "name", unit: str = "unit", location: str = "location") -> DataFrame:
+    """``feature_statistics`` of microsatellites by the kind of their unit."""
+    kind = F.get(F.array(*[F.lit(k) for k in SSR_KINDS]), F.length(unit) - 2)
+    return feature_statistics(ssrs, kind, name, location)

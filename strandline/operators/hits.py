@@ -149,3 +149,16 @@ def longest_of_each(members: DataFrame, cluster: str = "cluster", name: str = "n
     """The longest member of each cluster, the smaller name on a tie."""
     length = F.col(length) if isinstance(length, str) else length
     return members.groupBy(cluster).agg(F.min(F.struct((-length).alias("n"), F.col(name).alias("m"))).alias("t")).select(cluster, F.col("t.m").alias(name), (-F.col("t.n")).alias("length"))
+
+
+def contaminants(seqs: DataFrame, parts: DataFrame, similarity: float = 96, share: float = 60, name: str = "name", reverse: bool = False) -> DataFrame:
+    """Sequences (or, reversed, all others) with a hit on a contaminant: parts of at least ``similarity`` that together cover ``share`` percent of the subject.
+
+    ``parts`` has s_len, the subject's length; parts that overlap on it count once.
+    """
+    from strandline.operators import intervals
+
+    good = parts.where(F.col("similarity") >= similarity).select("query", "subject", "s_len", F.least("s_start", "s_end").alias("start"), F.greatest("s_start", "s_end").alias("end"))
+    covered = intervals.covered_length(good, ["query", "subject", "s_len"])
+    found = covered.where(F.col("covered") * 100 >= F.col("s_len") * share).select(F.col("query").alias(name)).distinct()
+    return seqs.join(found, name, "left_anti" if reverse else "left_semi")

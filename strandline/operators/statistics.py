@@ -164,3 +164,45 @@ def percentiles(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
 def stacked(df: DataFrame, by: str, classes: str) -> DataFrame:
     """Counts of each class in each group, with totals over either and both."""
     return df.cube(by, classes).agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
+
+
+def joint_histogram(df: DataFrame, a: str, b: str, bins: int | tuple[int, int] = 20, clip: tuple[float, float] | None = None, low: tuple = (None, None), high: tuple = (None, None)) -> DataFrame:
+    """Counts over equal bins of two columns at once: a_bin, b_bin, their left edges a_left and b_left, and n; cells without rows are absent.
+
+    Limits come from one pass over both columns, unless ``low`` and ``high`` give them; ``clip`` takes percentiles of each column as limits where they cut anything.
+    Rows with a null, or with a value beyond a limit, are left out; a limit's own value falls into the last bin.
+    """
+    n = (bins, bins) if isinstance(bins, int) else bins
+    rows = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).where("_a is not null and _b is not null and not isnan(_a) and not isnan(_b)")
+    got = rows.agg(*[f(c) for c in ("_a", "_b") for f in (F.min, F.max)]).first()
+    if got[0] is None:
+        return df.sparkSession.createDataFrame([], "a_bin long, b_bin long, a_left double, b_left double, n long")
+    cells = []
+    for k, c in enumerate(("_a", "_b")):
+        lo, hi = got[2 * k] if low[k] is None else float(low[k]), got[2 * k + 1] if high[k] is None else float(high[k])
+        if clip:
+            ends = {r["fraction"]: r["value"] for r in quantiles(value_counts(rows, c), [x / 100 for x in clip]).collect()}
+            lo, hi = max(lo, ends[clip[0] / 100]), min(hi, ends[clip[1] / 100])
+        hi = hi if hi > lo else lo + 1
+        width = (hi - lo) / n[k]
+        cells.append((F.least(F.floor((F.col(c) - lo) / width).cast("long"), F.lit(n[k] - 1)), F.col(c).between(lo, hi), lo, width))
+    (a_bin, a_in, a_lo, a_w), (b_bin, b_in, b_lo, b_w) = cells
+    out = rows.where(a_in & b_in).groupBy(a_bin.alias("a_bin"), b_bin.alias("b_bin")).agg(F.count("*").alias("n"))
+    return out.select("a_bin", "b_bin", (F.lit(a_lo) + F.col("a_bin") * a_w).alias("a_left"), (F.lit(b_lo) + F.col("b_bin") * b_w).alias("b_left"), "n")
+
+
+def distribution_difference(df: DataFrame, value: str, side: Column, bins: int = 20) -> DataFrame:
+    """Two distributions over the same equal bins, in one pass: bin, left_edge, n_true and n_false by ``side``, and their difference; empty bins stay.
+
+    Rows with a null value or a null side are left out.
+    """
+    rows = df.select(F.col(value).cast("double").alias("_v"), side.alias("_s")).where("_v is not null and _s is not null")
+    lo, hi = rows.agg(F.min("_v"), F.max("_v")).first()
+    if lo is None:
+        return df.sparkSession.createDataFrame([], "bin long, left_edge double, n_true long, n_false long, difference long")
+    width = ((hi if hi > lo else lo + 1) - lo) / bins
+    count = lambda c: F.sum(c.cast("long"))
+    got = rows.groupBy(F.least(F.floor((F.col("_v") - lo) / width).cast("long"), F.lit(bins - 1)).alias("bin")).agg(count(F.col("_s")).alias("t"), count(~F.col("_s")).alias("f"))
+    out = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(got, "bin", "left")
+    t, f = F.coalesce("t", F.lit(0)), F.coalesce("f", F.lit(0))
+    return out.select("bin", (F.lit(lo) + F.col("bin") * width).alias("left_edge"), t.alias("n_true"), f.alias("n_false"), (t - f).alias("difference"))

@@ -243,14 +243,16 @@ def hits_min_length(t):
     return hits.min_length(_parts(t), residues=15).select("query", "subject", "q_start")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey q, l_partkey s FROM lineitem), b AS (SELECT DISTINCT l_partkey q, l_orderkey s FROM lineitem WHERE l_linenumber % 2 = 0 UNION SELECT DISTINCT l_partkey + 1, l_orderkey FROM lineitem)
+@query("""WITH a AS (SELECT DISTINCT l_orderkey q, l_partkey s FROM lineitem QUALIFY l_quantity = max(l_quantity) OVER (PARTITION BY l_orderkey)), b AS (SELECT DISTINCT l_partkey q, l_orderkey s FROM lineitem QUALIFY l_quantity = max(l_quantity) OVER (PARTITION BY l_partkey))
 SELECT a.q AS query, a.s AS subject FROM a JOIN b ON a.q = b.s AND a.s = b.q""")
 def reciprocal_orthologs(t):
-    """Orders against parts, and back: every second line, and the lines of the part before."""
-    li = t("lineitem")
-    a = li.select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("subject"))
-    back = li.where("l_linenumber % 2 = 0").select(F.col("l_partkey").alias("query"), F.col("l_orderkey").alias("subject"))
-    b = back.union(li.select((F.col("l_partkey") + 1).alias("query"), F.col("l_orderkey").alias("subject")))
+    """Orders and parts that are each other's line of largest quantity."""
+
+    def best(query: str, subject: str) -> DataFrame:
+        largest = t("lineitem").groupBy(F.col(query).alias("query")).agg(F.max("l_quantity").alias("l_quantity"))
+        return t("lineitem").select(F.col(query).alias("query"), F.col(subject).alias("subject"), "l_quantity").join(largest, ["query", "l_quantity"]).select("query", "subject")
+
+    a, b = best("l_orderkey", "l_partkey"), best("l_partkey", "l_orderkey")
     return hits.reciprocal(a, b)
 
 
@@ -274,12 +276,12 @@ def description_priority(t):
     return hits.describe(t("orders").select(F.col("o_orderkey").alias("name")), p.join(d.select("subject"), "subject"), d)
 
 
-_EDGES = "e AS (SELECT c_custkey a, c_custkey + 37 b FROM customer WHERE c_acctbal > 4000 UNION ALL SELECT c_custkey + 37, c_custkey FROM customer WHERE c_acctbal > 4000)"
+_EDGES = "e AS (SELECT c_custkey a, c_custkey + 37 b FROM customer UNION ALL SELECT c_custkey + 37, c_custkey FROM customer)"
 _CLUSTERS = f"WITH RECURSIVE {_EDGES}, r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other), c AS (SELECT node, min(other) AS cluster FROM r GROUP BY node)"
 
 
 def _clusters(t) -> DataFrame:
-    e = t("customer").where("c_acctbal > 4000").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 37).alias("b"))
+    e = t("customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 37).alias("b"))
     return hits.clusters(e, checkpoint=pipelines.checkpointed)
 
 
@@ -483,11 +485,11 @@ def read_group_join(t):
 
 
 @query("""SELECT event_id, CASE WHEN s IS NULL THEN 'unknown' WHEN x < s THEN CASE WHEN d = '-' THEN 'utr3' ELSE 'utr5' END WHEN x > e THEN CASE WHEN d = '-' THEN 'utr5' ELSE 'utr3' END ELSE 'orf' END AS location
-FROM (SELECT event_id, user_id, (event_id * 7919) % 1000 x FROM events) LEFT JOIN (SELECT DISTINCT user_id u, 200 + user_id s, 700 + user_id e, CASE WHEN user_id % 2 = 0 THEN '-' ELSE '+' END d FROM events WHERE user_id % 3 > 0) ON u = user_id""")
+FROM (SELECT event_id, user_id, (event_id * 7919) % 1000 x FROM events) LEFT JOIN (SELECT DISTINCT user_id u, 200 + user_id s, 700 + user_id e, CASE WHEN user_id % 2 = 0 THEN '-' ELSE '+' END d FROM events) ON u = user_id""")
 def orf_locations(t):
     e = t("events")
     f = e.select("event_id", F.col("user_id").alias("name"), ((F.col("event_id") * 7919) % 1000).alias("start"))
-    o = e.where("user_id % 3 > 0").select(F.col("user_id").alias("name"), (200 + F.col("user_id")).alias("start"), (700 + F.col("user_id")).alias("end"), F.when(F.col("user_id") % 2 == 0, "-").otherwise("+").alias("strand")).distinct()
+    o = e.select(F.col("user_id").alias("name"), (200 + F.col("user_id")).alias("start"), (700 + F.col("user_id")).alias("end"), F.when(F.col("user_id") % 2 == 0, "-").otherwise("+").alias("strand")).distinct()
     return annotation.orf_location(f, o).select("event_id", "location")
 
 
@@ -685,10 +687,10 @@ def filter_hits(t):
 # Annotation files as lines.
 
 
-@query("SELECT n_name || chr(9) || s_name || chr(9) || string_agg(p, ',' ORDER BY p) AS line FROM (SELECT DISTINCT s_name, n_name, CAST(l_partkey AS VARCHAR) p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R') GROUP BY s_name, n_name")
+@query("SELECT n_name || chr(9) || s_name || chr(9) || string_agg(p, ',' ORDER BY p) AS line FROM (SELECT DISTINCT s_name, n_name, CAST(l_partkey AS VARCHAR) p FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) GROUP BY s_name, n_name")
 def ortholog_lines(t):
     n = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    pairs = t("lineitem").where("l_returnflag = 'R'").join(n, F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "n_name", F.col("l_partkey").cast("string").alias("p"))
+    pairs = t("lineitem").join(n, F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "n_name", F.col("l_partkey").cast("string").alias("p"))
     names = pairs.groupBy(F.col("s_name").alias("name"), "n_name").agg(F.array_sort(F.collect_set("p")).alias("p"))
     return writers.ortholog_lines(names.select("name", F.create_map("n_name", "p").alias("orthologs")))
 
@@ -708,10 +710,25 @@ def orf_lines(t):
     return writers.orf_lines(f, "pep")
 
 
-@query("""WITH s AS (SELECT doc_id, text, CAST((doc_id * 31) % 200 AS INT) a FROM documents WHERE length(text) > 300)
+_CHOSEN = "WITH s AS (SELECT doc_id, text, length(text) n, CAST((doc_id * 31) % greatest(length(text), 1) AS INT) a FROM documents)"
+
+
+def _chosen(t) -> DataFrame:
+    at = ((F.col("doc_id") * 31) % F.greatest(F.length("text"), F.lit(1))).cast("int")
+    return t("documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq"), at.alias("start"), F.lit("T").alias("ref"), F.array(F.lit("C"), F.lit("A")).alias("alleles"))
+
+
+@query(f"""{_CHOSEN}
+SELECT doc_id || '_' || (a + 1) || ',SNP,' || substr(text, greatest(n + a - 60, 0) * CAST(a < 60 AS INT) + greatest(a - 60, 0) + 1, CASE WHEN a >= 60 THEN 60 ELSE greatest(a - greatest(n + a - 60, 0), 0) END) || '[A/C/T]' || substr(text, a + 2, 60) AS line FROM s""")
+def illumina_lines_by_slices(t):
+    """Left flanks that would begin before a text count from its end."""
+    return writers.illumina_lines(_chosen(t))
+
+
+@query(f"""{_CHOSEN}
 SELECT doc_id || '_' || (a + 1) || ',SNP,' || CASE WHEN a >= 60 THEN substr(text, a - 59, 60) ELSE substr(text, 1, a) END || '[A/C/T]' || substr(text, a + 2, 60) AS line FROM s""")
 def illumina_lines(t):
-    d = t("documents").where(F.length("text") > 300).select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq"), ((F.col("doc_id") * 31) % 200).cast("int").alias("start"), F.lit("T").alias("ref"), F.array(F.lit("C"), F.lit("A")).alias("alleles"))
+    d = _chosen(t)
     return writers.illumina_lines(d, short=True)
 
 

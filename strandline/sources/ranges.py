@@ -196,3 +196,25 @@ def read_flat(spark: SparkSession, path: str) -> DataFrame:
     accession = F.when(embl, F.regexp_extract(F.get(values("AC", 3), F.lit(0)), r"^([^\s;]+)", 1)).otherwise(F.regexp_extract(F.get(values("ACCESSION", 10), F.lit(0)), r"^(\S+)", 1))
     out = rows.select(name.alias("name"), F.nullif(accession, F.lit("")).alias("accession"), F.when(embl, text(values("DE", 3))).otherwise(definition).alias("description"), F.upper(letters).alias("seq"), features.alias("features"), "file")
     return out.where(F.length("name") > 0)
+
+
+def read_assembly(spark: SparkSession, path: str) -> DataFrame:
+    """name, seq, qual (text), file of the contigs of an assembly file (lines CO, CS and CQ), without gap columns.
+
+    A column that is a gap (*) in the sequence goes from the qualities as well; contigs whose lengths differ, or without one of the lines, are left out.
+    """
+    rows = records(spark, path, Marked("CO"), lambda x: x[:2] in ("CO", "CS", "CQ"))
+    value = lambda tag: F.get(F.transform(F.filter("lines", lambda x: x.rlike(rf"^{tag}\s")), lambda x: F.regexp_replace(x, r"^\S+\s+", "")), F.lit(0))
+    rows = rows.select(F.rtrim(value("CO")).alias("name"), F.rtrim(value("CS")).alias("s"), F.rtrim(value("CQ")).alias("q"), "file").where("length(s) = length(q)")
+    kept = F.filter(F.arrays_zip(S.letters(F.col("s")).alias("s"), S.letters(F.col("q")).alias("q")), lambda x: x["s"] != "*")
+    text = lambda c: F.array_join(F.transform("_k", lambda x: x[c]), "")
+    return rows.withColumn("_k", kept).select("name", text("s").alias("seq"), text("q").alias("qual"), "file")
+
+
+def count_records(spark: SparkSession, path: str, fmt: str) -> int:
+    """Records of a file: FASTA, FASTQ (bad records too), GenBank, EMBL."""
+    layout = {"fasta": Marked(">"), "fastq": FourLines(), "genbank": Ended("//"), "embl": Ended("//")}
+    if fmt not in layout:
+        raise ValueError(f"records of {fmt} aren't counted")
+    rows = records(spark, path, layout[fmt])
+    return rows.where(F.exists("lines", lambda x: F.length(F.trim(x)) > 0) & ((F.lit(fmt) != "fasta") | F.get("lines", F.lit(0)).startswith(">"))).count()

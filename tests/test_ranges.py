@@ -112,3 +112,21 @@ def test_symmetric_dust(spark):
     df = spark.createDataFrame([("x", "ACGTTGCA" + "A" * 40), ("y", None)], "name string, seq string")
     got = {r["name"]: r["mask"] for r in reads.mask_low_complexity(df).collect()}
     assert got["y"] == [] and len(got["x"]) == 1 and got["x"][0]["end"] == 47
+
+
+def test_assembly_and_counts(spark, files, tmp_path):
+    (tmp_path / "a.maf").write_text("CO\tc1\nNR\t4\nCS\tAC*G*\nCQ\tIJ!K!\n\\\\\nRS\tAAA\nCO\tc2\nCS\tACG\nCQ\tII\nCO\tc3\nCS\tA\n")
+    assert [tuple(r)[:3] for r in ranges.read_assembly(spark, str(tmp_path / "a.maf")).collect()] == [("c1", "ACG", "IJK")]
+    d, rows = files
+    assert [ranges.count_records(spark, f"{d}/{f}", k) for f, k in (("a.fq", "fastq"), ("a.fa", "fasta"), ("a.gb", "genbank"), ("a.embl", "embl"))] == [len(rows) + 1, len(rows), len(rows), len(rows)]
+
+
+def test_annotations_go(spark):
+    from strandline.operators import annotation
+
+    seqs = spark.createDataFrame([("a", ["GO:1"], ["x"], "text")], "name string, gos array<string>, orthologs array<string>, description string")
+    features = spark.createDataFrame([("a", "snv", "PASS"), ("a", "orf", None)], "name string, ftype string, filters string")
+    s, f = annotation.without_annotations(seqs, features, ["GOs", "description", "snv_filters", "orf"])
+    assert tuple(s.first()) == ("a", None, ["x"], None) and [tuple(r) for r in f.collect()] == [("a", "snv", None)]
+    gff = spark.createDataFrame([("feature", "gene"), ("feature", "mRNA"), ("comment", None), (None, "x")], "kind string, type string")
+    assert annotation.features_of(gff, ["gene"]).count() == 3
