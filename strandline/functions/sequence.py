@@ -105,5 +105,6 @@ def translate(dna: Column) -> Column:
     pairs = [(a + b + c, _CODONS[16 * i + 4 * j + k]) for i, a in enumerate(order) for j, b in enumerate(order) for k, c in enumerate(order)]
     table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     dna = F.upper(F.translate(dna, "uU", "tT"))
-    codons = F.transform(F.sequence(F.lit(0), F.floor(F.length(dna) / 3).cast("int") - 1), lambda i: F.coalesce(F.try_element_at(table, F.substring(dna, i * 3 + 1, F.lit(3))), F.lit("X")))
+    # One pass cuts the codons; a substring for each would begin at the text's beginning.
+    codons = F.transform(F.regexp_extract_all(dna, F.lit("(?s).{3}"), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X")))
     return F.when(F.length(dna) < 3, F.lit("")).otherwise(F.array_join(codons, ""))

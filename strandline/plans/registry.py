@@ -184,7 +184,15 @@ def microsatellites(t):
     return reads.microsatellites(d, min_length=8)
 
 
-@query()
+_AT = "strpos('TCAG', substr(s, CAST(f + 3 * k + {} AS INT), 1)) - 1"
+_CODON = f"substr('{S._CODONS}', CAST(1 + 16 * ({_AT.format(1)}) + 4 * ({_AT.format(2)}) + {_AT.format(3)} AS INT), 1)"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS name, regexp_replace(upper(text), '[^ACGT]', '', 'g') s FROM documents), t AS (SELECT name, '+' strand, s FROM d UNION ALL SELECT name, '-', translate(reverse(s), 'ACGT', 'TGCA') FROM d),
+p AS (SELECT name, strand, s, f, string_split(array_to_string(list_transform(range(0, (length(s) - f) // 3), lambda k: {_CODON}), ''), '*') parts FROM t, range(0, 3) x(f)),
+g AS (SELECT name, strand, s, f, parts, unnest(parts) seg, generate_subscripts(parts, 1) i FROM p), o AS (SELECT *, strpos(seg, 'M') m, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) ahead FROM g WHERE strpos(seg, 'M') > 0),
+r AS (SELECT name, strand, s, CAST(f + 3 * (ahead + m - 1) AS INT) a, CAST(f + 3 * (ahead + length(seg) - 1) + 2 AS INT) b, substr(seg, CAST(m AS INT)) pep FROM o)
+SELECT name, strand, a AS "start", b AS "end", substr(s, a + 1, b - a + 1) AS dna, pep FROM r WHERE b - a + 1 >= 30 QUALIFY row_number() OVER (PARTITION BY name ORDER BY b - a DESC, strand DESC, a) = 1""")
 def longest_orfs(t):
     d = t("documents").select(F.col("doc_id").alias("name"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
     return reads.longest_orf(d)
