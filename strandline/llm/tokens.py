@@ -12,8 +12,11 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pre-tokens that a worker keeps; of chunks, half as many.
 CACHE_ENTRIES = 1_500_000
@@ -23,27 +26,20 @@ _L = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įĲ-ſ"
 _N = r"0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Any character outside of this leaves a text to the library.  No white space but these four, no U+0130.
 _ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ſ]|<\|")
+#: Of these bytes a text of ASCII may hold all.
+_EVEN = bytes([9, 10, 13, *range(0x20, 0x7F)])
 _BYTE_RULE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _WORD_RULE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class _Chunks(dict):
-    """Ids of chunks; those of the batch at hand that found no room are in ``more``."""
-
-    more: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.more[chunk]
-
-
 class Encoder:
     """``encode(texts)`` gives an array of ids for each; special tokens' strings are ordinary text.
 
     A text is cut at its spaces; a space belongs to the pre-token after it, so the
     chunks' ids are independent unless two spaces follow each other (such texts go
-    through the library).  Chunks are looked up, new ones are cut into pre-tokens, and
-    only new pre-tokens reach the library.
+    through the library).  The distinct chunks of all texts at hand are looked up, new ones
+    are cut into pre-tokens, and only new pre-tokens reach the library.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -56,7 +52,9 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.rule, self.words = self._rule(spec.get("normalizer"), spec.get("pre_tokenizer") or {})
-        self.chunks, self.pieces, self.entries = _Chunks(), {}, entries
+        self.marks = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.marks[[k for t, k in self.tokenizer.get_vocab().items() if (t.endswith("</w>") if self.words else t[:1] == "Ġ")]] = True
+        self.chunks, self.pieces, self.entries = {}, {}, entries
 
     @staticmethod
     def _rule(normalizer, pre) -> tuple[re.Pattern | None, bool]:
@@ -68,73 +66,92 @@ class Encoder:
             return _WORD_RULE, True
         return None, False
 
-    def _split(self, text: str) -> list[str] | None:
-        if self.rule is None or _ODD.search(text):
+    def _ready(self, text: str) -> str | None:
+        """The text as its chunks are parted by single spaces (white space in lower case for words), or None if the library takes it whole."""
+        if self.rule is None:
             return None
-        if self.words:
-            return text.lower().split()
-        if "  " in text:
+        if text.isascii():
+            if text.encode().translate(None, _EVEN) or "<|" in text:
+                return None
+        elif _ODD.search(text):
             return None
-        found = text.split(" ")
-        found[0] = "\0" + found[0]  # no space before it
-        return found
+        if self.words:
+            return text.lower()
+        return None if "  " in text else "\0" + text  # no space before the first chunk
 
     def _word(self, piece: str) -> bool:
         """Letters after one space (or letters alone, where white space is dropped): such pieces part cleanly in a row."""
         return piece.isalpha() if self.words else piece[:1] == " " and piece[1:].isalpha()
 
-    def _ask(self, pieces: list[str], together: int) -> None:
-        """The library's ids of pieces, so many words in one text; its word numbers part them again."""
+    def _ask(self, pieces: list[str], together: int, into: dict[str, bytes]) -> None:
+        """Adds the library's ids of pieces, so many words in one text; ids that only a word's start or end can give part them again."""
         for i in range(0, len(pieces), 4096 * together):
             some = pieces[i : i + 4096 * together]
             rows = [some[j : j + together] for j in range(0, len(some), together)]
             joint = [(" " if self.words else "").join(r) for r in rows]
-            for row, e in zip(rows, self.tokenizer.encode_batch(joint, add_special_tokens=False)):
+            for row, e in zip(rows, self.tokenizer.encode_batch_fast(joint, add_special_tokens=False)):
                 ids = np.array(e.ids, dtype=self.dtype)
                 if len(row) == 1:
-                    self.pieces[row[0]] = ids.tobytes()
+                    into[row[0]] = ids.tobytes()
                     continue
-                number = np.array(e.word_ids)
-                cut = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-                if len(cut) != len(row):
-                    self._ask(row, 1)
+                mark = np.flatnonzero(self.marks[ids])
+                # A word ends with its mark, a word with a space begins with it.
+                ends = mark + 1 if self.words else np.append(mark[1:], len(ids))
+                first, last = np.append(0, ends[:-1]), ends
+                if len(mark) != len(row) or ends[-1] != len(ids):
+                    self._ask(row, 1, into)
                     continue
                 data, width = ids.tobytes(), self.dtype.itemsize
-                ends = np.append(cut[1:], len(ids)) * width
-                for w, x, y in zip(row, (cut * width).tolist(), ends.tolist()):
-                    self.pieces[w] = data[x:y]
-
-    def _learn(self, new: set[str]) -> None:
-        cut = self.rule.findall
-        if self.words:
-            pieces = {c: cut(c) for c in new}
-        else:
-            pieces = {c: cut(c[1:] if c[:1] == "\0" else " " + c) for c in new}
-        unknown = {p for ps in pieces.values() for p in ps if p not in self.pieces}
-        if len(self.pieces) + len(unknown) > self.entries and self.pieces:
-            self.pieces = {}
-            unknown = {p for ps in pieces.values() for p in ps}
-        self._ask([p for p in unknown if not self._word(p)], 1)
-        self._ask([p for p in unknown if self._word(p)], 1000)
-        get = self.pieces.__getitem__
-        ids = {c: b"".join(map(get, ps)) for c, ps in pieces.items()}
-        room = max(0, self.entries // 2 - len(self.chunks))
-        if len(ids) <= room:
-            self.chunks.update(ids)
-            self.chunks.more = {}
-        else:
-            self.chunks.more = ids
+                into.update(zip(row, map(data.__getitem__, map(slice, (first * width).tolist(), (last * width).tolist()))))
+
+    def _learned(self, new: list[str]) -> list[bytes]:
+        """The ids of chunks that aren't kept yet; they are kept if there is room."""
+        cut, lead = self.rule.findall, "" if self.words else " "
+        # Most chunks are one word; only others are cut by the rule.
+        pieces = [[lead + c] if c.isalpha() else cut(c[1:] if c[:1] == "\0" else lead + c) for c in new]
+        unknown = {p for ps in pieces for p in ps if p not in self.pieces}
+        one, words, more = [], [], {}
+        for p in unknown:
+            (words if self._word(p) else one).append(p)
+        self._ask(one, 1, more)
+        self._ask(words, 1000, more)
+        # Frequent pieces come early; those for which there is no room are asked for anew.
+        if len(self.pieces) + len(more) <= self.entries:
+            self.pieces.update(more)
+        kept = self.pieces
+        get = lambda p: more[p] if p in more else kept[p]
+        ids = [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in pieces]
+        if len(self.chunks) + len(new) <= self.entries // 2:
+            self.chunks.update(zip(new, ids))
+        return ids
+
+    def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of ready texts: each distinct chunk is looked up once, then ids are gathered by the chunks' numbers."""
+        parted = (pc.ascii_split_whitespace if self.words else partial(pc.split_pattern, pattern=" "))(pa.array(texts, pa.large_string()))
+        coded = parted.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.chunks.get, distinct))
+        lacks = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(lacks, self._learned([distinct[k] for k in lacks])):
+            found[k] = x
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        pool, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(lengths) - lengths
+        number = coded.indices.to_numpy()
+        size = lengths[number]
+        ends = np.cumsum(size)
+        every = pool[np.repeat(starts[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[parted.offsets.to_numpy()].tolist()
+        return [every[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found: list = [self._split(t) for t in texts]
+        found: list = [self._ready(t) for t in texts]
         split = [k for k, x in enumerate(found) if x is not None]
         whole = [k for k, x in enumerate(found) if x is None]
-        self._learn({c for k in split for c in found[k] if c not in self.chunks})
-        get = self.chunks.__getitem__
-        for k in split:
-            found[k] = np.frombuffer(b"".join(map(get, found[k])), dtype=self.dtype)
+        if split:
+            for k, x in zip(split, self._looked_up([found[k] for k in split])):
+                found[k] = x
         if whole:
-            for k, e in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
+            for k, e in zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)):
                 found[k] = np.array(e.ids, dtype=self.dtype)
         return found
 

@@ -141,6 +141,23 @@ def test_encoder_equals_library(name):
     assert [x.tolist() for _, some in tokens.chunks(texts, 50) for x in e.encode(some)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_asks_once(name):
+    """A chunk of several texts is looked up once, and full caches forget no piece that they hold."""
+    e = tokens.Encoder(public_tokenizers.path(name), 4)
+    asked, ask = [], e._ask
+    e._ask = lambda pieces, together, into: asked.extend(pieces) or ask(pieces, together, into)
+    first, more = ["alpha beta. Gamma-delta"] * 3, ["beta epsilon", "zeta eta theta iota, kappa"]
+    for texts in (first[:1], more, first, more[::-1] + ["alpha"]):
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    e = tokens.Encoder(public_tokenizers.path(name), 4)
+    e.encode(["one two"])
+    e.encode(["three four five six seven"])
+    asked.clear()
+    e._ask = lambda pieces, together, into: asked.extend(pieces)
+    assert len(e.encode(["one two", "one two two"])[1]) and not asked
+
+
 def test_ids_files(spark, docs, none):
     tok = public_tokenizers.path("byte_bpe_50k.json")
     path = common.new_dir(spark, "ids")
