@@ -428,6 +428,35 @@ def test_neighbours_without_clusters(spark, shard):
     assert hits / (10 * len(got)) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["lengths", "outliers", "near copies", "positive", "sparse", "large"])
+def test_neighbours_on_odd_rows(spark, kind):
+    """Lengths of many sizes, few very long vectors, near copies, a common direction: recall stays."""
+    rng = np.random.default_rng(28)
+    x = rng.normal(size=(1000, 24))
+    if kind == "lengths":
+        x *= np.exp(1.5 * rng.normal(size=1000))[:, None]
+    elif kind == "outliers":
+        x[:3] *= 1e4
+    elif kind == "near copies":
+        x[500:] = x[0] + 1e-4 * rng.normal(size=(500, 24))
+    elif kind == "positive":
+        x = np.abs(x)
+    elif kind == "sparse":
+        x = np.where(rng.random(x.shape) < 0.1, x, 0.0)
+        x[~x.any(1), 0] = 1
+    else:
+        x *= 1e30
+    d = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got, s, hits = defaultdict(set), x @ x.T, 0
+    np.fill_diagonal(s, -np.inf)
+    for r in neighbours.nearest(d, F.col("id") % 20 == 0, k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in range(0, 1000, 20):
+        assert len(got[q]) == 20
+        hits += sum(s[q, k] >= np.sort(s[q])[-20] for k in got[q])
+    assert hits / 1000 > 0.95
+
+
 # 7
 
 
