@@ -143,7 +143,7 @@ def filled(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     def cut(batches):
         from strandline.llm import tokens
 
-        common.released()
+        tokens.released()
         encoder, end, kinds = tokens.encoder(tokenizer_path, CACHE_ENTRIES), np.array([end_id]), []
         bins = Bins(capacity, first_id(0))
 

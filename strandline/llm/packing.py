@@ -292,7 +292,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
     def cut(batches):
         from strandline.llm import tokens
 
-        common.released()
+        tokens.released()
         encoder = tokens.encoder(tokenizer_path, CACHE_ENTRIES)
         end = np.array([end_id], np.uint32)
         for b in batches:

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandline.llm import common
+
 #: Pre-tokens that a worker keeps; of chunks, half as many.
 CACHE_ENTRIES = 1_500_000
 
@@ -157,10 +159,11 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
+common.kept.append(_encoders)
 
 
 def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
-    """The worker's encoder for ``path``: loaded once, its cache outlives a task."""
+    """The worker's encoder for ``path``: loaded once, its cache outlives a task, until one of another operator begins."""
     if (path, entries) not in _encoders:
         _encoders[path, entries] = Encoder(path, entries)
     return _encoders[path, entries]
@@ -177,3 +180,8 @@ def chunks(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int
             at, size, some = k + 1, 0, []
     if some:
         yield at, some
+
+
+def released() -> None:
+    """As in ``common``, but encoders stay."""
+    common.released(_encoders)

@@ -305,6 +305,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     kept = docs.drop(out)
 
     def score(batches):
+        common.released()
         for b in batches:
             s = pa.array([model.score(t) for t in b.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out])
