@@ -16,7 +16,7 @@ A set's name is its content's 64-bit hash, so equal sets are one node from the s
    are skipped on these, and only the entries of pairs that are left are read.
 5. Answer-level skipping.  Sets x and y with computed answers for one leader L get bounds from them:
    |x & L| + |y & L| - |L| <= |x & y| <= min(|x & L| + |y - L|, |y & L| + |x - L|).
-   Where the bounds decide, nothing is counted.  Where they don't, the answer is derived from that of the leader:
+   Where the upper bound rules a link out, no pair is formed; where the lower one decides, nothing is counted.  Where they don't, the answer is derived from that of the leader:
    |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|, so that only the shingles in which x differs from its leader,
    found once for x, are looked up in y.  Pairs without a common leader are counted.
 
@@ -198,6 +198,7 @@ def folded(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
     def ask(batches):
         from pyspark import TaskContext
 
+        common.released()
         fold = TaskContext.get().partitionId() << 32
         ids, hashes, kept, held = [], [], [], 0
         for b in batches:
@@ -284,15 +285,25 @@ def leading(entries: DataFrame, comps: DataFrame | None, tried: DataFrame | None
     return out
 
 
-def blocks_of(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    """Stored blocks of the lists that hold more than one component, with headers for skipping."""
+def leaders_of(answers: DataFrame) -> DataFrame:
+    """(x, lx, sl, ix): of each set with answers, the leader with which it shares most, that one's size and their overlap."""
+    one = answers.groupBy("x").agg(F.max(F.struct("i", "y", "sy")).alias("v"))
+    return one.select("x", F.col("v.y").alias("lx"), F.col("v.sy").alias("sl"), F.col("v.i").alias("ix"))
+
+
+def blocks_of(entries: DataFrame, comps: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Stored blocks of the lists that hold more than one component, with headers for skipping, and what ``answers`` say of each set's leader."""
     every = e = common.stored(placed(entries, comps), "placed")
     open_ = e.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "n")
     e = common.salted_join(e, open_, "token", "node")
+    if answers is None:
+        e = e.select("*", *(F.lit(None).cast("long").alias(c) for c in ("lx", "ix")))
+    else:
+        e = e.join(leaders_of(answers).select(F.col("x").alias("node"), "lx", "ix"), "node", "left")
     band = F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log2(F.col("pos") + 1.0)).cast("int"))
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
     cut = e.groupBy("token", band.alias("band"), salt.alias("salt")).agg(
-        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("node", "size", "pos", "comp")).alias("held"),
+        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("node", "size", "pos", "comp", "lx", "ix")).alias("held"),
     )
     out = common.stored(cut.withColumn("block", F.struct("band", "salt")), "blocks")
     common.forget(every)
@@ -316,11 +327,17 @@ def block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """Stored pairs (x, y, sx, sy, cx, cy) of sets of different components, x < y, whose positions leave enough."""
+    """Stored pairs (x, y, sx, sy, cx, cy) of sets of different components, x < y, whose positions leave enough.
+
+    Pairs whose answers for a common leader rule a link out are never formed: of a group of near copies these are almost all.
+    """
 
     def meets(p: Column, q: Column) -> Column:
-        enough = F.least(p["size"] - p["pos"], q["size"] - q["pos"]) >= _need(num, den, p["size"] + q["size"])
-        return (p["comp"] != q["comp"]) & _near(num, den, p["size"], q["size"]) & enough
+        need = _need(num, den, p["size"] + q["size"])
+        enough = F.least(p["size"] - p["pos"], q["size"] - q["pos"]) >= need
+        most = F.least(p["ix"] + q["size"] - q["ix"], q["ix"] + p["size"] - p["ix"])
+        may = F.coalesce((p["lx"] != q["lx"]) | (most >= need), F.lit(True))
+        return (p["comp"] != q["comp"]) & _near(num, den, p["size"], q["size"]) & enough & may
 
     def pair(p: Column, q: Column) -> Column:
         first = p["node"] < q["node"]
@@ -338,9 +355,8 @@ def derived(cand: DataFrame, answers: DataFrame, num: int, den: int) -> DataFram
 
     Answers (x, y, sx, sy, i) for a common leader y bound a pair's overlap; a pair that has its own answer follows it.
     """
-    one = answers.groupBy("x").agg(F.max(F.struct("i", "y", "sy")).alias("v"))
-    x = one.select("x", F.col("v.y").alias("lx"), F.col("v.sy").alias("sl"), F.col("v.i").alias("ix"))
-    y = one.select(F.col("x").alias("y"), F.col("v.y").alias("ly"), F.col("v.i").alias("iy"))
+    x = leaders_of(answers)
+    y = x.select(F.col("x").alias("y"), F.col("lx").alias("ly"), F.col("ix").alias("iy"))
     own = answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("linked").alias("own")).distinct()
     both = cand.join(x, "x", "left").join(y, "y", "left").join(own, ["x", "y"], "left")
     need = _need(num, den, F.col("sx") + F.col("sy"))
@@ -387,7 +403,7 @@ def reached(sets: DataFrame, num: int, den: int, seen: dict | None = None) -> Da
         before, comps = comps, common.components(links, "x", "y")
         if before is not None:
             common.forget(before)
-    blocks = blocks_of(entries, comps)
+    blocks = blocks_of(entries, comps, answers)
     cand = candidates(blocks, num, den)
     common.forget(blocks, entries)
     if common.at_most(cand, 0):

@@ -141,6 +141,15 @@ def test_encoder_equals_library(name):
     assert [x.tolist() for _, some in tokens.chunks(texts, 50) for x in e.encode(some)] == want
 
 
+def test_encoders_go_with_their_operator():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = tokens.encoder(path, 10)
+    tokens.released()
+    assert tokens.encoder(path, 10) is e
+    common.released()  # another operator's task
+    assert tokens.encoder(path, 10) is not e
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_asks_once(name):
     """A chunk of several texts is looked up once, and full caches forget no piece that they hold."""
@@ -310,6 +319,14 @@ def test_set_join_groups_and_blocks(spark, none, monkeypatch):
     assert setjoin.joined(none, 3, 90, 100).count() == 0
 
 
+def test_set_join_forms_no_pair_that_answers_rule_out(spark):
+    entries = spark.createDataFrame([(7, k, 100, 0) for k in (1, 2, 3)], "token long, node long, size long, pos long")
+    answers = spark.createDataFrame([(1, 9, 100, 100, 95, True), (2, 9, 100, 100, 60, False), (3, 9, 100, 100, 95, True)], "x long, y long, sx long, sy long, i long, linked boolean")
+    for known, want in ((None, {(1, 2), (1, 3), (2, 3)}), (answers, {(1, 3)})):
+        blocks = setjoin.blocks_of(entries, None, known)
+        assert {(r["x"], r["y"]) for r in setjoin.candidates(blocks, 80, 100).collect()} == want
+
+
 def test_set_join_skips_blocks_and_derives_answers(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", 4)
     d = spark.createDataFrame(near_copies(), "doc_id long, text string")
