@@ -158,6 +158,8 @@ def fillings(left: np.ndarray, room: int, most_waste: int, budget: Budget | None
             sums |= (sums << (x * step)) & full
             copies -= step
             step *= 2
+        # Once small lengths reach every sum, all larger ones share one table.
+        sums = reach[-1] if reach and reach[-1] == sums else sums
         reach.append(sums)
 
     def down(j: int, rest: int, taken: list[tuple[int, int]]) -> Iterator[Counter]:

@@ -20,6 +20,7 @@ fixed voters decide.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -275,8 +276,9 @@ def _bounded(rows: list, sizes: dict, most: int) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on the bounded samples of ``labels`` (id, 0/1 label) and of ``docs`` without one; the sampled ids, at most SAMPLE_ROWS + MORE_ROWS, are broadcast."""
+    """Fit on the bounded samples of ``labels`` (id, 0/1 label) and of ``docs`` without one, in one task; the sampled ids, at most SAMPLE_ROWS + MORE_ROWS, are broadcast."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     gold = [(r[0], r[1]) for r in one.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS).collect()]
     if not gold:
@@ -289,11 +291,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sizes = {r[0]: r[1] for r in sizes}
     taken = _bounded(gold, sizes, SAMPLE_BYTES) + _bounded(free, sizes, MORE_BYTES)
     ids = spark.createDataFrame(taken, one.schema) if taken else ids.limit(0)
-    got = texts.join(F.broadcast(ids), id_col)
-    found = {r[0]: (r[1], r[2]) for r in got.groupBy(id_col, "y").agg(F.min("t").alias("t")).select(id_col, "t", "y").collect()}
-    order = sorted(found)
-    known = [found[k] for k in order if found[k][1] >= 0]
-    return fit_texts([t for t, _ in known], [y for _, y in known], [found[k][0] for k in order if found[k][1] < 0])
+    got = texts.join(F.broadcast(ids), id_col).groupBy(id_col, "y").agg(F.min("t").alias("t")).select(F.col(id_col).alias("d"), "t", "y")
+
+    def fitted(batches):
+        common.released()
+        found = {d: (t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("d", "t", "y")))}
+        order = sorted(found)
+        known = [found[k] for k in order if found[k][1] >= 0]
+        model = fit_texts([t for t, _ in known], [y for _, y in known], [found[k][0] for k in order if found[k][1] < 0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        common.released()
+
+    # The driver gets the model alone: texts and counts of the sample stay with a task.
+    return pickle.loads(got.coalesce(1).mapInArrow(fitted, "model binary").first()[0])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

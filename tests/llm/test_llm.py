@@ -96,6 +96,16 @@ def test_toxicity_held_out(spark):
     assert got[600] == got[601] < 0.3
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    texts = ["plain words here " * 5] * 60 + ["idiot zuraka words moron " * 3] * 20
+    docs = spark.createDataFrame(list(enumerate(texts + ["idiot zuraka moron"] * 5)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 60)) for k in range(80)], "doc_id long, toxic int")
+    want = toxicity.fit_texts(texts, [0] * 60 + [1] * 20, ["idiot zuraka moron"] * 5)
+    monkeypatch.setattr(toxicity, "_mine", None)  # the driver's; workers import their own
+    got = toxicity.fit(docs, labels)
+    assert got.starts == want.starts and np.array_equal(got.weights, want.weights)
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.scored(docs, model).count() == docs.count()
@@ -528,6 +538,16 @@ def test_packing_search_ends(lengths):
     assert held == counts and report["completed"] and report["bound"] <= report["bins"] <= report["best_fit"]
 
 
+def test_packing_search_shares_its_tables():
+    """A table of sums for each of 1,000 lengths at each of 64 levels would be tens of MB."""
+    left = np.ones(4097, np.int64)
+    left[1001:] = 0
+    search = packing.fillings(left, 4000, 0)
+    assert next(search).total() > 2
+    reach = search.gi_frame.f_locals["reach"]
+    assert len(reach) == 1000 and len({id(x) for x in reach}) < 200
+
+
 def test_packing_is_optimal_on_small_cases_and_beats_best_fit():
     rng = random.Random(1)
     for _ in range(120):
