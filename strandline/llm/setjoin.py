@@ -13,7 +13,8 @@ A set's name is its content's 64-bit hash, so equal sets are one node from the s
    takes a few comparisons for each set, however large a group of near copies is; turns go on while they pay.
 4. Index-level skipping.  Lists of one component are dropped.  The others are cut into
    blocks by position, each with its least position, sizes and components; pairs of headers
-   are skipped on these, and only the entries of pairs that are left are read.
+   are skipped on these, and only the entries of pairs that are left are read.  Sketches (parities of
+   the number of shingles in each of 1,024 classes) bound an overlap from above; pairs that they rule out are not formed.
 5. Answer-level skipping.  Sets x and y with computed answers for one leader L get bounds from them:
    |x & L| + |y & L| - |L| <= |x & y| <= min(|x & L| + |y - L|, |y & L| + |x - L|).
    Where the upper bound rules a link out, no pair is formed; where the lower one decides, nothing is counted.  Where they don't, the answer is derived from that of the leader:
@@ -44,6 +45,8 @@ MEET = 8_000_000
 BLOCK = 128
 #: Headers of a list whose pairs with all of the list one task forms, about.
 PAIRED = 256
+#: Classes of shingles whose parities tell sets apart, a power of two.
+SKETCH = 1024
 #: Comparing with leaders goes on while one in so many comparisons finds a link.
 PAYS = 5
 _MASK = np.uint64((1 << 48) - 1)
@@ -291,8 +294,25 @@ def leaders_of(answers: DataFrame) -> DataFrame:
     return one.select("x", F.col("v.y").alias("lx"), F.col("v.sy").alias("sl"), F.col("v.i").alias("ix"))
 
 
-def blocks_of(entries: DataFrame, comps: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Stored blocks of the lists that hold more than one component, with headers for skipping, and what ``answers`` say of each set's leader."""
+def sketched(sets: DataFrame) -> DataFrame:
+    """(node, shared, sketch): of each set how many of its shingles others hold, and for SKETCH classes of these whether their number is odd.
+
+    A class whose numbers differ in parity holds a shingle of one set alone, so at most (shared + shared - differing classes) / 2 are common.
+    """
+
+    def sketch(batches):
+        for b in batches:
+            out = []
+            for t in b.column("tokens"):
+                at = np.asarray(t.values) & (SKETCH - 1) if t.is_valid else np.zeros(0, np.int64)
+                out.append(np.packbits(np.bincount(at, minlength=SKETCH) & 1).view("<i8").tolist())
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("shared"), pa.array(out, pa.list_(pa.int64()))], names=["node", "shared", "sketch"])
+
+    return sets.select("node", F.size("tokens").cast("long").alias("shared"), "tokens").mapInArrow(sketch, "node long, shared long, sketch array<long>")
+
+
+def blocks_of(entries: DataFrame, comps: DataFrame, answers: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """Stored blocks of the lists that hold more than one component, with headers for skipping, what ``answers`` say of each set's leader, and the sketches of ``sets``."""
     every = e = common.stored(placed(entries, comps), "placed")
     open_ = e.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "n")
     e = common.salted_join(e, open_, "token", "node")
@@ -300,10 +320,14 @@ def blocks_of(entries: DataFrame, comps: DataFrame, answers: DataFrame | None =
         e = e.select("*", *(F.lit(None).cast("long").alias(c) for c in ("lx", "ix")))
     else:
         e = e.join(leaders_of(answers).select(F.col("x").alias("node"), "lx", "ix"), "node", "left")
+    if sets is None:
+        e = e.select("*", F.lit(None).cast("long").alias("shared"), F.lit(None).cast("array<long>").alias("sketch"))
+    else:
+        e = e.join(sketched(sets.join(e.select("node").distinct(), "node", "left_semi")), "node", "left")
     band = F.when(F.col("n") <= BLOCK, 0).otherwise(F.floor(F.log2(F.col("pos") + 1.0)).cast("int"))
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).cast("int")
     cut = e.groupBy("token", band.alias("band"), salt.alias("salt")).agg(
-        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("node", "size", "pos", "comp", "lx", "ix")).alias("held"),
+        F.min("pos").alias("pos"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.collect_list(F.struct("node", "size", "pos", "comp", "lx", "ix", "shared", "sketch")).alias("held"),
     )
     out = common.stored(cut.withColumn("block", F.struct("band", "salt")), "blocks")
     common.forget(every)
@@ -329,7 +353,7 @@ def block_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
 def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Stored pairs (x, y, sx, sy, cx, cy) of sets of different components, x < y, whose positions leave enough.
 
-    Pairs whose answers for a common leader rule a link out are never formed: of a group of near copies these are almost all.
+    Pairs whose answers for a common leader or whose sketches rule a link out are never formed: of a group of near copies these are almost all.
     """
 
     def meets(p: Column, q: Column) -> Column:
@@ -337,7 +361,9 @@ def candidates(blocks: DataFrame, num: int, den: int) -> DataFrame:
         enough = F.least(p["size"] - p["pos"], q["size"] - q["pos"]) >= need
         most = F.least(p["ix"] + q["size"] - q["ix"], q["ix"] + p["size"] - p["ix"])
         may = F.coalesce((p["lx"] != q["lx"]) | (most >= need), F.lit(True))
-        return (p["comp"] != q["comp"]) & _near(num, den, p["size"], q["size"]) & enough & may
+        differ = sum((F.bit_count(p["sketch"][k].bitwiseXOR(q["sketch"][k])) for k in range(1, SKETCH // 64)), F.bit_count(p["sketch"][0].bitwiseXOR(q["sketch"][0])))
+        alike = F.coalesce(p["shared"] + q["shared"] - differ >= 2 * need, F.lit(True))
+        return (p["comp"] != q["comp"]) & _near(num, den, p["size"], q["size"]) & enough & may & alike
 
     def pair(p: Column, q: Column) -> Column:
         first = p["node"] < q["node"]
@@ -403,7 +429,7 @@ def reached(sets: DataFrame, num: int, den: int, seen: dict | None = None) -> Da
         before, comps = comps, common.components(links, "x", "y")
         if before is not None:
             common.forget(before)
-    blocks = blocks_of(entries, comps, answers)
+    blocks = blocks_of(entries, comps, answers, sets)
     cand = candidates(blocks, num, den)
     common.forget(blocks, entries)
     if common.at_most(cand, 0):

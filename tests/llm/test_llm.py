@@ -337,6 +337,19 @@ def test_set_join_forms_no_pair_that_answers_rule_out(spark):
         assert {(r["x"], r["y"]) for r in setjoin.candidates(blocks, 80, 100).collect()} == want
 
 
+def test_set_join_forms_no_pair_that_sketches_rule_out(spark):
+    # Every set shares 80 shingles with all others, in other places of its prefix; 1 and 2 alone are linked.
+    rng = random.Random(3)
+    common_, more = [[rng.randrange(1 << 48) for _ in range(n)] for n in (80, 15)]
+    sets = [(k, 100, [*common_, *(more if k < 3 else []), *(rng.randrange(1 << 48) for _ in range(5 if k < 3 else 20))]) for k in range(1, 60)]
+    truth = {(x, y) for x, _, a in sets for y, _, b in sets if x < y and 190 * len({*a} & {*b}) >= 90 * 200}
+    sets = spark.createDataFrame(sets, "node long, size long, tokens array<long>")
+    entries = spark.createDataFrame([(7, k, 100, 0) for k in range(1, 60)], "token long, node long, size long, pos long")
+    pairs = [{(r["x"], r["y"]) for r in setjoin.candidates(setjoin.blocks_of(entries, None, None, s), 90, 100).collect()} for s in (None, sets)]
+    assert len(pairs[0]) == 59 * 58 // 2
+    assert truth == {(1, 2)} and truth <= pairs[1] and len(pairs[1]) < 20
+
+
 def test_set_join_skips_blocks_and_derives_answers(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", 4)
     d = spark.createDataFrame(near_copies(), "doc_id long, text string")
