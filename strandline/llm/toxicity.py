@@ -303,7 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         common.released()
 
     # The driver gets the model alone: texts and counts of the sample stay with a task.
-    return pickle.loads(got.coalesce(1).mapInArrow(fitted, "model binary").first()[0])
+    row = got.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(row[0]) if row else Model()  # no partition: none of the labelled documents is there
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

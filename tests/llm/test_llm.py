@@ -104,6 +104,7 @@ def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_mine", None)  # the driver's; workers import their own
     got = toxicity.fit(docs, labels)
     assert got.starts == want.starts and np.array_equal(got.weights, want.weights)
+    assert not len(toxicity.fit(docs.where("doc_id < 0"), labels).weights)
 
 
 def test_toxicity_without_labels(spark, docs):
