@@ -122,7 +122,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     goal = targets({s: t for s, (t, _) in sums.items()}, **rule)
     table = [(s, t, n, float(goal[s]), goal[s] / t if t else 0.0) for s, (t, n) in sums.items()]
     shape = "s string, source_size long, n long, target double, rate double"
-    table = spark.createDataFrame(table, shape) if table else spark.createDataFrame([], shape)
+    table = common.local(spark, table, shape)
     table = F.broadcast(table) if len(sums) <= 100_000 else table
     rows = rows.withColumnRenamed("s", "source").join(table, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rows = rows.withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         counts = {r["source"]: r["n"] for r in state.groupBy("source").agg(F.count("*").alias("n")).collect()}
         if not counts or max(counts.values()) <= LANDING:
             break
-        now = spark.createDataFrame([(s, n) for s, n in counts.items()], "s string, n long")
+        now = common.local(spark, list(counts.items()), "s string, n long")
         now = F.broadcast(now) if len(counts) <= 100_000 else now
         state = state.drop("n", "b").join(now, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         # Each block leaves LANDING of them, so their number falls by BLOCK / LANDING a round.

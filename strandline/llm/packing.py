@@ -310,6 +310,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int
                 cols = [d.take(pa.array(out[0])), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5])]
                 cols += [pa.array(out[5], pa.list_(pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(cols, names=["d", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+        tokens.released()
 
     return rows.mapInArrow(cut, shape)
 

@@ -39,6 +39,8 @@ from strandline.llm import common
 
 #: Text bytes and documents that a task folds before it asks.
 FOLD, FOLD_ROWS = 8_000_000, 65_000
+#: Text bytes of a fold whose words are hashed together.
+HASHED = 1_000_000
 #: Text bytes whose shingles meet in one task, about.
 MEET = 8_000_000
 #: Entries in a block of an index list, about.
@@ -87,9 +89,24 @@ def _message(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "fold", "kind", "a", "b", "c", "e"])
 
 
+def _sorted(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that sorts ``tokens``, their distinct values, where each value begins in that order): what np.unique gives, without as many copies."""
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    first = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=first[1:])
+    begin = np.flatnonzero(first)
+    return order, tokens[begin], begin
+
+
 def _asks(fold: int, ids: list, hashes: list, texts: list[bytes], n: int, buckets: int) -> list[tuple]:
     """A fold's messages: its rows and sets for itself, its distinct shingles for their buckets."""
-    sets = shingle_sets(texts, n)
+    sets, at, held = [], 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= HASHED or k == len(texts) - 1:
+            sets += shingle_sets(texts[at : k + 1], n)
+            at, held = k + 1, 0
     sizes = np.array([len(s) for s in sets], np.int64)
     named = np.array([d is not None for d in ids])
     d = np.array([x or 0 for x in ids], np.int64)
@@ -103,17 +120,25 @@ def _asks(fold: int, ids: list, hashes: list, texts: list[bytes], n: int, bucket
         return out
     _, one = np.unique(content[live], return_index=True)
     live = live[np.sort(one)]
-    token = np.concatenate([sets[k] for k in live]) & _MASK
-    owner = np.repeat(np.arange(len(live)), sizes[live])
-    distinct, first, inverse, count = np.unique(token, return_index=True, return_inverse=True, return_counts=True)
+    token = np.concatenate([sets[k] for k in live])
+    token &= _MASK
+    del sets
+    owner = np.repeat(np.arange(len(live), dtype=np.uint16), sizes[live])
+    order, distinct, begin = _sorted(token)
+    del token
+    count = np.diff(begin, append=len(order)).astype(np.uint32)
     many = count > 1
+    first = owner[order[begin]]
     # What several sets of the fold hold is asked once; who holds it stays with the fold.
-    held = many[inverse.reshape(-1)]
-    place = np.cumsum(many) - 1
+    place = np.empty(len(order), np.int32)
+    place[order] = np.repeat(np.where(many, np.cumsum(many) - 1, -1).astype(np.int32), count)
+    del order, begin
+    held = place >= 0
     out.append((home, fold, _SETS, content[live].tobytes(), sizes[live].tobytes(), np.bincount(owner[held], minlength=len(live)).astype(np.int64).tobytes(), None))
-    out.append((home, fold, _HELD, place[inverse.reshape(-1)[held]].astype(np.int32).tobytes(), None, None, None))
+    out.append((home, fold, _HELD, place[held].tobytes(), None, None, None))
+    del place, held, owner
     bucket = (common.mixed(distinct) % np.uint64(buckets)).astype(np.int32)
-    for kind, pick, value in ((_SINGLE, ~many, owner[first].astype(np.uint16)), (_MANY, many, count.astype(np.uint32))):
+    for kind, pick, value in ((_SINGLE, ~many, first), (_MANY, many, count)):
         at = np.flatnonzero(pick)
         at = at[np.argsort(bucket[at], kind="stable")]
         cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
@@ -130,17 +155,22 @@ def _answers(part: pd.DataFrame) -> pd.DataFrame:
     own, out = part[~asked], []
     rows = part[asked]
     if len(rows):
-        tokens = [_from_six([a]) for a in rows["a"]]
-        weight = [np.ones(len(t), np.int64) if kind == _SINGLE else np.frombuffer(b, np.uint32).astype(np.int64) for t, kind, b in zip(tokens, rows["kind"], rows["b"])]
-        distinct, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-        total = np.bincount(inverse.reshape(-1), weights=np.concatenate(weight), minlength=len(distinct)).astype(np.int64)[inverse.reshape(-1)]
+        tokens = _from_six(rows["a"])
+        weight = np.concatenate([np.ones(len(a) // 6, np.uint32) if kind == _SINGLE else np.frombuffer(b, np.uint32) for a, kind, b in zip(rows["a"], rows["kind"], rows["b"])])
+        order, distinct, begin = _sorted(tokens)
+        total = np.empty(len(order), np.uint32)
+        total[order] = np.repeat(np.add.reduceat(weight[order], begin, dtype=np.uint32), np.diff(begin, append=len(order)))
+        del order, distinct, begin, weight
         at = 0
-        for t, fold, kind, b in zip(tokens, rows["fold"], rows["kind"], rows["b"]):
-            f = total[at : at + len(t)]
-            at += len(t)
+        for a, fold, kind, b in zip(rows["a"], rows["fold"], rows["kind"], rows["b"]):
+            some = slice(at, at + len(a) // 6)
+            t, f = tokens[some], total[some]
+            at = some.stop
             more = f > 1
             if more.any():
-                out.append((fold, kind, _six(t[more]), np.frombuffer(b, np.uint16)[more].tobytes() if kind == _SINGLE else None, f[more].astype(np.uint32).tobytes(), None))
+                out.append((fold, kind, _six(t[more]), np.frombuffer(b, np.uint16)[more].tobytes() if kind == _SINGLE else None, f[more].tobytes(), None))
+        del tokens, total, t, f
+        common.trimmed()
     answered = pd.DataFrame(out, columns=["fold", "kind", "a", "b", "c", "e"])
     return pd.concat([own[["fold", "kind", "a", "b", "c", "e"]], answered], ignore_index=True)
 
@@ -181,6 +211,8 @@ def _assembled(num: int, den: int):
         ends = np.cumsum(np.where(alive, shared, 0))
         k = np.flatnonzero(alive)
         some = pd.DataFrame({"kind": 1, "d": 0, "named": True, "h": 0, "content": content[k], "size": size[k], "tokens": [token[ends[i] - shared[i] : ends[i]] for i in k]})
+        del owner, often, order, pick
+        common.trimmed()
         return pd.concat([rows[names], some[names]], ignore_index=True) if len(some) else rows[names]
 
     return assemble
@@ -211,9 +243,12 @@ def folded(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
                 kept.append(t)
                 held += len(t)
                 if held >= FOLD or len(kept) >= FOLD_ROWS:
-                    yield _message(_asks(fold, ids, hashes, kept, n, buckets))
+                    message = _message(_asks(fold, ids, hashes, kept, n, buckets))
                     fold += 1
                     ids, hashes, kept, held = [], [], [], 0
+                    common.trimmed()
+                    yield message
+                    del message
         if kept:
             yield _message(_asks(fold, ids, hashes, kept, n, buckets))
         common.released()

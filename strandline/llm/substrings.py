@@ -159,6 +159,7 @@ def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col
     most = max(1, BITMAP_BYTES // buckets)
 
     def send(batches):
+        common.released()
         for _, texts in _folds(batches):
             key, count = np.unique(Fold(texts, length, gram).postings(length - gram + 1), return_counts=True)
             by = (key % np.uint64(buckets)).astype(np.int64)
@@ -179,7 +180,10 @@ def repeated_keys(docs: DataFrame, length: int, gram: int, id_col: str, text_col
         places = np.bincount(inverse.reshape(-1), weights=count, minlength=len(key))
         hot = np.flatnonzero(places >= HOT_PLACES)
         hot = hot[np.argsort(-places[hot], kind="stable")][:HOT_KEYS]
-        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "bitmap": [_bitmap(key[places > 1], most)], "hot": [key[hot].tobytes()]})
+        out = pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "bitmap": [_bitmap(key[places > 1], most)], "hot": [key[hot].tobytes()]})
+        del key, count, inverse, places
+        common.trimmed()
+        return out
 
     dealt = _rows(docs, id_col, text_col).mapInArrow(send, "bucket int, keys binary, counts binary")
     maps = dealt.groupBy("bucket").applyInPandas(pick, "bucket int, bitmap binary, hot binary").collect()
@@ -197,6 +201,7 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
     wanted = spark.sparkContext.broadcast(repeated_keys(docs, length, gram, id_col, text_col, buckets))
 
     def send(batches):
+        common.released()
         for docs_, texts in _folds(batches):
             fold = Fold(texts, length, gram)
             hot = wanted.value.hot
@@ -241,6 +246,8 @@ def earlier_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_co
         words = np.zeros((len(six), 8), np.uint8)
         words[:, :6] = six
         d, h, lo, hi = spans(words.view("<u8").ravel(), whole("sizes", np.int32).astype(np.int64), whole("times", np.int32).astype(np.int64), whole("places", np.int64).reshape(-1, 3), length)
+        del six, words
+        common.trimmed()
         return pd.DataFrame({"d": d, "h": h, "lo": lo, "hi": hi})
 
     dealt = _rows(docs, id_col, text_col).mapInArrow(send, "shard int, words binary, sizes binary, times binary, places binary")
@@ -334,5 +341,6 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, *out])
+        common.released()
 
     return both.mapInArrow(cut, shape)

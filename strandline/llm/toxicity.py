@@ -285,12 +285,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
     free = docs.where(F.col(id_col).isNotNull()).select(id_col).join(labels.select(id_col).distinct(), id_col, "left_anti").distinct()
     free = [(r[0], -1) for r in free.orderBy(F.xxhash64(id_col), id_col).limit(MORE_ROWS).collect()]
-    ids = spark.createDataFrame(gold + free, one.schema)
+    ids = common.local(spark, gold + free, one.schema)
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sizes = texts.join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min(F.octet_length("t")).alias("size")).collect()
     sizes = {r[0]: r[1] for r in sizes}
     taken = _bounded(gold, sizes, SAMPLE_BYTES) + _bounded(free, sizes, MORE_BYTES)
-    ids = spark.createDataFrame(taken, one.schema) if taken else ids.limit(0)
+    ids = common.local(spark, taken, one.schema)
     got = texts.join(F.broadcast(ids), id_col).groupBy(id_col, "y").agg(F.min("t").alias("t")).select(F.col(id_col).alias("d"), "t", "y")
 
     def fitted(batches):
@@ -320,6 +320,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
         for b in batches:
             s = pa.array([model.score(t) for t in b.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out])
+        model.index = None  # its tokens, up to CACHE_ENTRIES
         common.released()
 
     return kept.mapInArrow(score, schema)
