@@ -32,3 +32,8 @@ def both(spark, tables, name):
 def test_complement_intervals(spark, tables):
     want = [(k, 10 * p + 4, 10 * p + 9) for k in range(KEYS) for p in range(PLACES - 1)]
     assert both(spark, tables, "complement_intervals") == (want, want)
+
+
+def test_covered_length(spark, tables):
+    want = [(k, 4 * PLACES) for k in range(KEYS)]
+    assert both(spark, tables, "covered_length") == (want, want)
