@@ -37,3 +37,8 @@ def test_complement_intervals(spark, tables):
 def test_covered_length(spark, tables):
     want = [(k, 4 * PLACES) for k in range(KEYS)]
     assert both(spark, tables, "covered_length") == (want, want)
+
+
+def test_merge_intervals(spark, tables):
+    want = [(k, 10 * p, 10 * p + 3) for k in range(KEYS) for p in range(PLACES)]
+    assert both(spark, tables, "merge_intervals") == (want, want)
