@@ -42,3 +42,8 @@ def test_covered_length(spark, tables):
 def test_merge_intervals(spark, tables):
     want = [(k, 10 * p, 10 * p + 3) for k in range(KEYS) for p in range(PLACES)]
     assert both(spark, tables, "merge_intervals") == (want, want)
+
+
+def test_merge_intervals_by_bins(spark, tables):
+    want = [(k, 10 * p, 10 * p + 3) for k in range(KEYS) for p in range(PLACES)]
+    assert both(spark, tables, "merge_intervals_by_bins") == (want, want)
