@@ -47,3 +47,8 @@ def test_merge_intervals(spark, tables):
 def test_merge_intervals_by_bins(spark, tables):
     want = [(k, 10 * p, 10 * p + 3) for k in range(KEYS) for p in range(PLACES)]
     assert both(spark, tables, "merge_intervals_by_bins") == (want, want)
+
+
+def test_snv_blocks(spark, tables):
+    want = [(k, p + 1, 50 * p, 50 * p + 40, TIMES) for k in range(KEYS) for p in range(PLACES)]
+    assert both(spark, tables, "snv_blocks") == (want, want)
