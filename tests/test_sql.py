@@ -52,3 +52,13 @@ def test_merge_intervals_by_bins(spark, tables):
 def test_snv_blocks(spark, tables):
     want = [(k, p + 1, 50 * p, 50 * p + 40, TIMES) for k in range(KEYS) for p in range(PLACES)]
     assert both(spark, tables, "snv_blocks") == (want, want)
+
+
+def test_moving_window_profile(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    # Three values at each of two places, the first one and 99,990 of 100,000.
+    last = 99_990 * pow(7919, -1, 100_000) % 100_000
+    duckdb.connect().execute(f"COPY (SELECT c * 100000 + x AS event_id, 7::BIGINT AS user_id, 'view' AS event_type, c * 1.5::DOUBLE AS value FROM range(3) c(c), (VALUES (0), ({last})) v(x)) TO '{tmp_path}/events.parquet'")
+    duckdb.connect().execute(f"COPY (SELECT 1 AS l_orderkey) TO '{tmp_path}/lineitem.parquet'")
+    want = [(7, 100 * c, 3, 1.5) for c in (0, 1, 2, 998, 999, 1000, 1001, 1002)]
+    assert both(spark, str(tmp_path), "moving_window_profile") == (want, want)
