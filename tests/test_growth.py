@@ -1,9 +1,12 @@
 """What queries send, sort and go through on larger tables, on small ones that show it."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import mappings
+from strandline.operators import alignments, mappings
 
 
 def plan(df):
@@ -33,3 +36,36 @@ def test_bases_counted_before_they_are_sent(spark, tmp_path):
         assert {r["rname"]: r["quality"] for r in mappings.call_variants(reads, reference, min_quality=1, checkpoint=how).collect()} == pytest.approx(want)
     got = mappings.call_variants(reads.where("rname in ('one', 'many')"), reference, min_quality=1, checkpoint=kept)
     assert got.count() == 2 and "read_pos" not in plan(got)
+
+
+class Frames:
+    """Stands in for a table: runs what is mapped over one frame."""
+
+    def __init__(self, a, b):
+        self.part, self.dtypes = pd.DataFrame({"a": a, "b": b}), [("a", "string"), ("b", "string")]
+
+    def mapInPandas(self, run, schema):
+        return pd.concat(run([self.part]))
+
+
+def test_alignment_groups(monkeypatch):
+    """Grouping goes through the pairs once, and pairs of which one text holds the other aren't aligned cell by cell."""
+    calls = [0]
+
+    def counted(x):
+        calls[0] += 1
+        return len(x)
+
+    monkeypatch.setattr(alignments, "len", counted, raising=False)
+    n = 1_000
+    got = alignments.local_alignments(Frames(["ACT"] * n, ["AGT"] * n), "a", "b")
+    assert got["score"].tolist() == [3.0] * n and calls[0] < 100 * n
+    rng = random.Random(3)
+    text = lambda k: "".join(rng.choice("ACGT") for _ in range(k))
+    pairs = [(text(rng.randint(1, 8)), text(rng.randint(1, 8))) for _ in range(2_000)]
+    held = [(p, q) for p, q in pairs if p in q or q in p]
+    want = [alignments.align([p], [q])[0] for p, q in held]
+    assert len(held) > 100 and [alignments.contained(p, q) for p, q in held] == want
+    monkeypatch.setattr(alignments, "align", lambda *a: pytest.fail("aligned"))
+    got = alignments.local_alignments(Frames(*map(list, zip(*held))), "a", "b")
+    assert got[["score", "a_start", "b_start", "aligned_a", "aligned_b"]].values.tolist() == [list(w) for w in want]
