@@ -109,9 +109,35 @@ def trim_quality(
     return _add(out, into, parts).drop("_t")
 
 
+#: Letters of the pieces, and of the pieces of these, that a text is masked in.
+CHUNKS = (16_384, 512)
+
+
 def mask_text(seq: Column, segments: Column) -> Column:
-    """Lower case inside any of the segments."""
-    return let(segments, lambda segs: F.array_join(F.transform(S.letters(seq), lambda c, i: F.when(F.exists(segs, lambda s: (i >= s["start"]) & (i <= s["end"])), F.lower(c)).otherwise(c)), ""))
+    """Lower case inside any of the segments.
+
+    A text is cut into pieces, and these at the ends of the joined segments that they meet, so that no letter is compared with all segments.
+    """
+
+    def lowered(text: Column) -> Column:
+        # Letter by letter where one's lower case may depend on others.
+        return let(text, lambda x: F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(F.array_join(F.transform(S.letters(x), lambda c: F.lower(c)), "")))
+
+    def cut(part: Column, met: Column, n: int) -> Column:
+        begin = lambda i: F.coalesce(F.get(met, i - 1)["end"] + 1, F.lit(0))
+        piece = lambda s, i: let(begin(i), lambda b: F.concat(F.substring(part, b + 1, s["start"] - b), lowered(F.substring(part, s["start"] + 1, s["end"] - s["start"] + 1))))
+        return F.concat(F.array_join(F.transform(met, piece), ""), F.substring(part, begin(F.size(met)) + 1, F.lit(n)))
+
+    def masked(text: Column, spans: Column, n: int, *smaller: int) -> Column:
+        def one(part: Column, j: Column) -> Column:
+            at = j * n
+            met = F.filter(spans, lambda s: (s["end"] >= at) & (s["start"] < at + n))
+            moved = F.transform(met, lambda s: _segment(F.greatest(s["start"] - at, F.lit(0)), F.least(s["end"] - at, F.lit(n - 1))))
+            return let(moved, lambda m: F.when(F.size(m) == 0, part).otherwise(masked(part, m, *smaller) if smaller else cut(part, m, n)))
+
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{n}}}"), 0), one), "")
+
+    return let(F.coalesce(I.merge_array(segments), _nothing()), lambda spans: masked(seq, spans, *CHUNKS))
 
 
 def trim_and_mask(df: DataFrame, mask: bool = True, trim: bool = True, trim_as_mask: bool = False, keep_5: bool = False, seq: str = "seq", quality: str = "qual") -> DataFrame:

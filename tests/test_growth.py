@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import alignments, mappings
+from strandline.operators import alignments, mappings, reads
 
 
 def plan(df):
@@ -69,3 +69,18 @@ def test_alignment_groups(monkeypatch):
     monkeypatch.setattr(alignments, "align", lambda *a: pytest.fail("aligned"))
     got = alignments.local_alignments(Frames(*map(list, zip(*held))), "a", "b")
     assert got[["score", "a_start", "b_start", "aligned_a", "aligned_b"]].values.tolist() == [list(w) for w in want]
+
+
+def test_masked_in_pieces(spark):
+    """No letter is compared with all segments, and pieces fit together."""
+    rng = random.Random(4)
+    rows = [(None, [(0, 2)]), ("ACG", None)]
+    for n in (0, 1, 511, 512, 513, 16_383, 16_384, 16_385, 40_000):
+        spans = [(a, a + rng.choice([-1, 0, 3, 600])) for a in (rng.randint(-3, n + 3) for _ in range(40))]
+        rows.append(("".join(rng.choice("ACGT\nΣé") for _ in range(n)), spans))
+    df = spark.createDataFrame(rows, "seq string, spans array<struct<start:int,end:int>>")
+    got = df.withColumn("got", reads.mask_text(F.col("seq"), F.col("spans")))
+    assert "exists(" not in plan(got)
+    for seq, spans, text in got.collect():
+        inside = {k for a, b in spans or [] for k in range(a, b + 1)}
+        assert text == (None if seq is None else "".join(c.lower() if k in inside else c for k, c in enumerate(seq)))
