@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import alignments, mappings, reads
+from strandline.operators import alignments, genotyping, mappings, reads
 
 
 def plan(df):
@@ -84,3 +84,11 @@ def test_masked_in_pieces(spark):
     for seq, spans, text in got.collect():
         inside = {k for a, b in spans or [] for k in range(a, b + 1)}
         assert text == (None if seq is None else "".join(c.lower() if k in inside else c for k, c in enumerate(seq)))
+
+
+def test_called_reads_are_kept_narrow(spark):
+    """Bases of called alleles are sent and kept without what blocks don't use."""
+    reads_ = spark.range(3).select(F.col("id").cast("string").alias("qname"), F.lit(0).alias("flag"), F.lit("1").alias("rname"), F.lit(0).alias("pos"), F.lit("3M").alias("cigar"), F.lit("ATG").alias("seq"), F.array_repeat(F.lit(40), 3).alias("qual"), F.lit(30).alias("mapq"))
+    kept = []
+    genotyping.genotyped_blocks(reads_, spark.range(1).select(F.lit("1").alias("name"), F.lit("ACG").alias("seq")), checkpoint=lambda df: kept.append(df.columns) or df)
+    assert {"rname", "pos", "allele", "kind", "q", "qname", "read_pos"} in map(set, kept) and not any("mapq" in c for c in kept)
